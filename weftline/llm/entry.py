@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import exact_dedup, mixing, packing, quality_rules, url_filters
 
 QUERIES = {
     "op4_quality_rules": quality_rules.op4_quality_rules,
+    "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op7_mixing": mixing.op7_mixing,
+    "op8_url_filters": url_filters.op8_url_filters,
+    "op10_packing": packing.op10_packing,
 }
 
-ORACLES: dict[str, str] = {"op4_quality_rules": quality_rules.ORACLE}
+ORACLES: dict[str, str] = {
+    "op4_quality_rules": quality_rules.ORACLE,
+    "op5_exact_dedup": exact_dedup.ORACLE,
+    "op8_url_filters": url_filters.ORACLE,
+}
