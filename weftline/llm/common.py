@@ -77,3 +77,47 @@ def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str,
     done = on_hot.where(seen)
     rest = on_hot.where(~seen).drop(*payload)
     return done.unionByName(rest.join(right.where(F.col(weight) <= limit), keys, how))
+
+
+def salted_join(left: DataFrame, right: DataFrame, key: str, total: int, how: str = "inner", least: int = 10_000) -> DataFrame:
+    """Join with a right side of one (possibly large) row per key, where a key of ``left`` may hold most rows.
+
+    A key with over max(least, total/HOT_SHARE) rows is split into parts of about that many; the right row is
+    repeated once per part, which adds at most HOT_SHARE rows. Only (key, parts) of hot keys is broadcast.
+    """
+    limit = max(least, total // HOT_SHARE)
+    hot = left.groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") > limit)
+    hot = F.broadcast(hot.select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts")))
+    others = [c for c in left.columns if c != key]
+    salt = F.when(F.col("_parts").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(*others), F.col("_parts")).cast("int"))
+    a = left.join(hot, key, "left").withColumn("_salt", salt).drop("_parts")
+    b = right.join(hot, key, "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return a.join(b, [key, "_salt"], how).drop("_salt")
+
+
+def components(edges: DataFrame, cuts: Cuts) -> DataFrame:
+    """(node, root): the least node of each connected component of ``edges`` (a, b), for nodes with an edge.
+
+    Large-star and small-star rounds: every edge moves to the least neighbour until each component is a
+    star. Hubs are handled by counts, and each round is written, so plans stay short and restartable.
+    """
+    now = cuts.cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    before = None
+    while True:
+        stamp = now.agg(F.count("*"), F.expr("bit_xor(xxhash64(u, v))")).first()
+        if tuple(stamp) == before:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
+                now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            )
+        before = tuple(stamp)
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("n"))
+        large = join_unique(both, least, ["u"], "n", 2 * before[0]).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = cuts.cut(large.where("u <> v").distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+        small = join_unique(large, least, ["u"], "n", before[0])
+        small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
+        new = cuts.cut(small.where("u <> v").distinct())
+        cuts.drop(now)
+        cuts.drop(large)
+        now = new
