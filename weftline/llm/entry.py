@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, near_dedup, packing, quality_classifier, quality_rules, url_filters
+from . import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, url_filters
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
+    "op6_lm_scoring": lm_scoring.op6_lm_scoring,
     "op7_mixing": mixing.op7_mixing,
     "op8_url_filters": url_filters.op8_url_filters,
     "op9_near_dedup": near_dedup.op9_near_dedup,
