@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, url_filters
+from . import exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, url_filters
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_lm_scoring": lm_scoring.op6_lm_scoring,
@@ -16,6 +17,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": line_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op8_url_filters": url_filters.ORACLE,
