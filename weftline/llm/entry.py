@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, url_filters
+from . import exact_dedup, line_dedup, lm_scoring, mixing, near_dedup, packing, quality_classifier, quality_rules, substring_dedup, url_filters
 
 QUERIES = {
     "op1_quality_classifier": quality_classifier.op1_quality_classifier,
+    "op2_substring_dedup": substring_dedup.op2_substring_dedup,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_quality_rules": quality_rules.op4_quality_rules,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
