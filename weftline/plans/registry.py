@@ -1,4 +1,725 @@
-"""All registered queries and their DuckDB SQL."""
+"""All registered queries and their DuckDB SQL. A query's number is that of its operator."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..functions import routes, text
+from ..functions.sql_relations import relations_of
+from ..operators import cycles, exposure, findings, graph, impact, ingest, layers, lookup, metrics, multiroot, reach, runtime
+from ..operators.graph import Graph
+from .projection import CONTAINMENT, HEAVY, SEQUENCE, TRADE, containment, heavy_edges, load, nation_nodes, part_graph, part_nodes, trade_graph, trade_references
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+
+def query(name: str, sql: str | None = None):  # noqa: ANN201
+    def add(f):  # noqa: ANN001, ANN202
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+# ---- graph model
+
+@query("g041_merge_edges", f"WITH {TRADE} SELECT source, target, kind, weight FROM edges")
+def _(spark, sf):
+    return trade_graph(spark, sf).edges
+
+
+@query("g040_build_module_graph", f"WITH {TRADE} SELECT s.module AS source, t.module AS target, e.kind, sum(weight)::BIGINT AS weight FROM edges e JOIN nodes s ON e.source = s.id JOIN nodes t ON e.target = t.id WHERE s.module <> t.module GROUP BY ALL")
+def _(spark, sf):
+    n = nation_nodes(spark, sf)
+    symbols = n.select(F.col("location.line").cast("long").alias("ordinal"), F.col("id").alias("usr"), "name", "kind", "module", "location", F.lit(None).cast("string").alias("parentUSR"), F.lit(False).alias("isExternal"))
+    refs = trade_references(spark, sf).withColumn("k", F.explode(F.sequence(F.lit(1), F.col("weight").cast("int"))))
+    refs = refs.select(F.col("source").alias("sourceUSR"), F.col("target").alias("targetUSR"), "kind", F.lit(None).cast("struct<path:string,line:int,column:int>").alias("location"))
+    return graph.build_graph(symbols, refs, "module")[0].edges
+
+
+@query("g043_file_rollup", f"WITH {TRADE} SELECT module || '/' || id || '.swift' AS id, id || '.swift' AS name FROM nodes")
+def _(spark, sf):
+    return nation_nodes(spark, sf).select(F.col("location.path").alias("id"), text.last_component(F.col("location.path")).alias("name"))
+
+
+@query("g044_type_owner", f"""WITH RECURSIVE {CONTAINMENT},
+up(id, ats, n) AS (SELECT id, id, 0 FROM cnodes UNION ALL SELECT u.id, CASE WHEN k.kind = 'extension' THEN x.target ELSE p.source END, n + 1
+  FROM up u JOIN cnodes k ON k.id = u.ats LEFT JOIN (SELECT target, min(source) AS source FROM cedges WHERE kind = 'member' GROUP BY 1) p ON p.target = u.ats
+  LEFT JOIN (SELECT source, min(target) AS target FROM cedges WHERE kind = 'extends' GROUP BY 1) x ON x.source = u.ats WHERE k.kind <> 'class' AND n < 9),
+top AS (SELECT u.id, min(u.ats) AS owner FROM up u JOIN cnodes k ON k.id = u.ats AND k.kind = 'class' GROUP BY u.id)
+SELECT c.id AS usr, coalesce(owner, c.id) AS owner FROM cnodes c LEFT JOIN top USING (id)""")
+def _(spark, sf):
+    g = containment(spark, sf)
+    owner = g.edges.where("kind = 'member'").groupBy(F.col("target").alias("usr")).agg(F.min("source").alias("parentUSR"))
+    symbols = g.nodes.select(F.col("id").alias("usr"), "kind").join(owner, "usr", "left")
+    refs = g.edges.where("kind = 'extends'").select(F.col("source").alias("sourceUSR"), F.col("target").alias("targetUSR"), "kind")
+    return graph.type_owner(symbols, refs)
+
+
+@query("g048_earliest_location", f"WITH {TRADE} SELECT source, target, kind, strftime(min(year), '%Y') AS first_year FROM trade GROUP BY ALL")
+def _(spark, sf):
+    sites = trade_references(spark, sf).withColumn("location", F.struct(F.date_format("year", "yyyy").alias("path"), F.lit(1).alias("line"), F.lit(1).alias("column")))
+    return graph.reference_locations(sites).select("source", "target", "kind", F.col("location.path").alias("first_year"))
+
+
+@query("g049_limitation_summary", "SELECT o_orderstatus AS reason, count(*)::BIGINT AS n, array_to_string(list_slice(list_sort(list(DISTINCT o_orderpriority)), 1, 3), ',') AS examples FROM orders GROUP BY 1")
+def _(spark, sf):
+    rows = load(spark, sf, "orders").select(F.col("o_orderstatus").alias("reason"), F.col("o_orderpriority").alias("path"))
+    return graph.limitation_summary(rows, 3).select("reason", "n", F.array_join("examples", ",").alias("examples"))
+
+
+@query("g050_induced_subgraph", f"WITH {TRADE} SELECT e.* FROM edges e JOIN nodes s ON e.source = s.id JOIN nodes t ON e.target = t.id WHERE s.module = 'ASIA' AND t.module = 'ASIA'")
+def _(spark, sf):
+    g = trade_graph(spark, sf)
+    return graph.induced(g, g.nodes.where("module = 'ASIA'")).edges
+
+
+@query("g051_predecessors", f"WITH {SEQUENCE} SELECT DISTINCT source FROM seq WHERE target = (SELECT min(target) FROM seq)")
+def _(spark, sf):
+    e = part_graph(spark, sf).edges
+    first = e.agg(F.min("target")).first()[0]
+    return graph.predecessors(e, first)
+
+
+@query("g053_degrees", f"""WITH {TRADE}, p AS (SELECT DISTINCT source, target FROM edges WHERE source <> target)
+SELECT id, (SELECT count(*) FROM p WHERE target = id)::BIGINT AS in_degree, (SELECT count(*) FROM p WHERE source = id)::BIGINT AS out_degree,
+       (SELECT count(*) FROM p WHERE target = id OR source = id)::BIGINT AS total_degree FROM nodes""")
+def _(spark, sf):
+    g = trade_graph(spark, sf)
+    return graph.degrees(g.nodes, g.edges)
+
+
+@query("g052_degrees_of_parts", f"""WITH {SEQUENCE}, i AS (SELECT target AS id, count(DISTINCT source) AS n FROM seq GROUP BY 1), o AS (SELECT source AS id, count(DISTINCT target) AS n FROM seq GROUP BY 1)
+SELECT id, coalesce(i.n, 0)::BIGINT AS in_degree, coalesce(o.n, 0)::BIGINT AS out_degree, (coalesce(i.n, 0) + coalesce(o.n, 0))::BIGINT AS total_degree FROM parts LEFT JOIN i USING (id) LEFT JOIN o USING (id)""")
+def _(spark, sf):
+    g = part_graph(spark, sf)
+    return graph.degrees(g.nodes, g.edges)
+
+
+@query("g054_semantic_parent", f"WITH {CONTAINMENT} SELECT id, parent FROM parent")
+def _(spark, sf):
+    g = containment(spark, sf)
+    return graph.semantic_parent(g.nodes, g.edges)
+
+
+@query("g054_ancestors", f"""WITH RECURSIVE {CONTAINMENT}, a(id, ancestor, distance) AS (SELECT id, parent, 1 FROM parent UNION ALL SELECT a.id, p.parent, distance + 1 FROM a JOIN parent p ON p.id = a.ancestor)
+SELECT id, ancestor, min(distance)::INTEGER AS distance FROM a GROUP BY ALL""")
+def _(spark, sf):
+    g = containment(spark, sf)
+    return graph.ancestors(graph.semantic_parent(g.nodes, g.edges))
+
+
+GLOBS = ("ASIA", "A*/NATION_1?.swift", "**/NATION_2*", "EUROPE/**")
+
+
+@query("g055_globs", f"""WITH {TRADE} SELECT id, (module = 'ASIA') AS g0, regexp_matches(module || '/' || id || '.swift', '^A[^/]*/NATION_1[^/][.]swift$') AS g1,
+regexp_matches(id, '^NATION_2') AS g2, (module = 'EUROPE') AS g3 FROM nodes""")
+def _(spark, sf):
+    path = F.col("location.path")
+    return nation_nodes(spark, sf).select("id", *[text.glob_match(path, g).alias(f"g{i}") for i, g in enumerate(GLOBS)])
+
+
+@query("g056_path_filter", f"WITH {TRADE} SELECT id, (module IN ('ASIA', 'EUROPE') AND NOT regexp_matches(id, '^NATION_1')) AS allowed FROM nodes")
+def _(spark, sf):
+    f = text.PathFilter(include=("/src/ASIA/**", "EUROPE"), exclude=("NATION_1*",), root="/src")
+    return nation_nodes(spark, sf).select("id", f.allows(F.concat(F.lit("/src/"), F.col("location.path"))).alias("allowed"))
+
+
+@query("g057_expand_containers", f"""WITH RECURSIVE {CONTAINMENT}, x(id) AS (SELECT 'ASIA' UNION SELECT CASE WHEN kind = 'member' THEN e.target ELSE e.source END FROM x JOIN cedges e ON (e.kind = 'member' AND e.source = x.id) OR (e.kind = 'extends' AND e.target = x.id)) SELECT id FROM x""")
+def _(spark, sf):
+    return graph.expand_containers(values(spark, [("ASIA",)], "id string"), containment(spark, sf).edges)
+
+
+@query("g058_merge_extensions", f"""WITH {CONTAINMENT} SELECT coalesce(x.target, e.source) AS source, e.target, e.kind, count(*)::BIGINT AS weight FROM cedges e
+LEFT JOIN (SELECT source, min(target) AS target FROM cedges WHERE kind = 'extends' GROUP BY 1) x ON x.source = e.source WHERE e.kind = 'member' GROUP BY ALL""")
+def _(spark, sf):
+    g = containment(spark, sf)
+    return graph.merge_extension_variants(g.nodes, g.edges).edges
+
+
+@query("g119_graph_diff", f"""WITH {TRADE}, a AS (SELECT DISTINCT source, target, kind FROM trade WHERE year(year) = 1996), b AS (SELECT DISTINCT source, target, kind FROM trade WHERE year(year) = 1997)
+SELECT 'added' AS change, b.* FROM b ANTI JOIN a USING (source, target, kind) WHERE kind IN (SELECT kind FROM a)
+UNION ALL SELECT 'removed', a.* FROM a ANTI JOIN b USING (source, target, kind) WHERE kind IN (SELECT kind FROM b)""")
+def _(spark, sf):
+    nodes, refs = nation_nodes(spark, sf), trade_references(spark, sf)
+    of = lambda y: Graph(nodes, graph.merge_edges(refs.where(F.year("year") == y), nodes))
+    d = graph.diff_graphs(of(1996), of(1997))
+    row = lambda c: d[f"{c}_edges"].select(F.lit(c).alias("change"), "source", "target", "kind")
+    return row("added").unionByName(row("removed"))
+
+
+@query("g152_usage_neighbourhood", f"""WITH RECURSIVE {SEQUENCE}, start AS (SELECT source AS id FROM seq GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1),
+h(id, depth) AS (SELECT id, 0 FROM start UNION SELECT s.target, depth + 1 FROM h JOIN seq s ON s.source = h.id WHERE depth < 3)
+SELECT id, min(depth)::INTEGER AS depth FROM h WHERE id NOT IN (SELECT id FROM start) GROUP BY id""")
+def _(spark, sf):
+    g = part_graph(spark, sf)
+    start = g.edges.groupBy("source").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source").first()["source"]
+    return graph.usage_neighbourhood(g.nodes, g.edges, start, 3, 1_000_000, incoming=False)[0].select("id", "depth")
+
+
+@query("g153_containment_neighbours", f"WITH {CONTAINMENT} SELECT target AS id FROM cedges WHERE kind = 'member' AND source = 'NATION_3' ORDER BY 1 LIMIT 11")
+def _(spark, sf):
+    return graph.containment_neighbours(containment(spark, sf).edges, "NATION_3", 10)[0]
+
+
+@query("g110_top_by_degree", f"""WITH {SEQUENCE}, d AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT source AS id, target AS o, 0 AS w FROM seq UNION ALL SELECT DISTINCT target, source, 1 FROM seq) GROUP BY id)
+SELECT id, n::BIGINT AS total_degree FROM parts JOIN d USING (id) ORDER BY n DESC, id LIMIT 20""")
+def _(spark, sf):
+    g = part_graph(spark, sf)
+    return graph.top_by_degree(g.nodes, g.edges, 20).select("id", "total_degree")
+
+
+# ---- metrics, layers, findings
+
+_METRICS = f"""WITH {TRADE}, p AS (SELECT DISTINCT source, target FROM edges WHERE source <> target),
+c AS (SELECT id, (SELECT count(*) FROM p WHERE target = id)::BIGINT AS ca, (SELECT count(*) FROM p WHERE source = id)::BIGINT AS ce, CASE kind WHEN 'protocol' THEN 1.0 ELSE 0.0 END::DOUBLE AS abstractness FROM nodes),
+m AS (SELECT *, CASE WHEN ca + ce > 0 THEN ce / (ca + ce) ELSE 0.0 END AS instability FROM c),
+z AS (SELECT *, abs(abstractness + instability - 1) AS distance FROM m)
+SELECT id, ca, ce, round(instability, 6) AS instability, abstractness, round(distance, 6) AS distance,
+       CASE WHEN ca + ce = 0 THEN 'isolated' WHEN distance > 0.3 AND abstractness + instability < 1 THEN 'pain' WHEN distance > 0.3 THEN 'useless' ELSE 'main-sequence' END AS zone FROM z"""
+
+
+def _coupling(spark, sf):
+    g = trade_graph(spark, sf)
+    types = g.nodes.groupBy("id").agg(F.count("*").alias("types"), F.count_if(F.col("kind") == "protocol").alias("abstract_types"))
+    return metrics.coupling(g.nodes, g.edges, types).drop("types", "abstract_types").withColumns({"instability": F.round("instability", 6), "distance": F.round("distance", 6)})
+
+
+query("g090_coupling_metrics", _METRICS)(_coupling)
+
+
+@query("g070_metric_threshold", f"SELECT id, distance FROM ({_METRICS}) WHERE zone <> 'isolated' AND distance > 0.4")
+def _(spark, sf):
+    return metrics.above(_coupling(spark, sf), 0.4).select("id", "distance")
+
+
+@query("g091_composition", f"WITH {TRADE} SELECT module AS id, count(*)::BIGINT AS types, count(*) FILTER (WHERE kind = 'protocol')::BIGINT AS abstract_types FROM nodes GROUP BY 1")
+def _(spark, sf):
+    return metrics.composition(nation_nodes(spark, sf))
+
+
+LAYERS = [("east", ["ASIA/**", "MIDDLE EAST/**"]), ("core", ["**/NATION_1*"]), ("west", ["AMERICA/**", "EUROPE/**"])]
+_LAYER_SQL = f"""{TRADE}, layer AS (SELECT id, CASE WHEN module IN ('ASIA', 'MIDDLE EAST') THEN 'east' WHEN id LIKE 'NATION\\_1%' ESCAPE '\\' THEN 'core' WHEN module IN ('AMERICA', 'EUROPE') THEN 'west' END AS layer FROM nodes)"""
+
+
+def _assigned(spark, sf):
+    return nation_nodes(spark, sf).select("id", layers.layer_of(F.col("location.path"), LAYERS).alias("layer"))
+
+
+@query("g150_layer_violations", f"""WITH {_LAYER_SQL}, e AS (SELECT e.*, a.layer AS from_layer, b.layer AS to_layer FROM edges e JOIN layer a ON a.id = source JOIN layer b ON b.id = target WHERE a.layer <> b.layer)
+SELECT source, target, kind, from_layer, to_layer, CASE from_layer WHEN 'east' THEN 'no-west' ELSE 'only-core' END AS rule FROM e
+WHERE (from_layer = 'east' AND to_layer = 'west') OR (from_layer = 'west' AND to_layer <> 'core')""")
+def _(spark, sf):
+    rules = values(spark, [(0, "no-west", "east", None, ["west"], "error"), (1, "only-core", "west", ["core"], None, "warning")], "ordinal int, name string, `from` string, allow array<string>, deny array<string>, severity string")
+    return layers.violations(trade_graph(spark, sf).edges, _assigned(spark, sf), rules).drop("severity")
+
+
+@query("g150_unassigned", f"WITH {_LAYER_SQL} SELECT id FROM layer WHERE layer IS NULL")
+def _(spark, sf):
+    return layers.unassigned(_assigned(spark, sf))
+
+
+@query("g151_layer_explanation", f"""WITH {_LAYER_SQL} SELECT id, layer, CASE WHEN module = 'ASIA' THEN 'ASIA/**' WHEN module = 'MIDDLE EAST' THEN 'MIDDLE EAST/**' WHEN layer = 'core' THEN '**/NATION_1*' WHEN layer = 'west' THEN module || '/**' END AS pattern FROM layer JOIN nodes USING (id)""")
+def _(spark, sf):
+    n = nation_nodes(spark, sf).withColumn("path", F.col("location.path"))
+    return layers.explain_layer(n, LAYERS, "path")
+
+
+def _order_findings(spark, sf):
+    o = load(spark, sf, "orders")
+    rule = F.when(F.col("o_orderstatus") == "F", "unused-symbol").when(F.col("o_orderstatus") == "O", "unused-import").otherwise("layer-violation")
+    severity = F.when(F.col("o_totalprice") > 300000, "error").when(F.col("o_totalprice") > 100000, "warning").otherwise("info")
+    where = F.when(F.col("o_orderkey") % 7 != 0, F.struct(F.concat(F.lit("c"), (F.col("o_custkey") % 300)).alias("path"), (F.col("o_orderkey") % 500).cast("int").alias("line"), F.lit(1).alias("column")))
+    return o.select(rule.alias("ruleIdentifier"), severity.alias("severity"), F.concat(F.lit("order "), F.col("o_orderkey")).alias("message"), where.alias("location"), F.concat(F.lit("o"), F.col("o_orderkey") % 900).alias("subject"), F.array().cast("array<string>").alias("details"))
+
+
+FINDINGS = """f AS (SELECT CASE o_orderstatus WHEN 'F' THEN 'unused-symbol' WHEN 'O' THEN 'unused-import' ELSE 'layer-violation' END AS rule,
+  CASE WHEN o_totalprice > 300000 THEN 'error' WHEN o_totalprice > 100000 THEN 'warning' ELSE 'info' END AS severity, 'order ' || o_orderkey AS message,
+  CASE WHEN o_orderkey % 7 <> 0 THEN 'c' || (o_custkey % 300) END AS path, CASE WHEN o_orderkey % 7 <> 0 THEN o_orderkey % 500 END AS line, 'o' || (o_orderkey % 900) AS subject FROM orders)"""
+
+
+@query("g068_baseline_suppression", f"WITH {FINDINGS} SELECT message FROM f WHERE rule || '|' || subject NOT IN (SELECT rule || '|' || subject FROM f WHERE severity = 'error')")
+def _(spark, sf):
+    f = _order_findings(spark, sf)
+    return findings.suppress(f, f.where("severity = 'error'").select(findings.fingerprint().alias("fingerprint"))).select("message")
+
+
+@query("g069_rebase_fingerprints", "SELECT DISTINCT unnest(['unused|/src/' || p_type, 'unused|' || p_type]) AS fingerprint FROM part")
+def _(spark, sf):
+    b = load(spark, sf, "part").select(F.concat(F.lit("unused|/src/"), F.col("p_type")).alias("fingerprint"))
+    return findings.rebase_fingerprints(b, ["/src"])
+
+
+@query("g066_report_scope", f"""WITH {FINDINGS}, r AS (SELECT 'c' || c_custkey AS path, (c_custkey % 7) * 40 AS a, (c_custkey % 7) * 40 + 60 AS b, c_custkey % 3 = 0 AS whole FROM customer WHERE c_custkey < 150)
+SELECT message FROM f WHERE path IS NULL OR EXISTS (SELECT 1 FROM r WHERE r.path = f.path AND (whole OR line BETWEEN a AND b))""")
+def _(spark, sf):
+    c = load(spark, sf, "customer").where("c_custkey < 150")
+    path = F.concat(F.lit("c"), F.col("c_custkey")).alias("path")
+    first = (F.col("c_custkey") % 7 * 40).cast("int")
+    ranges = c.where("c_custkey % 3 <> 0").select(path, first.alias("first"), (first + 60).alias("last"))
+    return findings.in_scope(_order_findings(spark, sf), c.select(path), ranges).select("message")
+
+
+@query("g095_file_summary", f"""WITH {FINDINGS}, p AS (SELECT path, rule, count(*) AS k FROM f WHERE path IS NOT NULL GROUP BY ALL),
+s AS (SELECT path, count(*)::BIGINT AS n, count(*) FILTER (WHERE severity = 'error')::BIGINT AS errors, count(*) FILTER (WHERE severity = 'warning')::BIGINT AS warnings, count(*) FILTER (WHERE severity = 'info')::BIGINT AS infos FROM f WHERE path IS NOT NULL GROUP BY path ORDER BY n DESC, path LIMIT 50)
+SELECT s.*, (SELECT string_agg(rule || '=' || k, ',' ORDER BY rule) FROM p WHERE p.path = s.path) AS rules FROM s""")
+def _(spark, sf):
+    return findings.summarize_files(_order_findings(spark, sf), 50)
+
+
+@query("g112_finding_order", f"""WITH {FINDINGS} SELECT message, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, rule, path IS NULL, path, line, message)::INTEGER AS position FROM f ORDER BY position LIMIT 100""")
+def _(spark, sf):
+    first = findings.ordered(_order_findings(spark, sf)).limit(100)
+    w = Window.orderBy(findings.severity_rank().desc(), "ruleIdentifier", F.col("location").isNull(), F.col("location").asc_nulls_last(), "message")
+    return first.select("message", F.row_number().over(w).alias("position"))
+
+
+@query("g097_site_evidence", f"""WITH {TRADE}, s AS (SELECT DISTINCT source, target, kind, year(year) AS y FROM trade), r AS (SELECT *, row_number() OVER (PARTITION BY source, target, kind ORDER BY y) AS k FROM s)
+SELECT source, target, kind, count(*)::BIGINT AS total, string_agg(CASE WHEN k <= 2 THEN y END, ',' ORDER BY y) AS sites, greatest(count(*) - 2, 0)::BIGINT AS omitted FROM r GROUP BY ALL""")
+def _(spark, sf):
+    refs = trade_references(spark, sf).select("source", "target", "kind", F.year("year").alias("location"))
+    e = findings.site_evidence(refs, 2)
+    return e.select("source", "target", "kind", "total", F.array_join(F.col("sites").cast("array<string>"), ",").alias("sites"), F.col("omitted").cast("long").alias("omitted"))
+
+
+@query("g114_shared_budget", f"WITH {TRADE} SELECT source, target, kind, row_number() OVER (ORDER BY source, target, kind)::INTEGER AS position FROM edges ORDER BY position LIMIT 200")
+def _(spark, sf):
+    return findings.share_budget(trade_graph(spark, sf).edges, ["source"], ["target", "kind"], 200).select("source", "target", "kind", "position")
+
+
+# ---- reachability, cycles, impact, traversal
+
+def _part_reach(spark, sf):
+    g = part_graph(spark, sf)
+    roots = g.nodes.where("k % 50 = 0").select("id")
+    return g, reach.reachable(g, roots)
+
+
+_REACH = f"""{SEQUENCE}, r(id) AS (SELECT id FROM parts WHERE k % 50 = 0 UNION SELECT s.target FROM r JOIN seq s ON s.source = r.id)"""
+
+
+@query("g138_reachable", f"WITH RECURSIVE {_REACH} SELECT id FROM r")
+def _(spark, sf):
+    return _part_reach(spark, sf)[1].select("id")
+
+
+@query("g130_unused", f"WITH RECURSIVE {_REACH} SELECT id FROM parts WHERE id NOT IN (SELECT id FROM r) AND p_size <> 50")
+def _(spark, sf):
+    g, r = _part_reach(spark, sf)
+    return reach.unused(g, r).select("id")
+
+
+@query("g140_test_only", f"""WITH RECURSIVE {_REACH}, q(id) AS (SELECT id FROM parts WHERE k % 100 = 0 UNION SELECT s.target FROM q JOIN seq s ON s.source = q.id)
+SELECT id FROM parts WHERE id IN (SELECT id FROM r) AND id NOT IN (SELECT id FROM q) AND p_brand <> 'Brand#1'""")
+def _(spark, sf):
+    g, r = _part_reach(spark, sf)
+    production = reach.reachable(g, g.nodes.where("k % 100 = 0").select("id"))
+    return reach.test_only(g, r, production, reach.Retention(test_modules=("Brand#1",))).select("id")
+
+
+@query("g141_unused_parameters", f"""WITH RECURSIVE {_REACH} SELECT o_orderkey::BIGINT AS parameter FROM orders WHERE o_orderstatus = 'F' AND 'p' || (o_orderkey % 400) IN (SELECT id FROM r) AND o_orderkey % 400 >= 20""")
+def _(spark, sf):
+    g, r = _part_reach(spark, sf)
+    o = load(spark, sf, "orders")
+    used = F.when(F.col("o_orderstatus") == "F", False).when(F.col("o_orderstatus") == "O", True)
+    p = o.select(F.col("o_orderkey").alias("parameter"), F.concat(F.lit("p"), F.col("o_orderkey") % 400).alias("functionUSR"), used.alias("isReferenced"))
+    return reach.unused_parameters(p, r, g.nodes.where("k < 20").select("id")).select("parameter")
+
+
+@query("g142_assign_only", "SELECT 'p' || p_partkey AS id FROM part WHERE p_partkey % 2 = 0 AND p_partkey % 3 <> 0 AND p_partkey % 5 <> 0 AND p_size < 40")
+def _(spark, sf):
+    p = part_nodes(spark, sf).withColumns({"kind": F.lit("property"), "accessibility": F.when(F.col("size") < 40, "private").otherwise("public")})
+    facts = p.select(F.col("id").alias("usr"), (F.col("k") % 3 == 0).alias("hasRead"), (F.col("k") % 2 == 0).alias("hasWrite"), (F.col("k") % 5 == 0).alias("hasAmbiguous"))
+    empty = values(spark, [], "source string, target string, kind string, weight long")
+    return reach.assign_only(facts, Graph(p, empty)).select("id")
+
+
+_SCC = f"""{HEAVY}, c(a, b) AS (SELECT source, target FROM heavy UNION SELECT c.a, h.target FROM c JOIN heavy h ON h.source = c.b),
+scc AS (SELECT x.a AS id, min(least(x.b, x.a)) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1)"""
+
+
+@query("g147_strong_components", f"WITH RECURSIVE {_SCC} SELECT id, component FROM scc")
+def _(spark, sf):
+    return cycles.strong_components(heavy_edges(spark, sf))
+
+
+@query("g147_strong_components_parts", f"""WITH RECURSIVE {SEQUENCE}, c(a, b) AS (SELECT source, target FROM seq UNION SELECT c.a, h.target FROM c JOIN seq h ON h.source = c.b)
+SELECT x.a AS id, min(least(x.b, x.a)) AS component FROM c x JOIN c y ON x.a = y.b AND x.b = y.a WHERE x.a <> x.b GROUP BY 1""")
+def _(spark, sf):
+    return cycles.strong_components(part_graph(spark, sf).edges)
+
+
+@query("g148_mutual_pairs", f"""WITH RECURSIVE {_SCC} SELECT component, min({{'s': a.source, 't': a.target}}).s || ' > ' || min({{'s': a.source, 't': a.target}}).t AS path, 2::BIGINT AS length FROM heavy a JOIN heavy b ON a.source = b.target AND a.target = b.source JOIN scc ON scc.id = a.source WHERE a.source < a.target GROUP BY component""")
+def _(spark, sf):
+    e = heavy_edges(spark, sf)
+    return cycles.representative_cycles(e, cycles.strong_components(e)).where("length = 2").select("component", "path", "length")
+
+
+@query("g148_representative_cycles")
+def _(spark, sf):
+    e = part_graph(spark, sf).edges
+    return cycles.representative_cycles(e, cycles.strong_components(e))
+
+
+@query("g149_weakest_links")
+def _(spark, sf):
+    e = part_graph(spark, sf).edges
+    return cycles.weakest_links(cycles.representative_cycles(e, cycles.strong_components(e)), e)
+
+
+_IMPACT = f"""{SEQUENCE}, ch AS (SELECT id FROM parts WHERE k % 97 = 3), h(id, depth) AS (SELECT id, 0 FROM ch UNION SELECT s.source, depth + 1 FROM h JOIN seq s ON s.target = h.id WHERE depth < 4),
+d AS (SELECT id, min(depth) AS depth FROM h GROUP BY id)"""
+
+
+@query("g154_impact", f"WITH RECURSIVE {_IMPACT} SELECT d.id, d.depth::INTEGER AS depth, min(s.target) AS via, 'dependent' AS relation, 'call' AS kinds FROM d JOIN seq s ON s.source = d.id JOIN d p ON p.id = s.target AND p.depth = d.depth - 1 WHERE d.depth > 0 GROUP BY d.id, d.depth")
+def _(spark, sf):
+    g = part_graph(spark, sf)
+    return impact.impact(g, g.nodes.where("k % 97 = 3").select("id"), 4)[0].drop("contract")
+
+
+@query("g165_affected_tests", f"WITH RECURSIVE {_IMPACT.replace('depth < 4', 'depth < 60')} SELECT id, depth::INTEGER AS depth, true AS certain FROM d JOIN parts USING (id) WHERE k % 5 = 0")
+def _(spark, sf):
+    g = part_graph(spark, sf)
+    tests = g.nodes.where("k % 5 = 0").select("id", F.lit(True).alias("certain"))
+    return impact.affected_tests(g, g.nodes.where("k % 97 = 3").select("id"), tests)
+
+
+@query("g169_compare_impact", f"""WITH RECURSIVE {_IMPACT}, s2 AS (SELECT * FROM seq WHERE weight > 1 OR source < target), h2(id, depth) AS (SELECT id, 0 FROM ch UNION SELECT s.source, depth + 1 FROM h2 JOIN s2 s ON s.target = h2.id WHERE depth < 4),
+d2 AS (SELECT id, min(depth) AS depth FROM h2 GROUP BY id HAVING min(depth) > 0), d1 AS (SELECT * FROM d WHERE depth > 0)
+SELECT id, d1.depth::INTEGER AS before_depth, d2.depth::INTEGER AS after_depth, CASE WHEN d1.depth IS NULL THEN 'added' WHEN d2.depth IS NULL THEN 'removed' ELSE 'kept' END AS status FROM d1 FULL JOIN d2 USING (id)""")
+def _(spark, sf):
+    g = part_graph(spark, sf)
+    after = Graph(g.nodes, g.edges.where("weight > 1 or source < target"))
+    return impact.compare_impact(g, after, g.nodes.where("k % 97 = 3").select("id"), 4)["affected"]
+
+
+_ROOTS = f"""{SEQUENCE}, e AS (SELECT source AS a, target AS b FROM seq), roots AS (SELECT id, (row_number() OVER (ORDER BY id) - 1)::INTEGER AS pos FROM parts WHERE k % 61 = 7),
+w(v, r) AS (SELECT id, pos FROM roots UNION SELECT e.b, w.r FROM w JOIN e ON e.a = w.v),
+l(v, r, d) AS (SELECT id, pos, 0 FROM roots UNION SELECT e.b, l.r, d + 1 FROM l JOIN e ON e.a = l.v WHERE d < 5),
+dist AS (SELECT v, r, min(d) AS d FROM l GROUP BY ALL), own AS (SELECT id AS v, pos AS own FROM roots),
+sets AS (SELECT w.v, string_agg(r, ',' ORDER BY r) AS roots FROM w LEFT JOIN own USING (v) WHERE own IS NULL OR r <> own GROUP BY w.v),
+near AS (SELECT dist.v, own, min(d) AS depth FROM dist LEFT JOIN own USING (v) WHERE own IS NULL OR r <> own GROUP BY ALL),
+via AS (SELECT n.v, e.a, min(d.d) AS d FROM near n JOIN e ON e.b = n.v JOIN dist d ON d.v = e.a WHERE n.own IS NULL OR d.r <> n.own GROUP BY ALL)"""
+
+
+@query("g160_multi_root", f"""WITH RECURSIVE {_ROOTS} SELECT n.v AS id, n.depth::INTEGER AS depth, min(via.a) AS via, any_value(s.roots) AS roots, 'direct' AS evidence FROM near n JOIN sets s USING (v) JOIN via ON via.v = n.v AND via.d = n.depth - 1 WHERE n.depth <= 4 GROUP BY n.v, n.depth""")
+def _(spark, sf):
+    g = part_graph(spark, sf)
+    roots = g.nodes.where("k % 61 = 7").select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("position"))
+    return multiroot.traverse(multiroot.traversal_hops(g, dependents=False), roots, 4)[0]
+
+
+@query("g161_root_sets", f"WITH RECURSIVE {_ROOTS} SELECT v AS vertex, r AS root FROM w")
+def _(spark, sf):
+    g = part_graph(spark, sf)
+    roots = g.nodes.where("k % 61 = 7").select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("position"))
+    return multiroot.root_sets(multiroot.traversal_hops(g, dependents=False), roots, 2)
+
+
+@query("g106_nearest_two_roots", f"WITH RECURSIVE {_ROOTS}, k AS (SELECT *, row_number() OVER (PARTITION BY v ORDER BY d, r) AS n FROM dist) SELECT v AS vertex, r AS root, d::INTEGER AS distance FROM k WHERE n <= 2")
+def _(spark, sf):
+    g = part_graph(spark, sf)
+    roots = g.nodes.where("k % 61 = 7").select("id", (F.row_number().over(Window.orderBy("id")) - 1).alias("position"))
+    return multiroot.nearest_two(multiroot.traversal_hops(g, dependents=False), roots, 5)
+
+
+@query("g170_combined_check", f"""WITH RECURSIVE {_SCC}, {_LAYER_SQL.split(', layer AS', 1)[1].join(['layer AS', ''])}, {_REACH}
+SELECT 'unused-symbol' AS rule, count(*)::BIGINT AS n FROM parts WHERE id NOT IN (SELECT id FROM r) AND p_size <> 50
+UNION ALL SELECT 'dependency-cycle', count(DISTINCT component) FROM scc
+UNION ALL SELECT 'layer-violation', count(*) FROM edges e JOIN layer a ON a.id = source JOIN layer b ON b.id = target WHERE a.layer = 'east' AND b.layer = 'west'""")
+def _(spark, sf):
+    g, r = _part_reach(spark, sf)
+    scc = cycles.strong_components(heavy_edges(spark, sf))
+    rules = values(spark, [("no-west", "east", None, ["west"], "error")], "name string, `from` string, allow array<string>, deny array<string>, severity string")
+    broken = layers.violations(trade_graph(spark, sf).edges, _assigned(spark, sf), rules)
+    one = lambda df, rule, c="*": df.agg(F.count(c) if c == "*" else F.count_distinct(c)).toDF("n").select(F.lit(rule).alias("rule"), "n")
+    return one(reach.unused(g, r), "unused-symbol").unionByName(one(scc, "dependency-cycle", "component")).unionByName(one(broken, "layer-violation"))
+
+
+# ---- lookup
+
+@query("g060_resolve_names", """WITH q AS (SELECT s_suppkey AS position, CASE s_suppkey % 3 WHEN 0 THEN 'p' || s_suppkey WHEN 1 THEN (SELECT min(p_name) FROM part WHERE p_partkey = s_suppkey) ELSE 'none' || s_suppkey END AS subject FROM supplier),
+h AS (SELECT position, subject, id FROM q JOIN (SELECT 'p' || p_partkey AS id, 'p' || p_partkey AS k FROM part UNION SELECT 'p' || p_partkey, p_name FROM part) ON k = subject),
+c AS (SELECT position, count(DISTINCT id) AS n, min(id) AS first FROM h GROUP BY 1)
+SELECT position::BIGINT AS position, subject, CASE WHEN n IS NULL THEN 'notFound' WHEN n = 1 THEN 'found' ELSE 'ambiguous' END AS status, coalesce(n, 0)::INTEGER AS n, first FROM q LEFT JOIN c USING (position)""")
+def _(spark, sf):
+    s, p = load(spark, sf, "supplier"), load(spark, sf, "part")
+    names = p.select(F.col("p_partkey").alias("s_suppkey"), "p_name")
+    q = s.join(names, "s_suppkey", "left").select(F.col("s_suppkey").alias("position"), F.when(F.col("s_suppkey") % 3 == 0, F.concat(F.lit("p"), "s_suppkey")).when(F.col("s_suppkey") % 3 == 1, F.col("p_name")).otherwise(F.concat(F.lit("none"), "s_suppkey")).alias("subject"))
+    r = lookup.resolve(q, part_nodes(spark, sf))
+    return r.select("position", "subject", "status", F.size("candidates").alias("n"), F.try_element_at("candidates", F.lit(1)).alias("first"))
+
+
+@query("g063_similar_names", """WITH q(position, subject) AS (VALUES (0, 'smal rng'), (1, 'blue bold'), (2, 'red widgets'), (3, ''), (4, 'zzzzzzzzzz')), n AS (SELECT DISTINCT p_name AS name FROM part),
+d AS (SELECT position, name, levenshtein(lower(subject), lower(name)) AS distance, greatest(2, length(subject) // 3) AS k FROM q, n WHERE subject <> '')
+SELECT position, name, distance::INTEGER AS distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY position ORDER BY distance, name)::INTEGER AS rank FROM d WHERE distance <= k) WHERE rank <= 5""")
+def _(spark, sf):
+    q = values(spark, [(0, "smal rng"), (1, "blue bold"), (2, "red widgets"), (3, ""), (4, "zzzzzzzzzz")], "position int, subject string")
+    n = load(spark, sf, "part").select(F.col("p_name").alias("id"), F.col("p_name").alias("name")).distinct()
+    return lookup.similar_names(q, n).select("position", "name", "distance", "rank")
+
+
+@query("g065_base_and_qualified_names", "SELECT p_partkey, regexp_replace(regexp_replace(p_name || '(a:b:)', '[(].*$', ''), '[?!]+$', '') AS base, p_brand || '.' || p_name || '?' AS qualified FROM part")
+def _(spark, sf):
+    p = load(spark, sf, "part")
+    return p.select("p_partkey", text.base_name(F.concat("p_name", F.lit("(a:b:)"))).alias("base"), text.qualified_name(F.col("p_brand"), F.concat("p_name", F.lit("?"))).alias("qualified"))
+
+
+# ---- ingestion
+
+@query("g025_asof_enclosing", """WITH d AS (SELECT event_id, user_id, ts, event_type FROM events WHERE event_type IN ('signup', 'purchase')), r AS (SELECT event_id, user_id, ts FROM events WHERE event_type = 'click')
+SELECT r.event_id, (SELECT max_by(d.event_id, d.ts) FROM d WHERE d.user_id = r.user_id AND d.ts < r.ts) AS enclosing FROM r""")
+def _(spark, sf):
+    e = load(spark, sf, "events").select("event_id", "user_id", "ts", "event_type")
+    refs = e.where("event_type = 'click'").select("event_id", "user_id", "ts")
+    defs = e.where("event_type in ('signup', 'purchase')").withColumnRenamed("event_id", "def_id")
+    return ingest.asof_enclosing(refs, defs, ["user_id"], ["ts"], "def_id").select("event_id", "enclosing")
+
+
+@query("g029_nearest_line", """WITH l AS (SELECT o_orderkey AS k, (o_orderkey * 7 % 1000)::INTEGER AS line FROM orders WHERE o_orderkey < 3000),
+d AS (SELECT (s_suppkey * 37 % 1000)::INTEGER AS pos, min(s_suppkey::VARCHAR) AS v FROM supplier GROUP BY 1)
+SELECT k, arg_min(d.pos || ':' || v, abs(l.line - d.pos) * 10000 + d.pos) AS found FROM l, d GROUP BY k""")
+def _(spark, sf):
+    o = load(spark, sf, "orders")
+    left = o.where("o_orderkey < 3000").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("path"), (F.col("o_orderkey") * 7 % 1000).cast("int").alias("line"))
+    at = (F.col("s_suppkey") * 37 % 1000).cast("int")
+    marks = load(spark, sf, "supplier").select(at.alias("at"), F.col("s_suppkey").cast("string").alias("s")).groupBy("at").agg(F.min("s").alias("s"))
+    paths = o.select(F.col("o_orderpriority").alias("path")).distinct()
+    # A handful of priorities beside the suppliers: a dimension, not a pair join.
+    right = marks.select("at", F.concat(F.col("at"), F.lit(":"), F.col("s")).alias("v")).join(F.broadcast(paths.limit(16)))
+    return ingest.nearest(left, right, ["path"], "line", "at", "v").select("k", F.col("v").alias("found"))
+
+
+@query("g031_reference_position", """WITH b AS (SELECT c_mktsegment AS path, (c_custkey * 13 % 5000)::INTEGER AS l1, (c_custkey * 13 % 5000 + 3)::INTEGER AS l2 FROM customer WHERE c_custkey % 4 = 0 AND c_mktsegment <> 'BUILDING')
+SELECT o_orderkey AS rid, CASE WHEN c_mktsegment = 'BUILDING' THEN 'unknown' WHEN EXISTS (SELECT 1 FROM b WHERE b.path = c_mktsegment AND o_orderkey % 5000 BETWEEN l1 AND l2) THEN 'body' ELSE 'signature' END AS position FROM orders JOIN customer ON o_custkey = c_custkey""")
+def _(spark, sf):
+    c = load(spark, sf, "customer")
+    l1 = (F.col("c_custkey") * 13 % 5000).cast("int")
+    b = c.where("c_custkey % 4 = 0 and c_mktsegment <> 'BUILDING'").select(F.col("c_mktsegment").alias("path"), l1.alias("l1"), F.lit(0).alias("c1"), (l1 + 3).alias("l2"), F.lit(9).alias("c2"))
+    refs = load(spark, sf, "orders").join(c, F.col("o_custkey") == F.col("c_custkey")).select(F.col("o_orderkey").alias("rid"), F.col("c_mktsegment").alias("path"), (F.col("o_orderkey") % 5000).cast("int").alias("line"), F.lit(1).alias("column"))
+    return ingest.reference_positions(refs, b).select("rid", "position")
+
+
+@query("g022_upsert_symbols", """WITH s AS (SELECT 'p' || l_partkey AS usr, l_orderkey * 10000000 + l_linenumber * 1000000 + l_suppkey * 10 AS ordinal, l_returnflag = 'A' AS def, l_linestatus AS st, l_shipdate::DATE::VARCHAR AS name FROM lineitem WHERE l_quantity >= 40)
+SELECT usr, count(*)::BIGINT AS n, bool_or(def) AS any_definition, string_agg(DISTINCT st, ',' ORDER BY st) AS attributes, min(ordinal)::BIGINT AS ordinal FROM s GROUP BY usr""")
+def _(spark, sf):
+    li = load(spark, sf, "lineitem").where("l_quantity >= 40")
+    ordinal = F.expr("l_orderkey * 10000000 + l_linenumber * 1000000 + l_suppkey * 10")
+    rows = li.select(F.concat(F.lit("p"), "l_partkey").alias("usr"), ordinal.alias("ordinal"), (F.col("l_returnflag") == "A").alias("is_definition"), F.array("l_linestatus").alias("attributes"), F.lit(None).cast("string").alias("parentUSR"), (F.col("l_returnflag") == "A").alias("compilerUnitTest"), F.lit("x").alias("name"))
+    n = rows.groupBy("usr").agg(F.count("*").alias("n"))
+    return ingest.upsert_symbols(rows).join(n, "usr").select("usr", "n", F.col("compilerUnitTest").alias("any_definition"), F.array_join("attributes", ",").alias("attributes"), "ordinal")
+
+
+@query("g023_fold_accessors", f"WITH {SEQUENCE}, o AS (SELECT id AS accessor, 'p' || (k - 1) AS owner FROM parts WHERE k % 10 = 1) SELECT coalesce(a.owner, source) AS sourceUSR, coalesce(b.owner, target) AS targetUSR FROM seq LEFT JOIN o a ON a.accessor = source LEFT JOIN o b ON b.accessor = target WHERE coalesce(a.owner, source) <> coalesce(b.owner, target)")
+def _(spark, sf):
+    g = part_graph(spark, sf)
+    owners = g.nodes.where("k % 10 = 1").select(F.col("id").alias("accessor"), F.concat(F.lit("p"), F.col("k") - 1).alias("owner"))
+    return ingest.fold_accessors(g.edges.select(F.col("source").alias("sourceUSR"), F.col("target").alias("targetUSR")), owners).select("sourceUSR", "targetUSR")
+
+
+@query("g027_file_module_usage", """SELECT o_custkey::VARCHAR AS path, CASE WHEN count(DISTINCT o_orderstatus) = 1 THEN min(o_orderstatus) END AS "owningModule", coalesce(array_to_string(list_sort(list(DISTINCT o_orderpriority) FILTER (WHERE o_totalprice > 200000)), ','), '') AS referenced,
+(bool_or(false) OR count(DISTINCT o_orderstatus) > 1) AS "hasUnattributedReferences" FROM orders GROUP BY 1""")
+def _(spark, sf):
+    o = load(spark, sf, "orders").select(F.col("o_custkey").cast("string").alias("path"), F.col("o_orderstatus").alias("module"), F.col("o_orderpriority").alias("target_module"), (F.col("o_totalprice") > 200000).alias("is_reference"))
+    return ingest.file_module_usages(o).select("path", "owningModule", F.array_join("referencedModules", ",").alias("referenced"), "hasUnattributedReferences")
+
+
+@query("g028_merge_accesses", """SELECT 'p' || l_partkey AS usr, bool_or(l_returnflag = 'A') AS "hasRead", bool_or(l_returnflag = 'N') AS "hasWrite", bool_or(l_quantity > 49) AS "hasAmbiguous" FROM lineitem GROUP BY 1""")
+def _(spark, sf):
+    li = load(spark, sf, "lineitem")
+    return ingest.merge_accesses(li.select(F.concat(F.lit("p"), "l_partkey").alias("usr"), (F.col("l_returnflag") == "A").alias("hasRead"), (F.col("l_returnflag") == "N").alias("hasWrite"), (F.col("l_quantity") > 49).alias("hasAmbiguous")))
+
+
+@query("g003_dedupe_occurrences", "SELECT count(*)::BIGINT AS n FROM (SELECT DISTINCT l_orderkey, l_linenumber FROM lineitem)")
+def _(spark, sf):
+    li = load(spark, sf, "lineitem").select(F.lit("u").alias("unit"), F.col("l_orderkey").alias("record"), F.lit("s").alias("usr"), F.lit("f").alias("path"), F.col("l_linenumber").alias("line"), F.lit(1).alias("column"), F.lit("ref").alias("roles"))
+    return ingest.dedupe_occurrences(li).agg(F.count("*").alias("n"))
+
+
+@query("g033_freshness", "SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'unknown' WHEN o_orderkey % 5 <> 0 AND o_orderdate <= TIMESTAMP '1997-01-01' THEN 'fresh' ELSE 'stale' END AS freshness FROM orders")
+def _(spark, sf):
+    o = load(spark, sf, "orders")
+    d = o.select("o_orderkey", F.col("o_orderdate").alias("after"), F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderdate") - F.expr("interval 1 day")).otherwise(F.col("o_orderdate")).alias("before"), F.when(F.col("o_orderstatus") != "P", F.expr("timestamp'1997-01-01'")).alias("indexed"))
+    return ingest.freshness(d).select("o_orderkey", "freshness")
+
+
+# ---- exposure
+
+@query("g145_redundant_public", f"""WITH {TRADE}, f AS (SELECT target AS id, count(*)::BIGINT AS n, bool_and(s.module = t.module) AS own FROM edges e JOIN nodes s ON s.id = source JOIN nodes t ON t.id = target WHERE source <> target AND weight % 6 = 0 AND (s.module = t.module OR t.k % 2 = 0) GROUP BY 1)
+SELECT id, n AS n_references FROM nodes JOIN f USING (id) WHERE accessibility = 'public' AND own""")
+def _(spark, sf):
+    g = trade_graph(spark, sf)
+    m = g.nodes.select("id", "module", F.col("location.line").alias("k"))
+    e = g.edges.where("weight % 6 = 0").join(m.select(F.col("id").alias("source"), F.col("module").alias("sm")), "source").join(m.select(F.col("id").alias("target"), F.col("module").alias("tm"), "k"), "target").where("sm = tm or k % 2 = 0")
+    refs = e.select(F.col("source").alias("sourceUSR"), F.col("target").alias("targetUSR"), F.lit("body").alias("position"))
+    plain = Graph(g.nodes, g.edges.limit(0))
+    return exposure.redundant_public(plain, refs, g.nodes).select("id", "n_references")
+
+
+@query("g146_unused_imports", """WITH i AS (SELECT DISTINCT 'f' || o_custkey AS path, o_orderpriority AS module FROM orders WHERE o_orderkey % 3 = 0), u AS (SELECT 'f' || o_custkey AS path, list(DISTINCT o_orderpriority) AS used, bool_or(o_orderkey % 11 = 0) AS open FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1),
+h AS (SELECT path, list(DISTINCT module) AS heads FROM i GROUP BY 1)
+SELECT i.path, i.module FROM i JOIN u USING (path) JOIN h USING (path) WHERE NOT open AND NOT list_contains(used, module) AND len(list_filter(used, lambda x: NOT list_contains(heads, x))) = 0""")
+def _(spark, sf):
+    o = load(spark, sf, "orders").withColumn("path", F.concat(F.lit("f"), "o_custkey"))
+    no = F.lit(False)
+    imports = o.where("o_orderkey % 3 = 0").select(F.array("o_orderpriority").alias("modulePath"), no.alias("isConditional"), no.alias("isReexported"), no.alias("isIgnored"), F.lit(None).cast("boolean").alias("fileHasConditionalCompilation"), F.struct("path").alias("location")).distinct()
+    usages = o.where("o_orderkey % 3 <> 1").groupBy("path").agg(F.collect_set("o_orderpriority").alias("referencedModules"), F.bool_or(F.col("o_orderkey") % 11 == 0).alias("hasUnattributedReferences"), F.lit("own").alias("owningModule"))
+    return exposure.unused_imports(imports, usages, values(spark, [], "module string"), values(spark, [], "module string, target string"))
+
+
+@query("g122_reexport_closure", f"WITH RECURSIVE {HEAVY}, c(module, supplies) AS (SELECT source, target FROM heavy UNION SELECT c.module, h.target FROM c JOIN heavy h ON h.source = c.supplies) SELECT module, supplies FROM c")
+def _(spark, sf):
+    return exposure.reexport_closure(heavy_edges(spark, sf).select(F.col("source").alias("module"), "target"))
+
+
+@query("g159_enum_changes", """WITH b AS (SELECT p_brand AS e, list(DISTINCT p_name) FILTER (WHERE p_size < 30) AS old, list(DISTINCT p_name) AS new FROM part GROUP BY 1)
+SELECT e AS "enumUSR", array_to_string(list_sort(list_filter(new, lambda x: NOT list_contains(coalesce(old, []), x))), ',') AS added FROM b""")
+def _(spark, sf):
+    p = load(spark, sf, "part")
+    inv = lambda c: p.groupBy(F.col("p_brand").alias("enumUSR")).agg(F.collect_set(c).alias("caseUSRs"), F.lit(True).alias("complete"))
+    empty = values(spark, [], "enumUSR string, explicitCaseUSRs array<string>, guardedCaseUSRs array<string>, status string")
+    d = impact.enum_changes(inv(F.when(F.col("p_size") < 30, F.col("p_name"))), inv(F.col("p_name")), empty)
+    return d["changes"].select("enumUSR", F.array_join(F.sort_array("added"), ",").alias("added"))
+
+
+# ---- runtime
+
+@query("g185_notifications", """WITH r AS (SELECT user_id % 40 AS channel, user_id AS token, ts, event_id FROM events WHERE event_type = 'signup'), x AS (SELECT user_id % 40 AS channel, user_id AS token, ts FROM events WHERE event_type = 'error'), p AS (SELECT user_id % 40 AS channel, ts, event_id FROM events WHERE event_type = 'purchase' AND event_id % 20 = 0),
+l AS (SELECT r.*, (SELECT min(x.ts) FROM x WHERE x.channel = r.channel AND x.token = r.token AND x.ts > r.ts) AS until FROM r)
+SELECT l.channel, 'o' || l.event_id AS observer, p.event_id AS post FROM l JOIN p ON p.channel = l.channel AND l.ts < p.ts AND (until IS NULL OR p.ts <= until)""")
+def _(spark, sf):
+    e = load(spark, sf, "events").withColumns({"channel": F.col("user_id") % 40, "token": F.col("user_id"), "at": F.col("ts")})
+    of = lambda t: e.where(F.col("event_type") == t)
+    return runtime.notifications(of("signup").withColumn("observer", F.concat(F.lit("o"), "event_id")), of("purchase").where("event_id % 20 = 0").withColumn("post", F.col("event_id")), of("error"))
+
+
+@query("g186_registry", """WITH e AS (SELECT p_brand AS registry, p_name AS key, count(*) AS n, min('p' || p_partkey) AS v FROM part WHERE p_size <= 4 GROUP BY ALL)
+SELECT p_partkey AS lookup, CASE WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status, CASE WHEN n = 1 THEN v END AS value FROM part LEFT JOIN e ON p_brand = registry AND p_name = key""")
+def _(spark, sf):
+    p = load(spark, sf, "part").select(F.col("p_brand").alias("registry"), F.col("p_name").alias("key"), F.concat(F.lit("p"), "p_partkey").alias("value"), "p_partkey", "p_size")
+    return runtime.resolve_registry(p.select(F.col("p_partkey").alias("lookup"), "registry", "key"), p.where("p_size <= 4").select("registry", "key", "value")).select("lookup", "status", "value")
+
+
+@query("g182_runtime_names", """WITH d AS (SELECT p_name AS name, count(*) AS n, min('p' || p_partkey) AS id FROM part WHERE p_size < 3 GROUP BY 1)
+SELECT p_partkey AS boundary, CASE WHEN p_size = 50 THEN 'stale' WHEN p_size = 49 THEN 'unindexed' WHEN n IS NULL THEN 'unresolved' WHEN n > 1 THEN 'ambiguous' ELSE 'resolved' END AS status FROM part LEFT JOIN d ON name = p_name""")
+def _(spark, sf):
+    p = load(spark, sf, "part")
+    fresh = F.when(F.col("p_size") == 50, "stale").when(F.col("p_size") == 49, "unknown").otherwise("fresh")
+    b = p.select(F.col("p_partkey").alias("boundary"), F.col("p_name").alias("name"), fresh.alias("freshness"))
+    return runtime.resolve_names(b, p.where("p_size < 3").select(F.col("p_name").alias("name"), F.concat(F.lit("p"), "p_partkey").alias("id"))).select("boundary", "status")
+
+
+@query("g183_ancestor_distances", f"""WITH RECURSIVE {CONTAINMENT}, t AS (SELECT id FROM parent UNION SELECT parent FROM parent), a(id, ancestor, d) AS (SELECT id, id, 0 FROM t UNION ALL SELECT a.id, p.parent, d + 1 FROM a JOIN parent p ON p.id = a.ancestor)
+SELECT id AS type, ancestor, min(d)::INTEGER AS distance FROM a GROUP BY ALL""")
+def _(spark, sf):
+    g = containment(spark, sf)
+    return runtime.ancestor_distances(graph.semantic_parent(g.nodes, g.edges).withColumnRenamed("id", "type"))
+
+
+_CONTRACTS = """c AS (SELECT DISTINCT 'u' || user_id AS id, user_id FROM events), o AS (SELECT 'u' || user_id AS id, event_type AS scenario, CASE WHEN value > 99 THEN 'failed' ELSE 'observed' END AS outcome FROM events WHERE event_id % 9 = 0),
+s AS (SELECT c.id, sc.scenario, count(o.outcome) AS n, coalesce(bool_or(o.outcome = 'failed'), false) AS bad FROM c, (VALUES ('click'), ('view'), ('purchase')) sc(scenario) LEFT JOIN o ON o.id = c.id AND o.scenario = sc.scenario GROUP BY ALL)"""
+
+
+def _contracts(spark, sf):
+    e = load(spark, sf, "events")
+    ids = e.select(F.concat(F.lit("u"), "user_id").alias("id")).distinct()
+    c = ids.select("id", F.lit(None).cast("string").alias("source"), F.lit("t").alias("target"), F.lit("selector").alias("mechanism"), F.array(*map(F.lit, ("click", "view", "purchase"))).alias("requiredScenarios"), F.lit(None).cast("string").alias("expectedValue"))
+    o = e.where("event_id % 9 = 0").select(F.concat(F.lit("u"), "user_id").alias("contract"), F.col("event_type").alias("scenario"), F.when(F.col("value") > 99, "failed").otherwise("observed").alias("outcome"), F.lit(None).cast("string").alias("value"))
+    return c, o
+
+
+@query("g189_contracts", f"""WITH {_CONTRACTS}, g AS (SELECT id, coalesce(string_agg(CASE WHEN n > 0 AND NOT bad THEN scenario END, ',' ORDER BY scenario), '') AS observed, coalesce(string_agg(CASE WHEN n = 0 THEN scenario END, ',' ORDER BY scenario), '') AS missing, coalesce(string_agg(CASE WHEN bad THEN scenario END, ',' ORDER BY scenario), '') AS failed FROM s GROUP BY id)
+SELECT id, CASE WHEN failed <> '' THEN 'failed' WHEN missing = '' THEN 'observed' ELSE 'unobserved' END AS status, observed, missing, failed FROM g""")
+def _(spark, sf):
+    c, o = _contracts(spark, sf)
+    return runtime.validate_contracts(c, values(spark, [("t", 1, True)], "name string, n int, mechanism_ok boolean"), o)
+
+
+@query("g099_scenario_outcomes", f"WITH {_CONTRACTS} SELECT id, scenario, CASE WHEN n = 0 THEN 'missing' WHEN bad THEN 'failed' ELSE 'observed' END AS state FROM s")
+def _(spark, sf):
+    return runtime.scenario_outcomes(*_contracts(spark, sf))
+
+
+@query("g096_trace_connections", """WITH t AS (SELECT user_id, event_id, event_type, lead(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS nxt FROM events)
+SELECT event_type AS source, nxt AS target, 'transition' AS kind, count(*)::BIGINT AS n, string_agg(event_id, ',' ORDER BY event_id) AS ordinals FROM t WHERE nxt IS NOT NULL GROUP BY ALL""")
+def _(spark, sf):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    e = load(spark, sf, "events").select("event_id", F.col("event_type").alias("caller"), F.lead("event_type").over(w).alias("callee")).where("callee is not null")
+    names = e.select(F.col("caller").alias("name")).distinct().withColumn("id", F.col("name"))
+    return runtime.trace_connections(e.select(F.col("event_id").alias("ordinal"), "caller", "callee", F.lit("transition").alias("kind")), names)
+
+
+@query("g190_external_retentions", """SELECT s_suppkey AS ordinal, CASE WHEN p_partkey IS NOT NULL THEN 'matched' ELSE 'unmatched' END AS status, CASE WHEN p_partkey IS NOT NULL THEN 'p' || p_partkey END AS id FROM supplier LEFT JOIN part ON p_partkey = s_suppkey AND s_suppkey % 2 = 0""")
+def _(spark, sf):
+    s = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("ordinal"), F.when(F.col("s_suppkey") % 2 == 0, F.concat(F.lit("p"), "s_suppkey")).alias("usr"), F.lit("none.none").alias("qualifiedName"))
+    return runtime.match_external(s, part_nodes(spark, sf)).select("ordinal", "status", "id")
+
+
+# ---- text
+
+_URL = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
+
+
+@query("g207_url_strip", f"""SELECT page_id, lower(regexp_replace({_URL}, '^.*@', '')) AS authority, CASE WHEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '://[^/?#]*([^?#]*)', 1) END AS path, regexp_matches(url, '[?#]') AS stripped FROM pages""")
+def _(spark, sf):
+    u = F.col("url")
+    return load(spark, sf, "pages").select("page_id", text.url_authority(u).alias("authority"), text.url_path(u).alias("path"), text.query_stripped(u).alias("stripped"))
+
+
+@query("g206_mask_secrets", "SELECT page_id, '/' || CASE WHEN page_id % 2 = 0 THEN '{}' ELSE 'short' || page_id END || '/{id}/v1' AS template FROM pages")
+def _(spark, sf):
+    t = F.concat(F.lit("/"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("abcdefghijklmnop"), F.col("page_id"))).otherwise(F.concat(F.lit("short"), F.col("page_id"))), F.lit("/{id}/v1"))
+    return load(spark, sf, "pages").select("page_id", text.mask_secrets(t, F.lit("api.example.com")).alias("template"))
+
+
+@query("g204_route_templates", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'not-rooted' WHEN 2 THEN 'stray-brace' WHEN 3 THEN 'malformed-percent' ELSE 'catch-all-not-last' END AS problem FROM pages""")
+def _(spark, sf):
+    k = F.col("page_id")
+    t = F.when(k % 5 == 0, F.concat(F.lit("/a/{}/"), k)).when(k % 5 == 1, F.lit("a/b")).when(k % 5 == 2, F.lit("/a/{b}")).when(k % 5 == 3, F.lit("/a%2")).otherwise(F.lit("/{**}/x"))
+    return load(spark, sf, "pages").select("page_id", routes.route_template_problem(t).alias("problem"))
+
+
+@query("g205_normalize_routes", "SELECT page_id, '/a-b/%20/' || page_id || '/%C3%A9%2F' AS template FROM pages")
+def _(spark, sf):
+    t = F.concat(F.lit("/a%2Db/ /"), F.col("page_id"), F.lit("/é%2f"))
+    return load(spark, sf, "pages").select("page_id", routes.route_template_normalize(t).alias("template"))
+
+
+@query("g202_sql_relations", "SELECT p_partkey, unnest(['orders', 't' || p_partkey]) AS name, 0 AS unresolved FROM part WHERE p_partkey < 500")
+def _(spark, sf):
+    p = load(spark, sf, "part").where("p_partkey < 500")
+    q = p.select("p_partkey", F.concat(F.lit("WITH c AS (SELECT * FROM orders) SELECT extract(year FROM d) FROM c JOIN t"), F.col("p_partkey"), F.lit(" x ON x.a IS NOT DISTINCT FROM c.b")).alias("sql"))
+    return relations_of(q).select("p_partkey", "name", "unresolved")
+
+
+@query("g214_printable", "SELECT p_partkey, replace(p_name, ' ', '\\u{9}') AS shown FROM part")
+def _(spark, sf):
+    return load(spark, sf, "part").select("p_partkey", text.printable(F.translate("p_name", " ", "\t")).alias("shown"))
+
+
+@query("g184_key_paths", "SELECT p_partkey, p_partkey % 3 <> 2 AS valid FROM part")
+def _(spark, sf):
+    k = F.col("p_partkey")
+    return load(spark, sf, "part").select("p_partkey", text.key_path_valid(F.when(k % 3 == 0, F.lit("SELF.owner.name")).when(k % 3 == 1, F.lit("a._b.c1")).otherwise(F.lit("a..b"))).alias("valid"))
+
+
+@query("g071_generated_sources", "SELECT p_partkey, p_partkey % 2 = 0 AS generated FROM part")
+def _(spark, sf):
+    k = F.col("p_partkey")
+    h = F.when(k % 4 == 0, F.lit("// Generated by x. DO NOT EDIT.\nlet a = 1")).when(k % 4 == 2, F.lit("/* @generated */ x")).otherwise(F.lit("let s = 1 // do not edit\n"))
+    return load(spark, sf, "part").select("p_partkey", findings.is_generated(h).alias("generated"))
+
+
+@query("g072_comment_commands", "SELECT p_partkey, 'ignore:all' AS command, p_name AS argument FROM part")
+def _(spark, sf):
+    c = F.concat(F.lit("// weftline:ignore:all "), F.col("p_name"))
+    return load(spark, sf, "part").select("p_partkey", findings.comment_command(c).alias("c")).select("p_partkey", "c.command", "c.argument")
