@@ -74,18 +74,18 @@ def heavy_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def part_sequence(spark: SparkSession, sf: str, quantity: int = 49) -> DataFrame:
-    """part -> next part within an order by line, over line items of at least a quantity; merged edges."""
-    li = load(spark, sf, "lineitem").where(F.col("l_quantity") >= quantity).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
+    """part -> next part within an order by line, from line items of at least a quantity; merged edges."""
+    li = load(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity")
     w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice")
-    e = li.withColumn("next", F.lead("l_partkey").over(w)).where("next is not null and next <> l_partkey")
+    e = li.withColumn("next", F.lead("l_partkey").over(w)).where((F.col("l_quantity") >= quantity) & (F.col("next") != F.col("l_partkey")))
     return e.groupBy(F.concat(F.lit("p"), "l_partkey").alias("source"), F.concat(F.lit("p"), "next").alias("target"), F.lit("call").alias("kind")).agg(F.count("*").alias("weight"))
 
 
 SEQUENCE = """seq AS (
   SELECT 'p' || l_partkey AS source, 'p' || nxt AS target, count(*)::BIGINT AS weight
-  FROM (SELECT l_partkey, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nxt
-        FROM lineitem WHERE l_quantity >= 49)
-  WHERE nxt IS NOT NULL AND nxt <> l_partkey GROUP BY ALL),
+  FROM (SELECT l_partkey, l_quantity, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice) AS nxt
+        FROM lineitem)
+  WHERE l_quantity >= 49 AND nxt <> l_partkey GROUP BY ALL),
 parts AS (SELECT 'p' || p_partkey AS id, p_partkey AS k, p_size, p_name, p_brand, p_type FROM part)"""
 
 

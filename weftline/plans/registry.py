@@ -565,14 +565,14 @@ def _(spark, sf):
     return exposure.redundant_public(plain, refs, g.nodes).select("id", "n_references")
 
 
-@query("g146_unused_imports", """WITH i AS (SELECT DISTINCT 'f' || o_custkey AS path, o_orderpriority AS module FROM orders WHERE o_orderkey % 3 = 0), u AS (SELECT 'f' || o_custkey AS path, list(DISTINCT o_orderpriority) AS used, bool_or(o_orderkey % 11 = 0) AS open FROM orders WHERE o_orderkey % 3 <> 1 GROUP BY 1),
+@query("g146_unused_imports", """WITH i AS (SELECT DISTINCT 'f' || (o_custkey % 60) AS path, o_orderpriority AS module FROM orders), u AS (SELECT 'f' || (o_custkey % 60) AS path, list(DISTINCT o_orderpriority) AS used, bool_or(o_orderkey % 97 = 0) AS open FROM orders WHERE o_totalprice > 490000 GROUP BY 1),
 h AS (SELECT path, list(DISTINCT module) AS heads FROM i GROUP BY 1)
 SELECT i.path, i.module FROM i JOIN u USING (path) JOIN h USING (path) WHERE NOT open AND NOT list_contains(used, module) AND len(list_filter(used, lambda x: NOT list_contains(heads, x))) = 0""")
 def _(spark, sf):
-    o = load(spark, sf, "orders").withColumn("path", F.concat(F.lit("f"), "o_custkey"))
+    o = load(spark, sf, "orders").withColumn("path", F.concat(F.lit("f"), F.col("o_custkey") % 60))
     no = F.lit(False)
-    imports = o.where("o_orderkey % 3 = 0").select(F.array("o_orderpriority").alias("modulePath"), no.alias("isConditional"), no.alias("isReexported"), no.alias("isIgnored"), F.lit(None).cast("boolean").alias("fileHasConditionalCompilation"), F.struct("path").alias("location")).distinct()
-    usages = o.where("o_orderkey % 3 <> 1").groupBy("path").agg(F.collect_set("o_orderpriority").alias("referencedModules"), F.bool_or(F.col("o_orderkey") % 11 == 0).alias("hasUnattributedReferences"), F.lit("own").alias("owningModule"))
+    imports = o.select(F.array("o_orderpriority").alias("modulePath"), no.alias("isConditional"), no.alias("isReexported"), no.alias("isIgnored"), F.lit(None).cast("boolean").alias("fileHasConditionalCompilation"), F.struct("path").alias("location")).distinct()
+    usages = o.where("o_totalprice > 490000").groupBy("path").agg(F.collect_set("o_orderpriority").alias("referencedModules"), F.bool_or(F.col("o_orderkey") % 97 == 0).alias("hasUnattributedReferences"), F.lit("own").alias("owningModule"))
     return exposure.unused_imports(imports, usages, values(spark, [], "module string"), values(spark, [], "module string, target string"))
 
 
@@ -723,3 +723,106 @@ def _(spark, sf):
 def _(spark, sf):
     c = F.concat(F.lit("// weftline:ignore:all "), F.col("p_name"))
     return load(spark, sf, "part").select("p_partkey", findings.comment_command(c).alias("c")).select("p_partkey", "c.command", "c.argument")
+
+
+# ---- conditional reachability, dispatch, sinks, value flow, streams
+
+def dispatch_graph(spark: SparkSession, sf: str) -> Graph:
+    """Parts as methods of brands: brand classes own parts; parts of size 1 are requirements of protocols, and a
+    part overrides the requirement that follows it in an order. Every kind of hop occurs."""
+    g = part_graph(spark, sf)
+    req = g.nodes.where("size <= 8").select(F.col("id").alias("target"))
+    over = g.edges.join(req, "target", "left_semi").select("source", "target", F.lit("overrides").alias("kind"), "weight")
+    call = g.edges.join(req, "target", "left_anti").select("source", "target", "kind", "weight")
+    owner = g.nodes.select(F.concat(F.lit("T:"), "module", F.when(F.col("size") <= 8, F.lit(":P")).otherwise(F.lit(""))).alias("source"), F.col("id").alias("target"), F.lit("member").alias("kind"), F.lit(1).cast("long").alias("weight"))
+    types = owner.select(F.col("source").alias("id")).distinct()
+    cols = [c for c in g.nodes.columns if c not in ("id", "kind")]
+    types = types.select("id", F.when(F.col("id").endswith(":P"), "protocol").otherwise("class").alias("kind"), *[F.lit(None).cast(g.nodes.schema[c].dataType).alias(c) for c in cols])
+    nodes = g.nodes.select("id", F.lit("method").alias("kind"), *cols).unionByName(types)
+    return Graph(nodes, call.unionByName(over).unionByName(owner))
+
+
+@query("g138_conditional_reachability")
+def _(spark, sf):
+    g = dispatch_graph(spark, sf)
+    return reach.reachable(g, g.nodes.where("k % 40 = 0").select("id")).select("id", "predecessor", "round")
+
+
+@query("g156_dispatch_impact")
+def _(spark, sf):
+    g = dispatch_graph(spark, sf)
+    return impact.impact(g, g.nodes.where("k % 97 = 3").select("id"), 4)[0]
+
+
+@query("g162_traversal_hops")
+def _(spark, sf):
+    return multiroot.traversal_hops(dispatch_graph(spark, sf), dependents=True)
+
+
+@query("g156_contracts_above", f"""WITH RECURSIVE {SEQUENCE}, o AS (SELECT source, target FROM seq JOIN parts ON id = target WHERE p_size <= 8), c(id, contract) AS (SELECT source, target FROM o UNION SELECT c.id, o.target FROM c JOIN o ON o.source = c.contract) SELECT id, contract FROM c""")
+def _(spark, sf):
+    return impact.contracts_above(dispatch_graph(spark, sf).edges)
+
+
+@query("g240_dot", f"WITH {TRADE} SELECT '  \"' || source || '\" -> \"' || target || '\" [' || CASE kind WHEN 'conformance' THEN 'style=dashed, arrowhead=empty' ELSE 'style=solid' END || CASE WHEN weight > 1 THEN ', label=\"' || weight || '\"' ELSE '' END || '];' AS line FROM edges")
+def _(spark, sf):
+    from ..sources.sinks import dot_lines
+
+    return dot_lines(trade_graph(spark, sf)).where("section = 2").select("line")
+
+
+@query("g241_mermaid")
+def _(spark, sf):
+    from ..sources.sinks import mermaid_lines
+
+    return mermaid_lines(trade_graph(spark, sf), 20)
+
+
+@query("g250_edit_rows", f"WITH {FINDINGS} SELECT DISTINCT path, line, 'delete-line' AS action, subject FROM f WHERE path IS NOT NULL AND rule = 'unused-import'")
+def _(spark, sf):
+    from ..sources.sinks import edit_rows
+
+    return edit_rows(_order_findings(spark, sf))
+
+
+@query("g223_value_flow")
+def _(spark, sf):
+    import json
+
+    from ..functions.value_flow import solve_programs
+
+    body = {"functions": [{"id": "main", "blocks": [{"id": 0, "instructions": [[0, "const", "string", "/v1/"], [1, "symbol", "id"], [2, "call", 1, [0]], [3, "concat", [2, 0]]], "end": ["return", 3]}]}, {"id": "id", "parameters": 1, "blocks": [{"id": 0, "instructions": [[0, "param", 0]], "end": ["return", 0]}]}]}
+    programs = load(spark, sf, "nation").select(F.col("n_name").alias("component"), F.lit(json.dumps(body)).alias("program"), F.array(F.lit("main")).alias("roots"))
+    return solve_programs(programs)
+
+
+def _event_stream(spark, sf):
+    schema = load(spark, sf, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]").withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+def _run_stream(spark, out: DataFrame, label: str, mode: str = "append") -> DataFrame:
+    from .stage import Stage
+
+    s = Stage(spark, label)
+    q = out.writeStream.format("parquet").outputMode(mode).option("checkpointLocation", f"{s.base}/checkpoint").option("path", f"{s.base}/out").trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{s.base}/out")
+
+
+@query("g260_sealed_windows", """WITH w AS (SELECT time_bucket(INTERVAL '10 minutes', ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL)
+SELECT strftime(start, '%Y-%m-%d %H:%M') AS start, event_type, n FROM w WHERE start + INTERVAL '20 minutes' <= (SELECT max(ts) FROM events)""")
+def _(spark, sf):
+    from ..streaming.traces import sealed_windows
+
+    w = _run_stream(spark, sealed_windows(_event_stream(spark, sf)), "windows")
+    return w.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
+
+
+@query("g265_live_registrations")
+def _(spark, sf):
+    from ..streaming.traces import live_registrations
+
+    kind = F.when(F.col("event_type") == "signup", "register").when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "purchase", "send")
+    e = _event_stream(spark, sf).withColumn("kind", kind).where("kind is not null").select(F.col("user_id").cast("string").alias("channel"), F.concat(F.lit("o"), F.col("user_id")).alias("observer"), "kind", F.col("event_id").alias("at"))
+    return _run_stream(spark, live_registrations(e), "registrations")
