@@ -25,6 +25,16 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def literal_rows(spark: SparkSession, columns: dict[str, list], types: dict[str, str]) -> DataFrame:
+    """A short list as a table, made by the planner alone (no RDD is built from driver objects)."""
+    names = list(columns)
+    rows = list(zip(*columns.values(), strict=True))
+    one = lambda row: F.struct(*[F.lit(v).cast(types[n]).alias(n) for n, v in zip(names, row, strict=True)])
+    if not rows:
+        return spark.range(0).select(*[F.lit(None).cast(types[n]).alias(n) for n in names])
+    return spark.range(1).select(F.explode(F.array(*map(one, rows))).alias("r")).select("r.*")
+
+
 def words(text: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(WORD), F.lit(0))
 

@@ -31,10 +31,11 @@ def name_keys(df: DataFrame, keys: list[str], hot_min: int = 1000) -> DataFrame:
     )
     if not hot:
         return ranked(bucketed)
-    marks = F.broadcast(spark.createDataFrame([(x,) for x in hot], "_h long"))
+    marks = F.broadcast(spark.range(1).select(F.explode(F.lit(hot)).alias("_h")))
     warm = bucketed.join(marks, "_h", "left_semi")
     names = warm.select(*keys).distinct().withColumn("name", -F.row_number().over(Window.orderBy(*keys)).cast("long"))
-    named = warm.join(F.broadcast(names), [F.col(k).eqNullSafe(names[k]) for k in keys]).select(*df.columns, "name")
+    names = names.select(*[F.col(k).alias(f"_name_{k}") for k in keys], "name")
+    named = warm.join(F.broadcast(names), [F.col(k).eqNullSafe(F.col(f"_name_{k}")) for k in keys]).select(*df.columns, "name")
     return ranked(bucketed.join(marks, "_h", "left_anti")).unionByName(named)
 
 

@@ -114,8 +114,8 @@ def dedup_lines(docs: DataFrame, min_lines: int = 1) -> DataFrame:
     """
     cuts = Cuts(docs.sparkSession, "dedup")
     found = find_repeats(docs, min_lines)
-    gone = cuts.cut(found["removed"].groupBy("rid").agg(F.collect_set("i").alias("_gone")))
-    out = docs.withColumn("rid", F.monotonically_increasing_id()).join(gone, "rid", "left")
+    gone = cuts.cut(found["removed"].groupBy(F.col("rid").alias("_rid")).agg(F.collect_set("i").alias("_gone")))
+    out = docs.withColumn("_rid", F.monotonically_increasing_id()).join(gone, "_rid", "left")
     # Per line a flag, so that deletion is linear in the text.
     flags = F.array_except(F.sequence(F.lit(0), F.size(_lines(F.col("text"))) - 1), F.col("_gone"))
     lines = _lines(F.col("text"))

@@ -168,14 +168,15 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     ``n_chars``, where present, follows the text.
     """
     cuts = Cuts(docs.sparkSession, "mixed")
-    # rid is drawn twice from the same scan of a stored table: same splits, same numbers.
-    takes = plan_mix(docs, **params)["takes"].select("rid", "words", "size")
-    takes = cuts.cut(takes)
-    out = docs.withColumn("rid", F.monotonically_increasing_id()).join(takes, "rid")
-    cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
-    out = out.withColumn("text", F.when(F.col("words") >= F.col("size"), F.col("text")).otherwise(cut_text))
+    # The row number is drawn twice from the same stored table: same splits, same numbers.
+    takes = plan_mix(docs, **params)["takes"]
+    takes = cuts.cut(takes.select(F.col("rid").alias("_mix_rid"), F.col("words").alias("_mix_words"), F.col("size").alias("_mix_size")))
+    out = docs.withColumn("_mix_rid", F.monotonically_increasing_id()).join(takes, "_mix_rid")
+    cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_mix_words").cast("int")), " ")
+    whole = F.col("_mix_words") >= F.col("_mix_size")
     if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.length("text").cast("long"))
+        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(cut_text).cast("long")))
+    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(cut_text))
     return out.select(*docs.columns)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Cuts, join_unique, table
+from .common import Cuts, join_unique, literal_rows, table
 
 #: (host, path, verdict). A rule fits its host and all subdomains, where the url's path starts with its path.
 DEFAULT_RULES = (
@@ -123,8 +123,10 @@ def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rules = spark.createDataFrame(list(DEFAULT_RULES), "host string, path string, verdict string")
-    listed = spark.createDataFrame([(u,) for u in DEFAULT_LISTED], "url string")
+    text = dict.fromkeys(("host", "path", "verdict", "url"), "string")
+    hosts, paths, verdicts = map(list, zip(*DEFAULT_RULES, strict=True))
+    rules = literal_rows(spark, {"host": hosts, "path": paths, "verdict": verdicts}, text)
+    listed = literal_rows(spark, {"url": list(DEFAULT_LISTED)}, text)
     return filter_urls(table(spark, sf_dir, "pages"), rules, listed).drop("url")
 
 
