@@ -26,8 +26,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each near-duplicate class: the one of least doc_id."""
     classes = near_dedup.near_classes(docs.select("doc_id", "text"))
-    gone = Cuts(spark, "gone").cut(classes.where("not kept").select("rid"))
-    return docs.withColumn("rid", F.monotonically_increasing_id()).join(gone, "rid", "left_anti").select(*docs.columns)
+    gone = Cuts(spark, "gone").cut(classes.where("not kept").select(F.col("rid").alias("_rid")))
+    return docs.withColumn("_rid", F.monotonically_increasing_id()).join(gone, "_rid", "left_anti").select(*docs.columns)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
