@@ -26,9 +26,57 @@ def _trim(stage: Stage, edges: DataFrame) -> DataFrame:
         before = n
 
 
-def strong_components(edges: DataFrame, kinds: tuple[str, ...] | None = CYCLE_KINDS, self_loops: bool = False) -> DataFrame:
+def tarjan(pairs: list[tuple[str, str]]) -> list[list[str]]:
+    """Strongly connected components of more than one node, each sorted; without recursion."""
+    out: dict[str, list[str]] = {}
+    for s, t in sorted(pairs):
+        out.setdefault(s, []).append(t)
+        out.setdefault(t, [])
+    index: dict[str, int] = {}
+    low: dict[str, int] = {}
+    stack, on, found = [], set(), []
+    for start in out:
+        if start in index:
+            continue
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        on.add(start)
+        path = [(start, iter(out[start]))]
+        while path:
+            at, rest = path[-1]
+            for nxt in rest:
+                if nxt not in index:
+                    index[nxt] = low[nxt] = len(index)
+                    stack.append(nxt)
+                    on.add(nxt)
+                    path.append((nxt, iter(out[nxt])))
+                    break
+                if nxt in on:
+                    low[at] = min(low[at], index[nxt])
+            else:
+                path.pop()
+                if path:
+                    low[path[-1][0]] = min(low[path[-1][0]], low[at])
+                if low[at] == index[at]:
+                    part = []
+                    while not part or part[-1] != at:
+                        part.append(stack.pop())
+                        on.discard(part[-1])
+                    if len(part) > 1:
+                        found.append(sorted(part))
+    return found
+
+
+#: Up to this many distinct edges (their number is counted first) a graph is solved in one grouped task.
+SMALL_EDGES = 200_000
+
+
+def strong_components(edges: DataFrame, kinds: tuple[str, ...] | None = CYCLE_KINDS, self_loops: bool = False, small: int = SMALL_EDGES) -> DataFrame:
     """(id, component): the component is its least node; components of one node only with a self loop.
 
+    A graph of at most ``small`` distinct edges (module, file and type graphs) goes to one task. A larger one is
+    solved by a distributed loop.
+
     Distributed colouring: trim what lies on no cycle, give every node the greatest id that reaches it,
     take from each colour the nodes that reach its root inside the colour, remove them, repeat. A round settles
     one component per colour, so acyclic parts vanish by trimming and dense ones in a few rounds.
@@ -38,7 +86,17 @@ def strong_components(edges: DataFrame, kinds: tuple[str, ...] | None = CYCLE_KI
     e = edges if kinds is None else edges.where(F.col("kind").isin(*kinds))
     pairs = stage.keep(e.select("source", "target").distinct())
     loops = pairs.where("source = target").select(F.col("source").alias("id"), F.col("source").alias("component"))
-    work = _trim(stage, stage.keep(pairs.where("source <> target")))
+    proper = pairs.where("source <> target")
+    if pairs.limit(small + 1).count() <= small:
+
+        def solve(pdf: pd.DataFrame) -> pd.DataFrame:
+            rows = [(n, c[0]) for c in tarjan(list(zip(pdf["source"], pdf["target"], strict=True))) for n in c]
+            return pd.DataFrame(rows, columns=["id", "component"])
+
+        out = proper.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(solve, "id string, component string")
+        out = stage.keep(out)
+        return out.unionByName(loops.join(out.select("id"), "id", "left_anti")) if self_loops else out
+    work = _trim(stage, stage.keep(proper))
     settled = None
     while not work.isEmpty():
         nodes = work.select(F.explode(F.array("source", "target")).alias("id")).distinct()
