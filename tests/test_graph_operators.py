@@ -127,7 +127,10 @@ def test_conditional_reachability(spark, seed):
     parent = {t: "P" if s == "X" else s for t, s in owner.items()}
     roots = {m for m, _ in r.sample(methods, 2)}
     g = Graph(nodes(spark, [n for n, _ in ns], **dict(ns)), edges(spark, sorted(es)))
-    got = {x["id"] for x in reach.reachable(g, spark.createDataFrame([(x,) for x in roots], "id string")).collect()}
+    start = spark.createDataFrame([(x,) for x in roots], "id string")
+    rows = reach.reachable(g, start, small=0).collect()
+    got = {x["id"] for x in rows}
+    assert {tuple(x) for x in reach.reachable(g, start).collect()} == {tuple(x) for x in rows}
     # Usage edges into extensions: "extends" is a usage edge as well.
     assert got == brute_reach(ns, es, roots, parent)
 
@@ -244,8 +247,9 @@ def test_multi_root_against_brute_force(spark, seed):
             want[v] = (d, via, ",".join(map(str, sorted(other))))
     hops = multiroot.traversal_hops(Graph(nodes(spark, ids), edges(spark, pairs)), dependents=False)
     table = spark.createDataFrame(list(roots.items()), "id string, position int")
-    rows, _ = multiroot.traverse(hops, table, 9)
-    assert {r["id"]: (r["depth"], r["via"], r["roots"]) for r in rows.collect()} == want
+    for local in (True, False):
+        rows, _ = multiroot.traverse(hops, table, 9, local)
+        assert {r["id"]: (r["depth"], r["via"], r["roots"]) for r in rows.collect()} == want
     rows, cut = multiroot.traverse(hops, table, 1)
     assert {r["id"] for r in rows.collect()} == {v for v, (d, *_) in want.items() if d <= 1} and cut == any(d > 1 for d, *_ in want.values())
 

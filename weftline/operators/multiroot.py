@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections import deque
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -11,6 +14,70 @@ from ..sources.schemas import USAGE_KINDS
 from .graph import Graph, semantic_parent
 
 TIERS = ("direct", "bound", "candidate")
+#: A graph of up to this many hops, and hops times roots within the second bound, is solved in one grouped task
+#: (both are counted first); a larger one by the distributed loops.
+SMALL_HOPS, SMALL_WORK = 200_000, 50_000_000
+
+
+def _is_small(hops: DataFrame, roots: DataFrame) -> bool:
+    n = hops.limit(SMALL_HOPS + 1).count()
+    return n <= SMALL_HOPS and n * roots.count() <= SMALL_WORK
+
+
+def _one_task(hops: DataFrame, roots: DataFrame, solve, shape: str) -> DataFrame:  # noqa: ANN001
+    """``solve(out, start)`` over the adjacency {from: [to]} and {id: position} of a small graph."""
+    rows = hops.select(F.col("from").alias("a"), F.col("to").alias("b"), F.lit(None).cast("int").alias("p")).unionByName(
+        roots.select(F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.col("position").cast("int").alias("p"))
+    )
+    names = [c.split()[0] for c in shape.split(", ")]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out: dict[str, list[str]] = {}
+        start: dict[str, int] = {}
+        for a, b, p in zip(pdf["a"], pdf["b"], pdf["p"], strict=True):
+            if b is None:
+                start[a] = int(p)
+            else:
+                out.setdefault(a, []).append(b)
+        return pd.DataFrame(solve(out, start), columns=names)
+
+    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(run, shape)
+
+
+def _local_sets(out: dict[str, list[str]], start: dict[str, int]) -> list[tuple[str, int]]:
+    """Root sets as bits of one integer per vertex, pushed on while they grow."""
+    bits = {v: 1 << p for v, p in start.items()}
+    todo, waiting = deque(bits), set(bits)
+    while todo:
+        v = todo.popleft()
+        waiting.discard(v)
+        for t in out.get(v, ()):
+            merged = bits.get(t, 0) | bits[v]
+            if merged != bits.get(t, 0):
+                bits[t] = merged
+                if t not in waiting:
+                    waiting.add(t)
+                    todo.append(t)
+    return [(v, p) for v, b in bits.items() for p in range(b.bit_length()) if b >> p & 1]
+
+
+def _local_labels(horizon: int):  # noqa: ANN202
+    def solve(out: dict[str, list[str]], start: dict[str, int]) -> list[tuple[str, int, int]]:
+        labels: dict[str, list[tuple[int, int]]] = {v: [(p, 0)] for v, p in start.items()}
+        front = [(v, p) for v, p in start.items()]
+        for d in range(1, horizon + 1):
+            offered = sorted({(t, p) for v, p in front for t in out.get(v, ())})
+            front = []
+            for t, p in offered:
+                have = labels.setdefault(t, [])
+                if len(have) < 2 and all(q != p for q, _ in have):
+                    have.append((p, d))
+                    front.append((t, p))
+            if not front:
+                break
+        return [(v, p, d) for v, have in labels.items() for p, d in have]
+
+    return solve
 
 
 def unique_implementations(graph: Graph, closed_world: bool) -> DataFrame:
@@ -52,19 +119,23 @@ def traversal_hops(graph: Graph, dependents: bool, closed_world: bool = False, r
     return out
 
 
-def root_sets(hops: DataFrame, roots: DataFrame, tier: int) -> DataFrame:
+def root_sets(hops: DataFrame, roots: DataFrame, tier: int, local: bool | None = None) -> DataFrame:
     """(vertex, root) pairs over hops of at most ``tier``: a closure of pairs, delta by delta."""
     e = hops.where(F.col("tier") <= tier).select("from", "to")
+    if local if local is not None else _is_small(e, roots):
+        return _one_task(e, roots, _local_sets, "vertex string, root int")
     seed = roots.select(F.col("id").alias("vertex"), F.col("position").alias("root"))
     step = lambda new, known, k: new.join(e.withColumnRenamed("from", "vertex"), "vertex").select(F.col("to").alias("vertex"), "root").distinct()
     return semi_naive(seed, step, ["vertex", "root"], label="roots")[0]
 
 
-def nearest_two(hops: DataFrame, roots: DataFrame, horizon: int) -> DataFrame:
+def nearest_two(hops: DataFrame, roots: DataFrame, horizon: int, local: bool | None = None) -> DataFrame:
     """(vertex, root, distance): the two nearest distinct roots of every vertex, ties by root.
 
     A vertex passes on only its two labels: a third root is at least as far for all that come after it.
     """
+    if local if local is not None else _is_small(hops, roots):
+        return _one_task(hops, roots, _local_labels(horizon), "vertex string, root int, distance int")
     stage = Stage(hops.sparkSession, "labels")
     e = hops.select(F.col("from").alias("vertex"), "to")
     labels = stage.add("l", roots.select(F.col("id").alias("vertex"), F.col("position").alias("root"), F.lit(0).alias("distance")))
@@ -80,7 +151,7 @@ def nearest_two(hops: DataFrame, roots: DataFrame, horizon: int) -> DataFrame:
     return labels
 
 
-def traverse(hops: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFrame, bool]:
+def traverse(hops: DataFrame, roots: DataFrame, max_depth: int, local: bool | None = None) -> tuple[DataFrame, bool]:
     """(id, depth, via, roots, evidence) and whether depth cut rows off; ``roots``: id, position (distinct ids).
 
     A vertex is reported when another root than itself reaches it: depth is the distance of the nearest such
@@ -89,14 +160,19 @@ def traverse(hops: DataFrame, roots: DataFrame, max_depth: int) -> tuple[DataFra
     """
     stage = Stage(hops.sparkSession, "multi")
     hops = stage.keep(hops)
+    local = _is_small(hops, roots) if local is None else local
+    tiers = {r["tier"] for r in hops.select("tier").distinct().collect()}  # at most three
     own = roots.select(F.col("id").alias("vertex"), F.col("position").alias("own"))
-    sets = stage.keep(root_sets(hops, roots, 2).join(own, "vertex", "left").where("own is null or root <> own"))
+    sets = stage.keep(root_sets(hops, roots, 2, local).join(own, "vertex", "left").where("own is null or root <> own"))
     sizes = sets.groupBy("vertex").agg(F.array_join(F.transform(F.sort_array(F.collect_set("root")), lambda r: r.cast("string")), ",").alias("roots"), F.count_distinct("root").alias("n"))
     for tier in (0, 1):
-        part = root_sets(hops, roots, tier).join(own, "vertex", "left").where("own is null or root <> own")
+        if max(tiers, default=0) <= tier:
+            sizes = sizes.withColumn(f"n{tier}", F.col("n"))
+            continue
+        part = root_sets(hops, roots, tier, local).join(own, "vertex", "left").where("own is null or root <> own")
         sizes = sizes.join(part.groupBy("vertex").agg(F.count_distinct("root").alias(f"n{tier}")), "vertex", "left")
     evidence = F.when(F.col("n0") == F.col("n"), "direct").when(F.col("n1") == F.col("n"), "bound").otherwise("candidate")
-    labels = stage.keep(nearest_two(hops, roots, max_depth + 1))
+    labels = stage.keep(nearest_two(hops, roots, max_depth + 1, local))
     near = labels.join(own, "vertex", "left").where("own is null or root <> own").groupBy("vertex", "own").agg(F.min("distance").alias("depth"))
     within = near.where(F.col("depth") <= max_depth)
     # The predecessor's distance leaves out the root that is the vertex itself.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,7 +100,54 @@ def inherited_roots(roots: DataFrame, parents: DataFrame) -> DataFrame:
     return up.join(roots.select("id"), "id", "left_semi").groupBy(F.col("ancestor").alias("id")).agg(F.min("id").alias("by"))
 
 
-def reachable(graph: Graph, roots: DataFrame, conditional: DataFrame | None = None, closed: DataFrame | None = None) -> DataFrame:
+#: Up to this many edges and waiting pairs (counted first) are traversed in one grouped task.
+SMALL_ROWS = 300_000
+
+
+def _traverse_local(pdf: pd.DataFrame) -> pd.DataFrame:
+    """The rules of ``reachable`` over rows (what, a, b, c): seed (id, predecessor), edge (from, to), wait
+    (w, q, owner; q null for a conditional root), round by round with the least predecessor."""
+    out: dict[str, list[str]] = {}
+    by_q: dict[str, list[tuple[str, str]]] = {}
+    by_owner: dict[str, list[tuple[str, str | None]]] = {}
+    reached: dict[str, tuple[str | None, int]] = {}
+    for what, a, b, c in zip(pdf["what"], pdf["a"], pdf["b"], pdf["c"], strict=True):
+        if what == "seed":
+            reached[a] = (b, 0)
+        elif what == "edge":
+            out.setdefault(a, []).append(b)
+        else:
+            if b is not None:
+                by_q.setdefault(b, []).append((a, c))
+            by_owner.setdefault(c, []).append((a, b))
+    front, k = list(reached), 0
+    while front:
+        k += 1
+        found: dict[str, str] = {}
+
+        def offer(node: str, by: str, found: dict[str, str] = found) -> None:
+            if node not in reached and (node not in found or by < found[node]):
+                found[node] = by
+
+        for x in front:
+            for t in out.get(x, ()):
+                offer(t, x)
+            for w, owner in by_q.get(x, ()):
+                if owner in reached:
+                    offer(w, x)
+            for w, q in by_owner.get(x, ()):
+                if q is None:
+                    offer(w, x)
+                elif q in reached:
+                    offer(w, q)
+        for n, by in found.items():
+            reached[n] = (by, k)
+        front = list(found)
+    rows = [(n, by, r) for n, (by, r) in reached.items()]
+    return pd.DataFrame(rows, columns=["id", "predecessor", "round"])
+
+
+def reachable(graph: Graph, roots: DataFrame, conditional: DataFrame | None = None, closed: DataFrame | None = None, small: int = SMALL_ROWS) -> DataFrame:
     """(id, predecessor, round) of all nodes that the roots reach.
 
     Usage edges are followed, member edges only into a deinit, overrides not from a non-requirement into a
@@ -137,6 +185,14 @@ def reachable(graph: Graph, roots: DataFrame, conditional: DataFrame | None = No
     seed = seed.join(nodes.select("id"), "id", "left_semi")
     if closed is not None:
         seed = seed.unionByName(closed.select("id", "predecessor", F.lit(0).alias("round")).join(seed.select("id"), "id", "left_anti"))
+    if edges.limit(small + 1).count() + pending.limit(small + 1).count() <= small:
+        none = F.lit(None).cast("string")
+        rows = seed.select(F.lit("seed").alias("what"), F.col("id").alias("a"), F.col("predecessor").alias("b"), none.alias("c"))
+        rows = rows.unionByName(edges.select(F.lit("edge").alias("what"), F.col("source").alias("a"), F.col("target").alias("b"), none.alias("c")))
+        rows = rows.unionByName(pending.select(F.lit("wait").alias("what"), F.col("w").alias("a"), F.col("q").alias("b"), F.col("owner").alias("c")))
+        if conditional is not None:
+            rows = rows.unionByName(conditional.select(F.lit("wait").alias("what"), F.col("id").alias("a"), none.alias("b"), F.col("owner").alias("c")))
+        return stage.keep(rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(_traverse_local, "id string, predecessor string, round int"))
     waiting = stage.keep(conditional.select("id", "owner").distinct()) if conditional is not None else None
 
     def step(new: DataFrame, known: DataFrame, k: int) -> DataFrame:

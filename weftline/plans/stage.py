@@ -7,7 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -26,9 +26,11 @@ class Stage:
         return self.add(f"t{self._n}", df)
 
     def add(self, name: str, df: DataFrame) -> DataFrame:
-        """Appends and returns all rows of the table so far, as one scan."""
+        """Appends and returns all rows of the table so far, as one scan; ``rows`` is what was written."""
         self._n += 1
-        df.write.parquet(f"{self.base}/{name}/part={self._n}")
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{self.base}/{name}/part={self._n}")
+        self.rows = seen.get["n"]
         return self.read(name, df.schema)
 
     def read(self, name: str, schema) -> DataFrame:
@@ -61,9 +63,9 @@ def semi_naive(
         if max_rounds is not None and round_ >= max_rounds:
             return known, not found.isEmpty()
         known_next = stage.add("rows", found)
-        new = stage.latest("rows", schema)
-        if new.isEmpty():
+        if not stage.rows:
             return known, False
+        new = stage.latest("rows", schema)
         known = known_next
         round_ += 1
 
