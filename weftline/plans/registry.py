@@ -826,3 +826,71 @@ def _(spark, sf):
     kind = F.when(F.col("event_type") == "signup", "register").when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "purchase", "send")
     e = _event_stream(spark, sf).withColumn("kind", kind).where("kind is not null").select(F.col("user_id").cast("string").alias("channel"), F.concat(F.lit("o"), F.col("user_id")).alias("observer"), "kind", F.col("event_id").alias("at"))
     return _run_stream(spark, live_registrations(e), "registrations")
+
+
+# ---- documents
+
+@query("g173_limitations", """SELECT 'missing-sources' AS code, count(*)::BIGINT AS n, count(*) || ' indexed sources do not exist' AS message FROM part WHERE p_size = 50
+UNION ALL SELECT 'index-staleness', count(*)::BIGINT, count(*) || ' sources are newer than their index' FROM part WHERE p_size < 3""")
+def _(spark, sf):
+    from ..operators.documents import collect_limitations
+
+    p = load(spark, sf, "part")
+    return collect_limitations({"missing-sources": p.where("p_size = 50"), "index-staleness": p.where("p_size < 3"), "empty-index": p, "bridge-dynamic": p.limit(0)})
+
+
+@query("g101_limitation_groups", """WITH p AS (SELECT DISTINCT p_brand AS code, p_name AS text FROM part), k AS (SELECT *, row_number() OVER (PARTITION BY code ORDER BY text) AS r FROM p)
+SELECT c.code, c.n, (SELECT string_agg(text, ',' ORDER BY text) FROM k WHERE k.code = c.code AND r <= 3) AS examples FROM (SELECT p_brand AS code, count(*)::BIGINT AS n FROM part GROUP BY 1 ORDER BY n DESC, code LIMIT 10) c""")
+def _(spark, sf):
+    from ..operators.documents import summarize_limitations
+
+    r = load(spark, sf, "part").select(F.col("p_brand").alias("code"), F.col("p_name").alias("text"))
+    return summarize_limitations(r, 10).select("code", "n", F.array_join("examples", ",").alias("examples"))
+
+
+@query("g171_unused_diagnostics", f"WITH RECURSIVE {_REACH} SELECT 'unused-symbol|' || id AS fingerprint, 'function ''' || p_brand || '.' || p_name || ''' is never used' AS message FROM parts WHERE id NOT IN (SELECT id FROM r) AND p_size <> 50")
+def _(spark, sf):
+    from ..operators.documents import unused_findings
+
+    g, r = _part_reach(spark, sf)
+    return unused_findings(reach.unused(g, r)).select(findings.fingerprint().alias("fingerprint"), "message")
+
+
+@query("g144_describe_symbols", f"""WITH RECURSIVE {_REACH}, q AS (SELECT s_suppkey AS position, 'p' || (s_suppkey * 3) AS subject FROM supplier), u AS (SELECT target AS id, count(DISTINCT source) AS n FROM seq GROUP BY 1), d AS (SELECT source AS id, count(DISTINCT target) AS n FROM seq GROUP BY 1)
+SELECT q.position, subject, CASE WHEN k IS NULL THEN 'notFound' ELSE 'found' END AS status, parts.id AS id, CASE WHEN k IS NULL THEN NULL WHEN k % 50 = 0 THEN 'retained' WHEN id IN (SELECT id FROM r) THEN 'reachable' ELSE 'unreachable' END AS state,
+CASE WHEN k IS NOT NULL THEN coalesce(u.n, 0) END::BIGINT AS used_by, CASE WHEN k IS NOT NULL THEN coalesce(d.n, 0) END::BIGINT AS depends_on, CASE WHEN k IS NOT NULL THEN 0 END::BIGINT AS members, NULL AS declared_in
+FROM q LEFT JOIN parts ON parts.id = subject LEFT JOIN u USING (id) LEFT JOIN d USING (id)""")
+def _(spark, sf):
+    from ..operators.documents import describe_symbols
+
+    g, r = _part_reach(spark, sf)
+    q = load(spark, sf, "supplier").select(F.col("s_suppkey").alias("position"), F.concat(F.lit("p"), F.col("s_suppkey") * 3).alias("subject"))
+    return describe_symbols(q, g, r, g.nodes.where("k % 50 = 0").select("id"))
+
+
+@query("g175_scope_verification", "SELECT o_orderkey::VARCHAR AS path, o_orderstatus AS target, CASE WHEN o_orderkey % 7 = 0 THEN 'unknown' WHEN o_orderkey % 5 = 0 THEN 'changed' WHEN o_orderkey % 3 = 0 THEN 'moved' ELSE 'verified' END AS scope FROM orders")
+def _(spark, sf):
+    from ..operators.documents import verify_scope
+
+    o = load(spark, sf, "orders").select(F.col("o_orderkey").cast("string").alias("path"), F.col("o_orderstatus").alias("target"), F.sha2(F.col("o_orderpriority"), 256).alias("sha"), F.col("o_orderkey").alias("k"))
+    i = o.where("k % 7 <> 0").select("path", F.when(F.col("k") % 3 == 0, F.lit("?")).otherwise(F.col("target")).alias("target"), F.when(F.col("k") % 5 == 0, F.lit("x")).otherwise(F.col("sha")).alias("sha"))
+    return verify_scope(o.drop("k"), i)
+
+
+@query("g213_bind_bridges", """WITH n AS (SELECT p_type AS path, p_size AS line, 'p' || p_partkey AS id, p_name AS name FROM part WHERE p_partkey % 40 = 0),
+a AS (SELECT path, line, count(DISTINCT id) AS na, min(id) AS ia FROM n GROUP BY ALL), b AS (SELECT path, name, count(DISTINCT id) AS nb, min(id) AS ib FROM n GROUP BY ALL)
+SELECT p_partkey AS fact, CASE WHEN na = 1 THEN 1 ELSE coalesce(nb, na, 0) END::BIGINT AS symbols, CASE WHEN na = 1 THEN ia WHEN nb = 1 THEN ib END AS symbol FROM part LEFT JOIN a ON a.path = p_type AND a.line = p_size LEFT JOIN b ON b.path = p_type AND b.name = p_name""")
+def _(spark, sf):
+    from ..operators.documents import bind_bridges
+
+    n = part_nodes(spark, sf).where("k % 40 = 0")
+    facts = load(spark, sf, "part").select(F.col("p_partkey").alias("fact"), F.col("p_type").alias("path"), F.col("p_size").alias("line"), F.col("p_name").alias("name"))
+    return bind_bridges(facts, n).select("fact", "symbols", "symbol")
+
+
+@query("g168_module_coverage", "SELECT 'p' || p_partkey AS path, p_brand AS module, CASE WHEN p_partkey % 2 = 0 AND p_partkey % 3 = 0 THEN 'expected' WHEN p_partkey % 2 = 0 THEN 'missing' ELSE 'unexpected' END AS coverage FROM part WHERE p_partkey % 2 = 0 OR p_partkey % 3 = 0")
+def _(spark, sf):
+    from ..operators.documents import module_coverage
+
+    p = load(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), F.col("p_brand").alias("module"), "p_partkey")
+    return module_coverage(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0"))
