@@ -15,9 +15,10 @@ from .common import table
 
 HASHED = 256
 DENSE = 26
-_CLASS = np.zeros((8, 256), np.float32)
+BATCH_BYTES = 1 << 20
+_CLASS = np.zeros((8, 256), bool)
 for _row, _chars in enumerate((b"#*$%&<>", b"|", b"!", b"?.,;:", b"0123456789", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n", b"@=/_{}[]\\~^+")):
-    _CLASS[_row, list(_chars)] = 1
+    _CLASS[_row, list(_chars)] = True
 
 
 def features(texts: pa.Array) -> np.ndarray:
@@ -50,16 +51,21 @@ def features(texts: pa.Array) -> np.ndarray:
         same = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
         out[:, 5] = sums(same.astype(np.float32), doc[1:]) / n1
         last, head = data[ends - 1], data[starts]
-        byte_doc_sum = [np.concatenate([[0], np.cumsum(c[data], dtype=np.float64)]) for c in _CLASS]
+
+        def per_text(flags: np.ndarray) -> np.ndarray:
+            # One running count at a time: few bytes of memory per byte of text.
+            run = np.zeros(len(flags) + 1, np.int32)
+            np.cumsum(flags, out=run[1:])
+            return (run[at[1:]] - run[at[:-1]]) / n_bytes
+
         for k, c in enumerate(_CLASS):
-            out[:, 6 + k] = (byte_doc_sum[k][at[1:]] - byte_doc_sum[k][at[:-1]]) / n_bytes
+            out[:, 6 + k] = per_text(c[data])
             if k in (0, 1, 2, 5):
                 out[:, 14 + (0, 1, 2, 5).index(k)] = sums(c[last], doc) / n1
         out[:, 18] = sums(_CLASS[5][head], doc) / n1
         out[:, 19] = sums((length == 1).astype(np.float32), doc) / n1
         out[:, 20] = sums((length > 15).astype(np.float32), doc) / n1
-        high = np.concatenate([[0], np.cumsum(data >= 128, dtype=np.int64)])
-        out[:, 21] = (high[at[1:]] - high[at[:-1]]) / n_bytes
+        out[:, 21] = per_text(data >= 128)
         out[:, 22] = np.minimum(out[:, 14] * 4, 1)
         out[:, 23] = np.minimum(out[:, 16] * 4, 1)
         out[:, 24] = np.minimum(out[:, 15] * 4, 1)
@@ -155,7 +161,7 @@ def _feature_rows(docs: DataFrame) -> np.ndarray:
     def run(it):
         for batch in it:
             texts = batch.column(0)
-            for i, j in tokens.batches(texts):
+            for i, j in tokens.batches(texts, BATCH_BYTES):
                 yield pa.record_batch([pa.array([r.tobytes() for r in features(texts.slice(i, j - i))], pa.binary())], ["x"])
 
     rows = docs.select("text").mapInArrow(run, "x binary").collect()
@@ -198,7 +204,7 @@ def scorer(model: Model):
 
     @F.arrow_udf(T.DoubleType())
     def score(texts: pa.Array) -> pa.Array:
-        parts = [model.scores(features(texts.slice(i, j - i))) for i, j in tokens.batches(texts)]
+        parts = [model.scores(features(texts.slice(i, j - i))) for i, j in tokens.batches(texts, BATCH_BYTES)]
         return pa.array(np.concatenate(parts) if parts else np.empty(0), pa.float64())
 
     return score
