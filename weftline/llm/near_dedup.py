@@ -87,7 +87,7 @@ def sketch(docs: DataFrame, k: int, rows: int, shingle: int, weighted: bool = Fa
     def run(it):
         for batch in it:
             texts = batch.column(2)
-            for i, j in ((a, b) for x, y in tokens.batches(texts) for a in range(x, y, 1024) for b in [min(a + 1024, y)]):
+            for i, j in ((a, b) for x, y in tokens.batches(texts, 2 << 20) for a in range(x, y, 1024) for b in [min(a + 1024, y)]):
                 h, first = tokens.shingles(*tokens.word_hashes(texts.slice(i, j - i)), shingle)
                 m = j - i
                 elements, doc = distinct_elements(h, first)
@@ -126,7 +126,7 @@ def overlap_udf(shingle: int):
     @F.arrow_udf(T.StructType([T.StructField("shared", T.LongType()), T.StructField("all", T.LongType())]))
     def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
         shared, union = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
-        step = 256
+        step = 64
         for i in range(0, len(a), step):
             sides = []
             for x in (a, b):
