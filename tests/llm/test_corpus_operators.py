@@ -365,6 +365,18 @@ def test_substring_dedup(docs, empty):
     assert substring_dedup.find_passages(empty).count() == 0
 
 
+def test_a_partial_leader_hides_no_passage(spark):
+    # A holds the first 49 words of what B and C share, in 40 families: B leads none of the windows inside A.
+    rows = []
+    for k in range(40):
+        passage = prose(5000 + k, 60)
+        rows.append((3 * k, prose(6000 + k, 60) + " " + " ".join(passage.split()[:49]) + " " + prose(7000 + k, 60)))
+        rows += [(3 * k + j, prose(8000 + 2 * k + j, 40) + " " + passage + " " + prose(9000 + 2 * k + j, 40)) for j in (1, 2)]
+    t = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    found = {(r["doc_id"], r["source_id"], r["start"], r["n_words"]) for r in substring_dedup.find_passages(t).collect()}
+    assert found == {(3 * k + 2, 3 * k + 1, 40, 60) for k in range(40)}
+
+
 def test_lm_base_is_exact_and_the_model_is_a_probability(docs, empty):
     got = lm_scoring.score_texts(docs, F.col("doc_id") % 2 == 0).collect()
     low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
