@@ -2,6 +2,7 @@
 extra columns whose names clash with internal ones, and empty tables."""
 
 import hashlib
+import itertools
 import math
 import random
 import re
@@ -307,6 +308,21 @@ def test_links_join_every_pair_of_a_bucket(spark):
     assert roots == {0: 0, 1: 0, 2: 0, 3: 0}
 
 
+def test_links_do_not_depend_on_row_order(spark):
+    words = prose(1, 160).split()
+    texts = [" ".join(words[i : i + 100]) for i in (0, 9, 18, 27)] + [prose(2, 100)]
+    rows = [(b, 5 * b + k, texts[j]) for b, order in enumerate(itertools.permutations(range(5))) for k, j in enumerate(order)]
+    t = spark.createDataFrame(rows, "bucket long, rid long, text string")
+    cuts = Cuts(spark, "test")
+    found = near_dedup.links(t.select("rid", "text"), t.select("bucket", "rid"), 0.8, 5, cuts)
+    roots = {r["node"]: r["root"] for r in components(found, cuts).collect()}
+    chains = defaultdict(list)
+    for b, rid, text in rows:
+        if text != texts[4]:
+            chains[b].append(rid)
+    assert roots == {rid: min(chain) for chain in chains.values() for rid in chain}
+
+
 def test_components(spark):
     rng = random.Random(3)
     edges = [(rng.randint(0, 80), rng.randint(0, 80)) for _ in range(60)] + [(100, i) for i in range(101, 160)]

@@ -149,8 +149,18 @@ def links(texts: DataFrame, members: DataFrame, similarity: float, shingle: int,
     ``members``: bucket, rid. In each round a bucket's first open members lead (1, then 2, 4, ...) and all
     members that have not led are compared with them; a member close to no leader stays open. A bucket of
     one near-duplicate group takes one comparison per member; only members unlike each other lead in turn.
+    At last, members that no link connects are compared across the leaders' groups. Jaccard distance keeps the
+    triangle inequality: a member near a leader is near no other that is over 1 - ``similarity`` further from it.
     """
     overlap = overlap_udf(shingle)
+
+    def check(pairs: DataFrame) -> DataFrame:
+        with_a = salted_join(pairs, texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a", n_members)
+        with_b = salted_join(with_a, texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b", n_members)
+        checked = with_b.select("a", "b", overlap("text_a", "text_b").alias("o"))
+        close = F.col("o.shared") >= F.lit(similarity) * F.col("o.all") - 1e-9
+        return cuts.cut(checked.select("a", "b", close.alias("close"), (1 - F.col("o.shared") / F.greatest("o.all", F.lit(1))).alias("d")))
+
     found, tried, led, leaders_at_once = None, None, None, 1
     open_members = members
     n_members = members.count()
@@ -167,10 +177,7 @@ def links(texts: DataFrame, members: DataFrame, similarity: float, shingle: int,
         pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        with_a = salted_join(pairs, texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a", n_members)
-        with_b = salted_join(with_a, texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b", n_members)
-        checked = with_b.select("a", "b", overlap("text_a", "text_b").alias("o"))
-        checked = cuts.cut(checked.select("a", "b", (F.col("o.shared") >= F.lit(similarity) * F.col("o.all") - 1e-9).alias("close")))
+        checked = check(pairs)
         tried = checked if tried is None else tried.unionByName(checked)
         found = tried.where("close").select("a", "b")
         # Open: met no close leader and has not led.
@@ -179,9 +186,22 @@ def links(texts: DataFrame, members: DataFrame, similarity: float, shingle: int,
         new_open = cuts.cut(open_members.join(done, ["bucket", "rid"], "left_anti"))
         cuts.drop(met)
         if new_open.isEmpty():
-            return found
+            break
         open_members = new_open
         leaders_at_once *= 2
+    roots = components(found, cuts).withColumnRenamed("node", "rid")
+    rooted = cuts.cut(members.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")))
+    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+    followers = rooted.join(mixed, "bucket", "left_semi").join(led.withColumnRenamed("a", "rid"), ["bucket", "rid"], "left_anti")
+    met = followers.join(led.withColumnRenamed("a", "leader"), "bucket").withColumns({"a": F.least("rid", "leader"), "b": F.greatest("rid", "leader")})
+    met = cuts.cut(met.join(tried, ["a", "b"]).select("bucket", "leader", "rid", "root", "close", "d"))
+    x, y = (met.where(kind).select("bucket", "leader", *[F.col(c).alias(f"{c}_{side}") for c in ("rid", "root", "d")]) for kind, side in (("close", "x"), ("not close", "y")))
+    across = x.join(y, ["bucket", "leader"]).where((F.col("root_x") != F.col("root_y")) & (F.col("d_y") <= F.col("d_x") + (1 - similarity) + 1e-6))
+    across = across.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
+    across = cuts.cut(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    cuts.drop(met)
+    cuts.drop(rooted)
+    return found if across.isEmpty() else found.unionByName(check(across).where("close").select("a", "b"))
 
 
 def near_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, weighted: bool = False) -> DataFrame:
