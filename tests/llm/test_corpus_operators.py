@@ -411,6 +411,18 @@ def test_lm_base_is_exact_and_the_model_is_a_probability(docs, empty):
     assert lm_scoring.score_texts(empty, F.lit(True)).count() == 0
 
 
+def test_lm_trains_on_every_document(spark, tmp_path):
+    # Of 2000 documents the last quarter by hash differs in its texts, not in their lengths.
+    point = F.pmod(F.xxhash64(F.lit("lm"), F.col("id"), F.lit(11)), F.lit(1 << 30)) / float(1 << 30)
+    for name, last in (("one", "aaa bbb ccc"), ("two", "ccc aaa bbb")):
+        text = F.when(point < 0.8, "bbb aaa ccc").otherwise(last)
+        spark.range(0, 2000, 1, 4).select(F.col("id").alias("rid"), text.alias("text")).write.parquet(str(tmp_path / name))
+    one, two = (spark.read.parquet(str(tmp_path / name)) for name in ("one", "two"))
+    lexicon = lm_scoring.build_lexicon(lm_scoring.word_counts(one), 2000, 10)
+    models = [lm_scoring.fit(x, lexicon).pack() for x in (one, two)]
+    assert not np.array_equal(*models)
+
+
 def test_gru_sums_to_one_carries_state_and_learns():
     rng = np.random.default_rng(0)
     counts = np.array([50.0, 80, 60, 40, 30, 20, 10, 5])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
 import numpy as np
@@ -17,6 +18,7 @@ from .quality_classifier import remainder
 #: Words of at least 1/HOT_WORDS of all tokens are at most HOT_WORDS: 16 bytes each, 8 MiB, go to all workers.
 HOT_WORDS = 1 << 19
 CHUNK_TOKENS = 2_000_000
+LEAST_WORDS = 4094
 
 
 @dataclass
@@ -63,9 +65,12 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
 
 
-def build_lexicon(vocabulary: DataFrame, ends: int, model_words: int) -> Lexicon:
+def build_lexicon(vocabulary: DataFrame, ends: int, model_words: int | None = None) -> Lexicon:
+    """``model_words``: by default the root of the number of tokens, LEAST_WORDS at least."""
     n_words, n_types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_tokens = n_words + ends
+    if model_words is None:
+        model_words = max(LEAST_WORDS, math.isqrt(n_tokens))
     hot = vocabulary.where(F.col("c") * HOT_WORDS >= n_tokens).toArrow()
     h, c = hot.column("h").to_numpy().view(np.uint64), hot.column("c").to_numpy()
     order = np.argsort(h)
@@ -104,24 +109,24 @@ def _chunks(it, limit: int = CHUNK_TOKENS):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def fit(docs: DataFrame, lexicon: Lexicon, share: float = 1 / 16, least_docs: int = 4000, seed_docs: int = 1500, rounds: int = 2, trainers: int = 256) -> Gru:
-    """Trains on the documents of ``docs`` (rid, text) of least hash: ``share`` of them, ``least_docs`` at least.
+def fit(docs: DataFrame, lexicon: Lexicon, seed_docs: int = 1500, rounds: int = 2, trainers: int = 256) -> Gru:
+    """Trains on all documents of ``docs`` (rid, text), each taken once.
 
-    A first pass over ``seed_docs`` documents on one worker gives a common start; then, in each of ``rounds``
-    rounds, a part of the documents is spread over trainers (one per 2000 documents, ``trainers`` at most),
-    which train from the current weights; the new weights are their mean by tokens, summed as they arrive.
-    What is trained on grows with the input. Documents are ordered within a trainer: reruns agree.
+    A first pass over the ``seed_docs`` documents of least hash on one worker gives a common start; then, in each
+    of ``rounds`` rounds, a part of the others is spread over trainers (one per 2000 documents, ``trainers`` at
+    most), which train from the current weights; the new weights are their mean by tokens, summed as they arrive.
+    Documents are ordered within a trainer: reruns agree.
     """
     spark = docs.sparkSession
     n = docs.count()
     order = np.argsort(lexicon.ids[lexicon.ids > UNKNOWN])
     counts = np.concatenate([[lexicon.ends, max(lexicon.n_tokens - lexicon.ends - lexicon.known_mass, 1)], lexicon.counts[lexicon.ids > UNKNOWN][order]])
-    model = Gru.create(counts.astype(float))
+    # In step with the vocabulary, so that a word's cost grows with the root of it.
+    model = Gru.create(counts.astype(float), n_classes=max(40, math.isqrt(len(counts)) * 5 // 8))
     if not n:
         return model
     point = F.pmod(F.xxhash64(F.lit("lm"), "rid", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
-    share = max(share, min(1.0, least_docs / n))
-    picked = docs.select("rid", point.alias("p"), "text").where(F.col("p") < share)
+    picked = docs.select("rid", point.alias("p"), "text")
     lex = spark.sparkContext.broadcast(lexicon)
 
     def turn(part: DataFrame, parts: int, current: Gru) -> Gru:
@@ -146,16 +151,16 @@ def fit(docs: DataFrame, lexicon: Lexicon, share: float = 1 / 16, least_docs: in
 
     start = min(1.0, seed_docs / n)
     model = turn(picked.where(F.col("p") < start), 1, model)
-    if share * n <= 1.5 * seed_docs:
+    if start == 1:
         return model
     for r in range(rounds):
-        lo, hi = (start + (share - start) * k / rounds for k in (r, r + 1))
+        lo, hi = (start + (1 - start) * k / rounds for k in (r, r + 1))
         parts = int(max(1, min(trainers, (hi - lo) * n // 2000)))
         model = turn(picked.where((F.col("p") >= lo) & (F.col("p") < hi)), parts, model)
     return model
 
 
-def score_texts(docs: DataFrame, is_training: Column, model_words: int = 4094, share: float = 1 / 16) -> DataFrame:
+def score_texts(docs: DataFrame, is_training: Column, model_words: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_tokens, n_known, train_tokens, base_score, score.
 
     base_score: sum of log10((c + 0.1) / (N + 0.1 (V + 1))) over words and one end, with counts of all rows
@@ -172,7 +177,7 @@ def score_texts(docs: DataFrame, is_training: Column, model_words: int = 4094, s
     fitted = base.where("fit")
     vocabulary = cuts.cut(word_counts(fitted))
     lexicon = build_lexicon(vocabulary, fitted.count(), model_words)
-    model = fit(fitted.select("rid", "text"), lexicon, share)
+    model = fit(fitted.select("rid", "text"), lexicon)
     shared = spark.sparkContext.broadcast((lexicon, model))
 
     def run(it):
