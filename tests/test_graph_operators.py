@@ -6,6 +6,7 @@ from collections import defaultdict, deque
 import pytest
 from pyspark.sql import functions as F
 
+from weftline.plans import registry
 from weftline.operators import cycles, exposure, findings, graph, impact, lookup, metrics, multiroot, reach
 from weftline.operators.graph import Graph
 
@@ -359,3 +360,12 @@ def test_property_access_and_parameters(spark):
     ids = lambda *x: spark.createDataFrame([(i,) for i in x], "id string")
     assert [r["usr"] for r in reach.unused_parameters(par, ids("f", "r"), ids("r")).collect()] == ["x"]
     assert F is not None
+
+
+def test_nearest_line_keeps_every_priority(spark, tmp_path):
+    spark.range(1, 41).selectExpr("id AS o_orderkey", "concat('p', id) AS o_orderpriority").write.parquet(str(tmp_path / "orders.parquet"))
+    spark.range(1, 6).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    got = {r["k"]: r["found"] for r in registry.QUERIES["g029_nearest_line"](spark, str(tmp_path)).collect()}
+    marks = {s * 37: s for s in range(1, 6)}
+    nearest = {k: min(marks, key=lambda at: (abs(7 * k - at), at)) for k in range(1, 41)}
+    assert got == {k: f"{at}:{marks[at]}" for k, at in nearest.items()}

@@ -494,8 +494,8 @@ def _(spark, sf):
     at = (F.col("s_suppkey") * 37 % 1000).cast("int")
     marks = load(spark, sf, "supplier").select(at.alias("at"), F.col("s_suppkey").cast("string").alias("s")).groupBy("at").agg(F.min("s").alias("s"))
     paths = o.select(F.col("o_orderpriority").alias("path")).distinct()
-    # A handful of priorities beside the suppliers: a dimension, not a pair join.
-    right = marks.select("at", F.concat(F.col("at"), F.lit(":"), F.col("s")).alias("v")).join(F.broadcast(paths.limit(16)))
+    # The priorities beside the suppliers: a dimension, not a pair join.
+    right = marks.select("at", F.concat(F.col("at"), F.lit(":"), F.col("s")).alias("v")).crossJoin(paths)
     return ingest.nearest(left, right, ["path"], "line", "at", "v").select("k", F.col("v").alias("found"))
 
 
