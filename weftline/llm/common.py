@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import threading
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,22 +41,56 @@ def words(text: Column) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, else (tests) a temporary one."""
+    """The folder all executors share: spark.checkpoint.dir, else (one local process, as in tests) a temporary one."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     fallback = os.path.join(tempfile.gettempdir(), "weftline-checkpoints")
     os.makedirs(fallback, exist_ok=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{fallback}")
     return f"file://{fallback}"
 
 
+class Scratch:
+    """The folders that ``Cuts`` made inside a ``with`` block in this thread; ``free`` deletes them.
+
+    For chains of steps whose results are written: what a step cut is of no use once its result is stored.
+    """
+
+    _now = threading.local()
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.folders = spark, []
+
+    def __enter__(self) -> Scratch:
+        self._outer = getattr(Scratch._now, "it", None)
+        Scratch._now.it = self
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Scratch._now.it = self._outer
+
+    def free(self) -> None:
+        for folder in self.folders:
+            delete(self.spark, folder)
+        self.folders = []
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Cuts:
     """Tables written to the shared folder to end lineage; ``drop`` frees one that is no longer read."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark, self.base = spark, f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        if (scratch := getattr(Scratch._now, "it", None)) is not None:
+            scratch.folders.append(self.base)
 
     def cut(self, df: DataFrame) -> DataFrame:
         self._n += 1
@@ -68,9 +103,7 @@ class Cuts:
     def drop(self, df: DataFrame | None) -> None:
         path = getattr(df, "_weftline_path", None)
         if path:
-            jvm = self.spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+            delete(self.spark, path)
 
 
 def join_unique(left: DataFrame, right: DataFrame, keys: list[str], weight: str, total: int, how: str = "inner") -> DataFrame:

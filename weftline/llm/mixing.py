@@ -54,77 +54,121 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: fl
     return s.select("source", "source_size", "weight", target.alias("target"))
 
 
+def shuffled_place(columns: list[Column], seed: str = "mix") -> dict[str, Column]:
+    """Where a document stands in its source's shuffled order: by ``h``, a hash of its content, so that the order is
+    the same in every run and for every layout of the files; ``b`` is one of BUCKETS equal spans of that order."""
+    h = F.xxhash64(F.lit(seed), *columns)
+    return {"_mix_h": h, "_mix_b": (F.shiftright(h, 48) + F.lit(1 << 15)).cast("int")}
+
+
 def plan_mix(
-    docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_tokens: int = 64, seed: str = "mix"
+    sized: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block_tokens: int = 64
 ) -> dict[str, DataFrame]:
-    """``takes``: (rid, doc_id, source, size, source_size, target, epoch, words) parts of documents in the mix;
-    ``docs``: the measured rows; ``schedule``: (slot, source, rank), the order in which blocks are drawn.
+    """``sources``: one row per source with its target, its ``slots`` and what they take; ``schedule``: (slot, sid,
+    rank), the order in which blocks are drawn. ``sized``: source, size, b of every document.
 
     Slot i goes to the source whose span of cumulative target shares holds the i-th golden-ratio point; slots
     are ranked per source by counts of runs of slots, so no source's slots meet in one task. A source's
     documents, shuffled by hash and repeated ``cap`` times, form a token stream cut into equal blocks; the
-    slot of rank k takes block k. Documents without words are never taken; null text has none; null sources
-    form one source, the last. Rows are told apart by an internal number: repeated doc_ids are separate.
+    slot of rank k takes block k. Ranks of a source are 0, 1, 2, ... without a gap, so the join of slots and blocks
+    on (source, rank) takes the stream's first slots * ``block_tokens`` words, capped: ``sources`` carries that cut
+    per epoch, with the span of the shuffled order it falls in (``edge``) and the words before that span (``before``).
     """
-    spark = docs.sparkSession
+    spark = sized.sparkSession
     cuts = Cuts(spark, "mix")
-    text = F.coalesce(F.col("text"), F.lit(""))
-    size = F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long")
-    sized = cuts.cut(docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", "source", size.alias("size")))
+    per = cuts.cut(sized.groupBy("source", F.col("_mix_b").alias("b")).agg(F.sum("size").alias("w")))
 
     # A dimension of sources: sid is the order by code point, null last.
     dim = cuts.cut(
-        water_fill(sized.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).drop("n"), weights, share, cap)
+        water_fill(per.groupBy("source").agg(F.sum("w").alias("source_size")), weights, share, cap)
         .withColumn("sid", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
-        .withColumn("slots", F.sum("target").over(Window.partitionBy()))
-        .withColumn("hi", F.sum("target").over(Window.orderBy("sid")) / F.greatest(F.col("slots"), F.lit(1e-9)))
+        .withColumn("total", F.sum("target").over(Window.partitionBy()))
+        .withColumn("hi", F.sum("target").over(Window.orderBy("sid")) / F.greatest(F.col("total"), F.lit(1e-9)))
         .withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("sid")), F.lit(0.0)))
         .withColumn("hi", F.when(F.lead("sid").over(Window.orderBy("sid")).isNull(), F.lit(2.0)).otherwise(F.col("hi")))
     )
-    totals = dim.agg(F.max("slots"), F.count("*")).first()
-    n_slots = int(-(-(totals[0] or 0.0) // block_tokens))
-
-    # The streams: position of each document in its source, by prefix sums over hash buckets.
-    n_docs = sized.count()
-    buckets = max(16, n_docs // 50_000)
-    spread = F.xxhash64(F.lit(seed), "doc_id", "rid")
-    keyed = sized.join(
-        _small(dim.select(F.col("source").alias("s_source"), "source_size", "target", "sid"), totals[1]), F.col("source").eqNullSafe(F.col("s_source"))
-    ).drop("s_source")
-    keyed = keyed.withColumns({"h": spread, "b": F.pmod(F.shiftright(spread, 20), F.lit(buckets))})
-    per = keyed.groupBy("sid", "b").agg(F.sum("size").alias("w"))
-    per = per.select("sid", "b", F.coalesce(F.sum("w").over(Window.partitionBy("sid").orderBy("b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    inner = Window.partitionBy("sid", "b").orderBy("h", "rid").rowsBetween(Window.unboundedPreceding, -1)
-    placed = (
-        keyed.where("size > 0")
-        .withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-        .join(per, ["sid", "b"])
-        .select("rid", "doc_id", "source", "size", "source_size", "target", "sid", (F.col("before") + F.col("within")).alias("start"))
-    )
-    epochs = int(-(-cap // 1))
-    pieces = placed.withColumn("epoch", F.explode(F.array(*map(F.lit, range(epochs))))).withColumn("a", F.col("start") + F.col("epoch") * F.col("source_size"))
-    pieces = pieces.withColumn("z", F.least(F.col("a") + F.col("size"), F.floor(F.col("source_size") * F.lit(float(cap))))).where("a < z")
-    # Words beyond a source's target never meet a slot but by the schedule's small error: prune far ones before the join.
-    slack = F.lit(64 * block_tokens)
-    pieces = pieces.where(F.col("a") <= F.col("target") + slack)
-    blocks = pieces.withColumn("rank", F.explode(F.sequence(F.expr(f"a div {block_tokens}"), F.expr(f"(z - 1) div {block_tokens}"))))
-    blocks = blocks.withColumn("words", F.least("z", (F.col("rank") + 1) * block_tokens) - F.greatest("a", F.col("rank") * block_tokens))
+    total, n_sources = dim.agg(F.max("total"), F.count("*")).first()
+    n_slots = int(-(-(total or 0.0) // block_tokens))
 
-    # The schedule, ranked in two steps.
     slots = spark.range(n_slots).select(F.col("id").alias("slot"), _golden_point(F.col("id") + 1).alias("x"))
-    spans = _small(dim.where("hi > lo").select("sid", "lo", "hi"), totals[1])
-    # A range lookup in a small dimension: the point goes to the only span that holds it.
-    edges = [(r["hi"], r["sid"]) for r in dim.where("hi > lo").select("sid", "lo", "hi").orderBy("sid").toLocalIterator()]
-    slots = _lookup(slots, edges, spans)
+    slots = _lookup(slots, dim.where("hi > lo").select("sid", "lo", "hi"), n_sources)
     slots = slots.withColumn("run", F.expr(f"slot div {RUN}"))
-    runs = slots.groupBy("sid", "run").agg(F.count("*").alias("k"))
-    runs = runs.select("sid", "run", F.coalesce(F.sum("k").over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
-    ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot")) - 1).join(runs, ["sid", "run"])
-    ranked = ranked.select("slot", "sid", (F.col("base") + F.col("r")).alias("rank"))
+    runs = cuts.cut(slots.groupBy("sid", "run").agg(F.count("*").alias("k")))
+    base = F.coalesce(F.sum("k").over(Window.partitionBy("sid").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = slots.withColumn("r", F.row_number().over(Window.partitionBy("sid", "run").orderBy("slot")) - 1).join(
+        runs.select("sid", "run", base.alias("base")), ["sid", "run"]
+    )
+
+    # What the slots take of each epoch's pass over the source, and the span of the order in which the pass ends.
+    epochs = int(-(-cap // 1))
+    taken = F.least(F.coalesce("slots", F.lit(0)) * block_tokens, F.floor(F.col("source_size") * F.lit(float(cap))))
+    cut_at = dim.join(runs.groupBy("sid").agg(F.sum("k").alias("slots")), "sid", "left").withColumn("slots", F.coalesce("slots", F.lit(0)))
+    cut_at = cut_at.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))))
+    cut_at = cut_at.withColumn("words", F.greatest(F.lit(0), F.least("source_size", taken - F.col("epoch") * F.col("source_size"))).cast("long"))
+    running = F.sum("w").over(Window.partitionBy("source").orderBy("b"))
+    spans = per.select(F.col("source").alias("s"), "b", (running - F.col("w")).alias("before"), running.alias("after"))
+    met = cut_at.select("source", "epoch", "words").join(
+        spans, F.col("source").eqNullSafe(F.col("s")) & (F.col("words") >= F.col("before")) & (F.col("words") < F.col("after"))
+    )
+    met = met.select("source", "epoch", F.col("b").alias("edge"), "before")
+    cut_at = cut_at.alias("c").join(met.alias("m"), F.col("c.source").eqNullSafe(F.col("m.source")) & (F.col("c.epoch") == F.col("m.epoch")), "left")
+    passes = F.sort_array(F.collect_list(F.struct("c.epoch", "words", "edge", "before")))
+    sources = cuts.cut(cut_at.groupBy("c.source", "source_size", "weight", "target", "sid", "slots").agg(passes.alias("passes")))
+    return {"sources": sources, "schedule": ranked.select("slot", "sid", (F.col("base") + F.col("r")).alias("rank"))}
+
+
+def _take(rows: DataFrame, sources: DataFrame, order: list[Column], size: Column) -> DataFrame:
+    """``rows`` (source, _mix_h, _mix_b and whatever else) with ``size``, ``source_size``, ``target`` and ``takes``: the
+    words that the mix takes of the document in each epoch. ``size`` is evaluated once per row, behind the split.
 
-    drawn = blocks.join(ranked.select("sid", "rank"), ["sid", "rank"])
-    takes = drawn.groupBy("rid", "doc_id", "source", "size", "source_size", "target", "epoch").agg(F.sum("words").alias("words"))
-    return {"docs": sized, "sources": dim, "takes": takes, "schedule": ranked}
+    A document before the span in which a pass ends is taken whole, one behind it is not, both told from the row
+    and its source's entry alone; only the rows of that one span in 2^16 are sorted. Nothing else moves.
+    """
+    n = sources.count()
+    entry = sources.select(F.col("source").alias("_mix_s"), "source_size", "target", "passes")
+    # Dimensions travel to the rows; the condition keeps null as a source of its own.
+    rows = rows.join(_small(entry, n), F.col("source").eqNullSafe(F.col("_mix_s"))).drop("_mix_s")
+    at_edge = F.exists("passes", lambda p: p["edge"] == F.col("_mix_b"))
+    all_of = lambda p: F.when(p["edge"].isNull(), p["words"] > 0).otherwise(F.col("_mix_b") < p["edge"])
+    plain = rows.where(~F.coalesce(at_edge, F.lit(False))).withColumn("size", size).withColumn("takes", F.transform("passes", lambda p: F.when(all_of(p), F.col("size")).otherwise(0).cast("long")))
+    ahead = Window.partitionBy("source", "_mix_b").orderBy("_mix_h", *order).rowsBetween(Window.unboundedPreceding, -1)
+    edge = rows.where(at_edge).withColumn("size", size).withColumn("_mix_w", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
+    some = lambda p: F.when(
+        p["edge"] == F.col("_mix_b"), F.greatest(F.lit(0), F.least(F.col("size"), p["words"] - p["before"] - F.col("_mix_w")))
+    ).otherwise(F.when(all_of(p), F.col("size")).otherwise(0))
+    edge = edge.withColumn("takes", F.transform("passes", lambda p: some(p).cast("long"))).drop("_mix_w")
+    return plain.unionByName(edge).drop("passes")
+
+
+def draw_order(docs: DataFrame, block_tokens: int = 64, cap: float = 2.0, **params) -> DataFrame:
+    """(slot, source, doc_id, epoch, first, words): the blocks in the order in which the mix draws them, each with
+    the parts of documents that it holds (``first``: the part's first word in the document).
+
+    The slot of rank k of a source is joined with block k of its stream. For a user who streams the mix; the counts
+    and texts of the mix need no such join (see ``plan_mix``).
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long")
+    sized = docs.select("doc_id", "source", size.alias("size"), *[c.alias(k) for k, c in shuffled_place([F.col("doc_id"), text]).items()])
+    sized = Cuts(docs.sparkSession, "draw").cut(sized.where("size > 0"))
+    plan = plan_mix(sized, cap=cap, block_tokens=block_tokens, **params)
+    per = sized.groupBy("source", "_mix_b").agg(F.sum("size").alias("w"))
+    running = F.sum("w").over(Window.partitionBy("source").orderBy("_mix_b")) - F.col("w")
+    per = per.select(F.col("source").alias("s"), F.col("_mix_b").alias("b"), running.alias("before"))
+    inner = Window.partitionBy("source", "_mix_b").orderBy("_mix_h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = sized.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
+    placed = placed.join(per, F.col("source").eqNullSafe(F.col("s")) & (F.col("_mix_b") == F.col("b")))
+    n = plan["sources"].count()
+    entry = plan["sources"].select(F.col("source").alias("_mix_s"), "sid", "source_size", "slots")
+    placed = placed.join(_small(entry, n), F.col("source").eqNullSafe(F.col("_mix_s")))
+    pieces = placed.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(int(-(-cap // 1)) - 1))))
+    pieces = pieces.withColumn("a", F.col("before") + F.col("within") + F.col("epoch") * F.col("source_size"))
+    pieces = pieces.withColumn("z", F.least(F.col("a") + F.col("size"), F.floor(F.col("source_size") * F.lit(float(cap))))).where("a < z")
+    pieces = pieces.where(F.col("a") < F.col("slots") * block_tokens)
+    blocks = pieces.withColumn("rank", F.explode(F.sequence(F.expr(f"a div {block_tokens}"), F.expr(f"(z - 1) div {block_tokens}"))))
+    begin = F.greatest("a", F.col("rank") * block_tokens)
+    blocks = blocks.select("sid", "rank", "source", "doc_id", "epoch", (begin - F.col("a")).alias("first"), (F.least("z", (F.col("rank") + 1) * block_tokens) - begin).alias("words"))
+    return blocks.join(plan["schedule"], ["sid", "rank"]).select("slot", "source", "doc_id", "epoch", "first", "words")
 
 
 #: A dimension of at most this many sources is broadcast (bound checked against its count); a larger one is hash joined.
@@ -135,50 +179,62 @@ def _small(df: DataFrame, n: int) -> DataFrame:
     return F.broadcast(df) if n <= SMALL_SOURCES else df
 
 
-def _lookup(slots: DataFrame, edges: list[tuple[float, int]], spans: DataFrame) -> DataFrame:
+def _lookup(slots: DataFrame, spans: DataFrame, n: int) -> DataFrame:
     """The source of each point. Few spans: one expression; many: a join on a grid of 4096 cells of [0, 1)."""
-    if len(edges) <= 64:
+    if n <= 64:
+        edges = [(r["hi"], r["sid"]) for r in spans.orderBy("sid").collect()]  # at most 64
         sid = F.lit(edges[-1][1] if edges else None).cast("int")
         for hi, s in reversed(edges[:-1]):
             sid = F.when(F.col("x") < F.lit(hi), F.lit(s)).otherwise(sid)
         return slots.withColumn("sid", sid).drop("x")
     grid = spans.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * 4096), F.least(F.floor(F.col("hi") * 4096), F.lit(4095).cast("long")))))
-    at = slots.withColumn("cell", F.floor(F.col("x") * 4096)).join(F.broadcast(grid) if len(edges) <= SMALL_SOURCES else grid, "cell")
+    at = slots.withColumn("cell", F.floor(F.col("x") * 4096)).join(_small(grid, n), "cell")
     return at.where((F.col("x") >= F.col("lo")) & (F.col("x") < F.col("hi"))).select("slot", "sid")
 
 
 def mix_counts(docs: DataFrame, **params) -> DataFrame:
-    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken."""
-    plan = plan_mix(docs, **params)
-    taken = plan["takes"].groupBy("rid").agg(F.sum("words").alias("taken"))
-    n = plan["sources"].count()
-    dim = _small(plan["sources"].select(F.col("source").alias("s"), "source_size", "target"), n)
-    return (
-        plan["docs"]
-        .join(taken, "rid", "left")
-        .join(dim, F.col("source").eqNullSafe(F.col("s")))
-        .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
-    )
+    """One row per row of ``docs``: doc_id, source, size, source_size, target, taken.
+
+    Null and wordless texts have size 0 and are never taken; null sources form one source, the last. Texts of any
+    length count whole. Equal texts have places of their own by their doc_ids; rows equal in doc_id, text and source
+    share a place and are interchangeable. An empty table gives an empty result. Only doc_id, source and text
+    are read, so further columns, whatever their names, do no harm. Reruns agree, on any layout of the files.
+    """
+    text = F.coalesce(F.col("text"), F.lit(""))
+    size = F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long")
+    sized = docs.select("doc_id", "source", size.alias("size"), *[c.alias(k) for k, c in shuffled_place([F.col("doc_id"), text]).items()])
+    sized = Cuts(docs.sparkSession, "sized").cut(sized)
+    out = _take(sized, plan_mix(sized, **params)["sources"], [F.col("doc_id"), F.col("size")], F.col("size"))
+    taken = F.aggregate("takes", F.lit(0).cast("long"), lambda x, y: x + y)
+    return out.select("doc_id", "source", "size", "source_size", "target", taken.alias("taken"))
 
 
 def mix_documents(docs: DataFrame, **params) -> DataFrame:
     """The mix itself: the columns of ``docs``, one row per document and epoch, with the words taken as text.
 
     A document taken whole keeps its text; the one at the end of a source's share keeps its first taken words.
-    ``n_chars``, where present, follows the text.
+    ``n_chars``, where present, follows the text. Texts stay in place: only the documents of the span in which a
+    source's share ends are shuffled. Edge cases as for ``mix_counts``; all columns of ``docs`` are kept, whatever
+    their names, and rows that differ in other columns alone are told apart by a hash of all of them.
     """
-    cuts = Cuts(docs.sparkSession, "mixed")
-    # The row number is drawn twice from the same stored table: same splits, same numbers.
-    takes = plan_mix(docs, **params)["takes"]
-    takes = cuts.cut(takes.select(F.col("rid").alias("_mix_rid"), F.col("words").alias("_mix_words"), F.col("size").alias("_mix_size")))
-    out = docs.withColumn("_mix_rid", F.monotonically_increasing_id()).join(takes, "_mix_rid")
-    cut_text = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_mix_words").cast("int")), " ")
-    whole = F.col("_mix_words") >= F.col("_mix_size")
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length(cut_text).cast("long")))
-    out = out.withColumn("text", F.when(whole, F.col("text")).otherwise(cut_text))
-    return out.select(*docs.columns)
+    names = docs.columns
+    # Clashing names: the input's columns travel as one struct.
+    held = docs.select(F.struct(*names).alias("_mix_d"))
+    col = lambda c: F.col("_mix_d")[c]
+    text = F.coalesce(col("text"), F.lit(""))
+    size = F.size(F.regexp_extract_all(text, F.lit(WORD), F.lit(0))).cast("long")
+    place = [c.alias(k) for k, c in shuffled_place([col("doc_id"), text]).items()]
+    rows = held.select("_mix_d", col("source").alias("source"), *place)
+    plan = plan_mix(rows.withColumn("size", size).drop("_mix_d"), **params)
+    out = _take(rows, plan["sources"], [F.xxhash64(F.to_json("_mix_d"))], size).select("_mix_d", "size", F.explode("takes").alias("words")).where("words > 0")
+    cut_text = F.array_join(F.slice(F.regexp_extract_all(col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
+    whole = F.col("words") >= F.col("size")
+    changed = {"text": F.when(whole, col("text")).otherwise(cut_text)}
+    if "n_chars" in names:
+        changed["n_chars"] = F.when(whole, col("n_chars")).otherwise(F.length(cut_text).cast("long"))
+    return out.select(*[changed.get(c, col(c)).alias(c) for c in names])
 
 
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The words that the mix takes of every row of ``documents``; edge cases as for ``mix_counts``."""
     return mix_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
