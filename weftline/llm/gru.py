@@ -154,7 +154,11 @@ def score_documents(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int
 
 def train(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int = 64, window: int = 24, rate: float = 0.1, clip: float = 5.0) -> tuple[Gru, float]:
     """One pass of Adagrad over the documents by back-propagation truncated to a window; the state is carried
-    over the window's edge. Returns the model and the mean negative log likelihood per token."""
+    over the window's edge. Returns the model and the mean negative log likelihood per token.
+
+    Tokens of a window are sorted by output class once, so that each class works on a slice; the gradients of
+    the recurrent weights of all steps are one product.
+    """
     target, source, doc, length = lay_out(ids, first, n_lanes)
     k, w = model.hidden, {n: x.copy() for n, x in model.weights.items()}
     out = Gru(model.bounds, k, w)
@@ -163,13 +167,26 @@ def train(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int = 64, win
     begins[0] = True
     begins[1:] = doc[1:] != doc[:-1]
     carried = np.zeros((target.shape[1], k), np.float32)
-    n_classes = len(model.bounds) - 1
+    n_classes, small_ids = len(model.bounds) - 1, len(w["ob"]) < 1 << 16
+    class_of = np.repeat(np.arange(n_classes, dtype=np.int16 if n_classes < 1 << 15 else np.int32), np.diff(model.bounds))
+    grad_o, grad_ob = np.zeros_like(w["o"]), np.zeros_like(w["ob"])
     loss, seen = 0.0, 0
 
-    def update(name: str, grad: np.ndarray, rows=slice(None)) -> None:
+    def update(name: str, grad: np.ndarray, rows=None) -> None:
         np.clip(grad, -clip, clip, out=grad)
-        square[name][rows] += grad * grad
-        w[name][rows] -= np.float32(rate) * grad / np.sqrt(square[name][rows])
+        if rows is None or isinstance(rows, slice):
+            here = slice(None) if rows is None else rows
+            sq, at = square[name][here], w[name][here]
+            sq += grad * grad
+            grad *= np.float32(rate)
+            grad /= np.sqrt(sq)
+            at -= grad
+        else:
+            sq = square[name][rows] + grad * grad
+            square[name][rows] = sq
+            grad *= np.float32(rate)
+            grad /= np.sqrt(sq, out=sq)
+            w[name][rows] -= grad
 
     for lo in range(0, len(target), window):
         hi = min(lo + window, len(target))
@@ -177,20 +194,36 @@ def train(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int = 64, win
         steps = hi - lo
         h = np.zeros((steps + 1, live, k), np.float32)
         h[0] = carried[:live]
-        gates = np.empty((steps, 3, live, k), np.float32)
+        ids_in = source[lo:hi, :live].ravel()
+        x = w["x"][ids_in].reshape(steps, live, 3 * k)
+        x += w["b"]
+        rec_n = np.empty((steps, live, k), np.float32)
         for t in range(steps):
             h[t, begins[lo + t, :live]] = 0
-            x = w["x"][source[lo + t, :live]] + w["b"]
-            h[t + 1], gates[t, 0], gates[t, 1], gates[t, 2] = out.step(x, h[t])
+            rec = h[t] @ w["h"]
+            zr, n = x[t, :, : 2 * k], x[t, :, 2 * k :]
+            zr += rec[:, : 2 * k]
+            zr *= np.float32(0.5)
+            np.tanh(zr, out=zr)
+            zr += 1
+            zr *= np.float32(0.5)
+            rec_n[t] = rec[:, 2 * k :]
+            n += zr[:, k:] * rec_n[t]
+            np.tanh(n, out=n)
+            np.subtract(h[t], n, out=h[t + 1])
+            h[t + 1] *= zr[:, :k]
+            h[t + 1] += n
         carried[:live] = h[-1]
         wanted = target[lo:hi, :live].ravel()
         rows = np.flatnonzero(wanted >= 0)
+        rows = rows[np.argsort(class_of[wanted[rows]], kind="stable")]
         y, hs = wanted[rows], h[1:].reshape(-1, k)[rows]
-        cls = np.searchsorted(model.bounds, y, "right") - 1
+        cls = class_of[y]
         # Of a full window, so that the last, few documents of a long lane do not weigh more than others.
         scale = np.float32(1 / (target.shape[1] * window))
-        logits = hs @ w["co"].T + w["cb"]
-        p = np.exp(logits - logits.max(1, keepdims=True))
+        p = hs @ w["co"].T
+        p += w["cb"]
+        np.exp(np.minimum(p, 80, out=p), out=p)
         p /= p.sum(1, keepdims=True)
         at = np.arange(len(y))
         loss -= float(np.log(np.maximum(p[at, cls], 1e-30)).sum())
@@ -198,48 +231,66 @@ def train(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int = 64, win
         p *= scale
         d_h = p @ w["co"]
         g_co, g_cb = p.T @ hs, p.sum(0)
-        inner_updates = []
+        ends = np.searchsorted(cls, np.arange(n_classes + 1))
+        touched: list[list[int]] = []
         for c in range(n_classes):
-            a, b = model.bounds[c], model.bounds[c + 1]
-            mine = np.flatnonzero(cls == c) if b - a > 1 else at[:0]
-            if len(mine):
-                z = hs[mine] @ w["o"][a:b].T + w["ob"][a:b]
-                q = np.exp(z - z.max(1, keepdims=True))
-                q /= q.sum(1, keepdims=True)
-                pick = np.arange(len(mine))
-                loss -= float(np.log(np.maximum(q[pick, y[mine] - a], 1e-30)).sum())
-                q[pick, y[mine] - a] -= 1
-                q *= scale
-                d_h[mine] += q @ w["o"][a:b]
-                inner_updates.append((slice(a, b), q.T @ hs[mine], q.sum(0)))
+            a, b, i, j = model.bounds[c], model.bounds[c + 1], ends[c], ends[c + 1]
+            if b - a == 1 or i == j:
+                continue
+            mine = hs[i:j]
+            q = mine @ w["o"][a:b].T
+            q += w["ob"][a:b]
+            np.exp(np.minimum(q, 80, out=q), out=q)
+            q /= q.sum(1, keepdims=True)
+            pick = at[: j - i]
+            hit = y[i:j] - a
+            loss -= float(np.log(np.maximum(q[pick, hit], 1e-30)).sum())
+            q[pick, hit] -= 1
+            q *= scale
+            d_h[i:j] += q @ w["o"][a:b]
+            np.matmul(q.T, mine, out=grad_o[a:b])
+            np.sum(q, axis=0, out=grad_ob[a:b])
+            if touched and touched[-1][1] == a:
+                touched[-1][1] = b
+            else:
+                touched.append([a, b])
         seen += len(y)
         d_out = np.zeros((steps * live, k), np.float32)
         d_out[rows] = d_h
         d_out = d_out.reshape(steps, live, k)
         d_x = np.empty((steps, live, 3 * k), np.float32)
-        g_h = np.zeros_like(w["h"])
+        d_rec_n = np.empty((steps, live, k), np.float32)
+        w_zr, w_n = w["h"][:, : 2 * k].T.copy(), w["h"][:, 2 * k :].T.copy()
         d_state = np.zeros((live, k), np.float32)
         for t in range(steps - 1, -1, -1):
-            d = d_state + d_out[t]
-            z, r, n = gates[t]
-            rec_n = h[t] @ w["h"][:, 2 * k :]
-            d_n = d * (1 - z) * (1 - n * n)
-            d_z = d * (h[t] - n) * z * (1 - z)
-            d_r = d_n * rec_n * r * (1 - r)
-            d_rec = np.concatenate([d_z, d_r, d_n * r], 1)
-            d_x[t] = np.concatenate([d_z, d_r, d_n], 1)
-            g_h += h[t].T @ d_rec
-            d_state = d * z + d_rec @ w["h"].T
+            d = d_state
+            d += d_out[t]
+            z, r, n = x[t, :, :k], x[t, :, k : 2 * k], x[t, :, 2 * k :]
+            to = d_x[t]
+            keep = d * z
+            d_n = to[:, 2 * k :]
+            np.subtract(d, keep, out=d_n)
+            d_n *= 1 - n * n
+            np.multiply(keep, (h[t] - n) * (1 - z), out=to[:, :k])
+            np.multiply(d_n, r, out=d_rec_n[t])
+            np.multiply(d_rec_n[t], rec_n[t] * (1 - r), out=to[:, k : 2 * k])
+            d_state = keep
+            d_state += to[:, : 2 * k] @ w_zr
+            d_state += d_rec_n[t] @ w_n
             d_state[begins[lo + t, :live]] = 0
-        flat, ids_in = d_x.reshape(-1, 3 * k), source[lo:hi, :live].ravel()
-        order = np.argsort(ids_in, kind="stable")
-        named, cut = np.unique(ids_in[order], return_index=True)
-        update("x", np.add.reduceat(flat[order], cut, axis=0), named)
+        flat, before = d_x.reshape(-1, 3 * k), h[:-1].reshape(-1, k)
+        g_h = np.concatenate([before.T @ flat[:, : 2 * k], before.T @ d_rec_n.reshape(-1, k)], 1)
+        order = np.argsort(ids_in.astype(np.uint16) if small_ids else ids_in, kind="stable")
+        ranked = ids_in[order]
+        cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         update("b", flat.sum(0))
+        sums = np.cumsum(flat[order], axis=0)[np.append(cut[1:], len(ranked)) - 1]
+        sums[1:] -= sums[:-1].copy()
+        update("x", sums, ranked[cut])
         update("h", g_h)
         update("co", g_co)
         update("cb", g_cb)
-        for where, g_o, g_b in inner_updates:
-            update("o", g_o, where)
-            update("ob", g_b, where)
+        for a, b in touched:
+            update("o", grad_o[a:b], slice(a, b))
+            update("ob", grad_ob[a:b], slice(a, b))
     return out, loss / max(1, seen)

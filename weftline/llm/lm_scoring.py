@@ -18,7 +18,9 @@ from .quality_classifier import remainder
 #: Words of at least 1/HOT_WORDS of all tokens are at most HOT_WORDS: 16 bytes each, 8 MiB, go to all workers.
 HOT_WORDS = 1 << 19
 CHUNK_TOKENS = 2_000_000
-LEAST_WORDS = 4094
+LEAST_WORDS = 1022
+#: Documents trained side by side, steps of a truncated back-propagation, learning rate, size of the state.
+LANES, WINDOW, RATE, HIDDEN = 160, 20, 0.15, 16
 
 
 @dataclass
@@ -66,11 +68,11 @@ def word_counts(docs: DataFrame) -> DataFrame:
 
 
 def build_lexicon(vocabulary: DataFrame, ends: int, model_words: int | None = None) -> Lexicon:
-    """``model_words``: by default the root of the number of tokens, LEAST_WORDS at least."""
+    """``model_words``: by default a quarter of the root of the number of tokens, LEAST_WORDS at least."""
     n_words, n_types = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_tokens = n_words + ends
     if model_words is None:
-        model_words = max(LEAST_WORDS, math.isqrt(n_tokens))
+        model_words = max(LEAST_WORDS, math.isqrt(n_tokens) // 4)
     hot = vocabulary.where(F.col("c") * HOT_WORDS >= n_tokens).toArrow()
     h, c = hot.column("h").to_numpy().view(np.uint64), hot.column("c").to_numpy()
     order = np.argsort(h)
@@ -109,45 +111,66 @@ def _chunks(it, limit: int = CHUNK_TOKENS):
         yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
-def fit(docs: DataFrame, lexicon: Lexicon, seed_docs: int = 1500, rounds: int = 2, trainers: int = 256) -> Gru:
-    """Trains on all documents of ``docs`` (rid, text), each taken once.
+def _sum_weights(rows: pa.Table) -> pa.Table:
+    """One row of the weights' sums, in the order of the trainers, so that reruns agree to the last bit."""
+    rows = rows.sort_by("g")
+    w = sum(np.frombuffer(x.as_py(), np.float64) for x in rows.column("w"))
+    n = sum(rows.column("n").to_pylist())
+    return pa.table({"k": rows.column("k")[:1], "g": [rows.column("g")[0].as_py() % GROUPS], "n": [n], "w": [w.tobytes()]}, schema=_WEIGHTS)
+
+
+#: Weights travel in slices of 1 MiB, summed first in GROUPS groups of trainers, then over the groups.
+SLICE, GROUPS = 1 << 17, 32
+_WEIGHTS = pa.schema([("k", pa.int32()), ("g", pa.int32()), ("n", pa.int64()), ("w", pa.binary())])
+
+
+def fit(docs: DataFrame, lexicon: Lexicon, seed_docs: int = 1500, rounds: int = 4, docs_per_trainer: int = 2000, trainers: int = 4096) -> Gru:
+    """Trains on all documents of ``docs`` (doc_id, text), each taken once.
 
     A first pass over the ``seed_docs`` documents of least hash on one worker gives a common start; then, in each
-    of ``rounds`` rounds, a part of the others is spread over trainers (one per 2000 documents, ``trainers`` at
-    most), which train from the current weights; the new weights are their mean by tokens, summed as they arrive.
-    Documents are ordered within a trainer: reruns agree.
+    of ``rounds`` rounds, a part of the others is spread over trainers (one per ``docs_per_trainer`` documents,
+    ``trainers`` at most: a bound on how much weight data is averaged, not on what is read). They train side by
+    side from the current weights; the new weights are their mean by tokens, summed in two steps on the executors.
+    Documents are placed and ordered by hashes of their content: reruns agree on any layout of the files.
     """
     spark = docs.sparkSession
     n = docs.count()
     order = np.argsort(lexicon.ids[lexicon.ids > UNKNOWN])
     counts = np.concatenate([[lexicon.ends, max(lexicon.n_tokens - lexicon.ends - lexicon.known_mass, 1)], lexicon.counts[lexicon.ids > UNKNOWN][order]])
     # In step with the vocabulary, so that a word's cost grows with the root of it.
-    model = Gru.create(counts.astype(float), n_classes=max(40, math.isqrt(len(counts)) * 5 // 8))
+    model = Gru.create(counts.astype(float), hidden=HIDDEN, n_classes=max(20, math.isqrt(len(counts)) * 5 // 8))
     if not n:
         return model
-    point = F.pmod(F.xxhash64(F.lit("lm"), "rid", F.length("text")), F.lit(1 << 30)) / float(1 << 30)
-    picked = docs.select("rid", point.alias("p"), "text")
+    hashed = F.xxhash64(F.lit("lm"), F.col("doc_id").cast("string"), "text")
+    picked = docs.select(hashed.alias("h"), (F.pmod(hashed, F.lit(1 << 30)) / float(1 << 30)).alias("p"), "text")
     lex = spark.sparkContext.broadcast(lexicon)
 
     def turn(part: DataFrame, parts: int, current: Gru) -> Gru:
         base = spark.sparkContext.broadcast(current)
 
         def run(it):
+            from pyspark import TaskContext
+
             mine, seen = base.value, 0
             for chunk in _chunks(it, 400_000):
                 enc = encode(chunk.column(1), lex.value)
-                mine, _ = train(mine, enc["ids"], enc["first"], n_lanes=48, window=20)
+                mine, _ = train(mine, enc["ids"], enc["first"], n_lanes=LANES, window=WINDOW, rate=RATE)
                 seen += len(enc["ids"])
             if seen:
-                yield pa.record_batch([pa.array([seen]), pa.array([mine.pack().tobytes()], pa.binary())], ["n", "w"])
-
-        spread = part.repartition(parts, F.xxhash64("rid", F.lit("trainer"))).sortWithinPartitions("p", "rid")
-        total, mean = 0, None
-        for row in spread.select("rid", "text").mapInArrow(run, "n long, w binary").toLocalIterator():
-            w = np.frombuffer(row["w"], np.float32).astype(np.float64) * row["n"]
-            mean = w if mean is None else mean + w
-            total += row["n"]
-        return current if mean is None else current.unpack((mean / total).astype(np.float32))
+                w, g = mine.pack().astype(np.float64) * seen, TaskContext.get().partitionId()
+                for k, at in enumerate(range(0, len(w), SLICE)):
+                    yield pa.record_batch([pa.array([k], pa.int32()), pa.array([g], pa.int32()), pa.array([seen]), pa.array([w[at : at + SLICE].tobytes()], pa.binary())], schema=_WEIGHTS)
+
+        spread = part.repartition(parts, "h").sortWithinPartitions("h", F.length("text"))
+        shape = "k int, g int, n long, w binary"
+        weights = spread.select("h", "text").mapInArrow(run, shape)
+        if parts > GROUPS:
+            weights = weights.groupBy("k", F.pmod("g", F.lit(GROUPS)).alias("part")).applyInArrow(_sum_weights, shape)
+        got = sorted(weights.groupBy("k").applyInArrow(_sum_weights, shape).collect(), key=lambda r: r["k"])  # the model, once
+        base.unpersist()
+        if not got:
+            return current
+        return current.unpack((np.concatenate([np.frombuffer(r["w"], np.float64) for r in got]) / got[0]["n"]).astype(np.float32))
 
     start = min(1.0, seed_docs / n)
     model = turn(picked.where(F.col("p") < start), 1, model)
@@ -155,7 +178,7 @@ def fit(docs: DataFrame, lexicon: Lexicon, seed_docs: int = 1500, rounds: int =
         return model
     for r in range(rounds):
         lo, hi = (start + (1 - start) * k / rounds for k in (r, r + 1))
-        parts = int(max(1, min(trainers, (hi - lo) * n // 2000)))
+        parts = int(max(1, min(trainers, (hi - lo) * n // docs_per_trainer)))
         model = turn(picked.where((F.col("p") >= lo) & (F.col("p") < hi)), parts, model)
     return model
 
@@ -168,7 +191,8 @@ def score_texts(docs: DataFrame, is_training: Column, model_words: int | None =
     frequent words, END and UNKNOWN; a word without an id costs UNKNOWN's probability times its share of the
     counts of all such words, so every text has a probability. Frequent words' counts go to all workers;
     the others are joined by hash. Null text counts as empty and scores its end alone; a null doc_id is not
-    training; repeated rows are scored (and counted) each.
+    training; repeated rows are scored (and counted) each. Texts of any length are scored whole, their state carried
+    from window to window. An empty table gives an empty result; only doc_id and text are read.
     """
     spark = docs.sparkSession
     tokens.small_batches(spark)
@@ -177,7 +201,7 @@ def score_texts(docs: DataFrame, is_training: Column, model_words: int | None =
     fitted = base.where("fit")
     vocabulary = cuts.cut(word_counts(fitted))
     lexicon = build_lexicon(vocabulary, fitted.count(), model_words)
-    model = fit(fitted.select("rid", "text"), lexicon)
+    model = fit(fitted.select("doc_id", "text"), lexicon)
     shared = spark.sparkContext.broadcast((lexicon, model))
 
     def run(it):
@@ -233,6 +257,7 @@ def score_texts(docs: DataFrame, is_training: Column, model_words: int | None =
 
 
 def op6_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of every row of ``documents``, learnt from the rows whose remainder is not 0; edge cases as for ``score_texts``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = score_texts(docs, remainder(F.col("doc_id"), 10) != 0)
     held_out = F.coalesce(remainder(F.col("doc_id"), 10) == 0, F.lit(False))
