@@ -9,11 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.window import Window
 
 from . import tokens
 from .common import Cuts, components, join_unique, salted_join, table
-from .url_filters import build_bloom, probe_bloom
+from .url_filters import build_bloom, probe_bloom, split_bloom
 
 FIRST_REGION = 2.0**-12
 GROWTH = 4
@@ -120,19 +119,34 @@ def sketch(docs: DataFrame, k: int, rows: int, shingle: int, weighted: bool = Fa
     return docs.select("rid", "doc_id", "text").mapInArrow(run, f"rid long, doc_id {kind}, n long, s1 long, s2 long, bands array<long>")
 
 
-def overlap_udf(shingle: int):
-    """(shared, all) distinct shingles of two texts."""
+def elements_of(texts: pa.Array, shingle: int, weighted: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(element, document) of at most 1024 texts, ordered within one sort: the distinct shingles or, ``weighted``,
+    one element per occurrence, so that the similarity of the sets is that of the counts."""
+    h, first = tokens.shingles(*tokens.word_hashes(texts), shingle)
+    doc = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
+    keys = (h & ~np.uint64(0x3FF)) | doc
+    if not weighted:
+        return np.unique(keys), np.diff(first)
+    keys.sort()
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    begin = np.flatnonzero(new)
+    nth = np.arange(len(keys)) - np.repeat(begin, np.diff(np.append(begin, len(keys))))
+    again = nth > 0
+    keys[again] = (tokens.mix((keys[again] >> np.uint64(10)) * np.uint64(tokens.BASE) + nth[again].astype(np.uint64)) & ~np.uint64(0x3FF)) | (keys[again] & np.uint64(0x3FF))
+    keys.sort()
+    return keys, np.diff(first)
+
+
+def overlap_udf(shingle: int, weighted: bool = False):
+    """(shared, all) shingles of two texts, distinct ones or with their counts."""
 
     @F.arrow_udf(T.StructType([T.StructField("shared", T.LongType()), T.StructField("all", T.LongType())]))
     def overlap(a: pa.Array, b: pa.Array) -> pa.Array:
         shared, union = np.zeros(len(a), np.int64), np.zeros(len(a), np.int64)
         step = 64
         for i in range(0, len(a), step):
-            sides = []
-            for x in (a, b):
-                h, first = tokens.shingles(*tokens.word_hashes(x.slice(i, step)), shingle)
-                d = np.repeat(np.arange(len(first) - 1, dtype=np.uint64), np.diff(first))
-                sides.append(np.unique((h & ~np.uint64(0x3FF)) | d))
+            sides = [elements_of(x.slice(i, step), shingle, weighted)[0] for x in (a, b)]
             both = np.intersect1d(*sides, assume_unique=True)
             m = min(step, len(a) - i)
             count = lambda keys: np.bincount((keys & np.uint64(0x3FF)).astype(np.int64), minlength=m)  # noqa: B023, E731
@@ -143,79 +157,112 @@ def overlap_udf(shingle: int):
     return overlap
 
 
-def links(texts: DataFrame, members: DataFrame, similarity: float, shingle: int, cuts: Cuts) -> DataFrame:
+def element_rows(texts: DataFrame, shingle: int, weighted: bool) -> DataFrame:
+    """rid, n (elements of the text), e: every element of ``texts`` (rid, text)."""
+
+    def run(it):
+        for batch in it:
+            for i, j in ((a, b) for x, y in tokens.batches(batch.column(1), 1 << 20) for a in range(x, y, 1024) for b in [min(a + 1024, y)]):
+                keys, _ = elements_of(batch.column(1).slice(i, j - i), shingle, weighted)
+                doc = (keys & np.uint64(0x3FF)).astype(np.int64)
+                n = np.bincount(doc, minlength=j - i)
+                rid = batch.column(0).slice(i, j - i).to_numpy()
+                yield pa.record_batch([pa.array(rid[doc]), pa.array(n[doc].astype(np.int32)), pa.array((keys >> np.uint64(10)).view(np.int64))], ["rid", "n", "e"])
+
+    return texts.select("rid", "text").mapInArrow(run, "rid long, n int, e long")
+
+
+def prefix_pairs(rows: DataFrame, roots: DataFrame, similarity: float, cuts: Cuts) -> DataFrame:
+    """(a, b) of different roots that may reach ``similarity``, by an exact prefix filter; ``rows``: rid, n, e.
+
+    Elements are ordered from rare to frequent. Sets of similarity s share an element among the first
+    n - ceil(2s/(1+s) n) + 1 of the smaller set and the first m - ceil(s m) + 1 of the larger one, so only these are
+    joined. What a template gives to all members of a bucket comes last in that order: members that differ in more
+    than (1-s)/(1+s) of their elements meet in no prefix and are never paired. Elements of one set alone fill a
+    prefix but are not moved: their number tells the ranks of the others.
+    """
+    known = rows.groupBy("e").agg(F.count("*").alias("df")).where("df > 1")
+    known = cuts.cut(known)
+    total = rows.count()
+    common = join_unique(rows, known, ["e"], "df", total)
+    per = common.groupBy("rid", "n").agg(F.count("*").alias("k"))
+    longest = (F.col("n") - F.ceil(F.col("n") * F.lit(similarity) - 1e-9) + 1).alias("probe")
+    shortest = F.col("n") - F.ceil(F.col("n") * F.lit(2 * similarity / (1 + similarity)) - 1e-9) + 1
+    # Sets whose own elements fill the longer prefix already meet nothing.
+    per = per.select("rid", (F.col("n") - F.col("k")).alias("own"), longest, shortest.alias("index")).where("own < probe")
+    ranked = common.join(per, "rid").groupBy("rid", "n", "own", "probe", "index").agg(F.sort_array(F.collect_list(F.struct("df", "e"))).alias("es"))
+    ranked = ranked.select("rid", "n", F.posexplode(F.slice("es", F.lit(1), (F.col("probe") - F.col("own")).cast("int"))).alias("i", "x"), "own", "index")
+    prefix = ranked.select("rid", "n", F.col("x.e").alias("e"), (F.col("i") + F.col("own") < F.col("index")).alias("short"))
+    prefix = cuts.cut(prefix.join(roots, "rid"))
+    # An element that one root alone has in its prefixes pairs nothing.
+    mixed = prefix.groupBy("e").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("e", "k")
+    prefix = cuts.cut(join_unique(prefix, cuts.cut(mixed), ["e"], "k", total).drop("k"))
+    small = prefix.where("short").select("e", F.col("rid").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    large = prefix.select("e", F.col("rid").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    fits = (F.col("rx") != F.col("ry")) & ((F.col("nx") < F.col("ny")) | ((F.col("nx") == F.col("ny")) & (F.col("x") < F.col("y"))))
+    fits &= F.col("nx") >= F.col("ny") * F.lit(similarity) - 1e-9
+    return large.join(small, "e").where(fits).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def links(texts: DataFrame, members: DataFrame, similarity: float, shingle: int, cuts: Cuts, weighted: bool = False, leads: int = 2) -> DataFrame:
     """Verified links (a, b) that connect what any pair of a bucket's members at ``similarity`` connects.
 
-    ``members``: bucket, rid. In each round a bucket's first open members lead (1, then 2, 4, ...) and all
-    members that have not led are compared with them; a member close to no leader stays open. A bucket of
-    one near-duplicate group takes one comparison per member; only members unlike each other lead in turn.
-    At last, members that no link connects are compared across the leaders' groups. Jaccard distance keeps the
-    triangle inequality: a member near a leader is near no other that is over 1 - ``similarity`` further from it.
+    ``members``: bucket, rid. First, in ``leads`` rounds, the least open member of each bucket leads and the open ones
+    are compared with it; those close to it close. A bucket of one near-duplicate group so takes one comparison
+    per member. What is then left, members of one bucket that no link connects, closed ones included, is compared
+    where an exact prefix filter cannot tell the two apart (see ``prefix_pairs``): a bucket of members that share
+    a template only is not compared pair by pair.
     """
-    overlap = overlap_udf(shingle)
+    overlap = overlap_udf(shingle, weighted)
+    n_members = members.count()
 
     def check(pairs: DataFrame) -> DataFrame:
         with_a = salted_join(pairs, texts.select(F.col("rid").alias("a"), F.col("text").alias("text_a")), "a", n_members)
         with_b = salted_join(with_a, texts.select(F.col("rid").alias("b"), F.col("text").alias("text_b")), "b", n_members)
         checked = with_b.select("a", "b", overlap("text_a", "text_b").alias("o"))
-        close = F.col("o.shared") >= F.lit(similarity) * F.col("o.all") - 1e-9
-        return cuts.cut(checked.select("a", "b", close.alias("close"), (1 - F.col("o.shared") / F.greatest("o.all", F.lit(1))).alias("d")))
+        return cuts.cut(checked.select("a", "b", (F.col("o.shared") >= F.lit(similarity) * F.col("o.all") - 1e-9).alias("close")))
 
-    found, tried, led, leaders_at_once = None, None, None, 1
-    open_members = members
-    n_members = members.count()
-    while True:
-        if leaders_at_once == 1:
-            leaders = open_members.groupBy("bucket").agg(F.min("rid").alias("a"))
-        else:
-            nth = F.row_number().over(Window.partitionBy("bucket").orderBy("rid"))
-            leaders = open_members.withColumn("k", nth).where(F.col("k") <= leaders_at_once).select("bucket", F.col("rid").alias("a"))
-        leaders = cuts.cut(leaders)
-        led = leaders if led is None else led.unionByName(leaders)
-        followers = members if tried is None else members.join(led.select("bucket", F.col("a").alias("rid")).subtract(leaders.select("bucket", F.col("a").alias("rid"))), ["bucket", "rid"], "left_anti")
-        met = cuts.cut(followers.join(leaders, "bucket").where("rid > a or rid < a").select("bucket", "a", F.col("rid").alias("b")))
-        pairs = met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        checked = check(pairs)
+    tried, open_ = None, members
+    for k in range(leads):
+        leaders = cuts.cut(open_.groupBy("bucket").agg(F.min("rid").alias("a"), F.count("*").alias("k")).where("k > 1"))
+        met = cuts.cut(join_unique(open_, leaders, ["bucket"], "k", n_members).where("rid > a").select("bucket", "a", F.col("rid").alias("b")))
+        pairs = met.select("a", "b").distinct()
+        checked = check(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
         tried = checked if tried is None else tried.unionByName(checked)
-        found = tried.where("close").select("a", "b")
-        # Open: met no close leader and has not led.
-        close = met.select("bucket", F.col("b").alias("rid"), F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).join(found, ["a", "b"]).select("bucket", "rid")
-        done = close.unionByName(leaders.select("bucket", F.col("a").alias("rid"))).distinct()
-        new_open = cuts.cut(open_members.join(done, ["bucket", "rid"], "left_anti"))
+        if k < leads - 1:
+            open_ = cuts.cut(met.join(tried.where("not close"), ["a", "b"]).select("bucket", F.col("b").alias("rid")))
         cuts.drop(met)
-        if new_open.isEmpty():
-            break
-        open_members = new_open
-        leaders_at_once *= 2
+    found = tried.where("close").select("a", "b")
     roots = components(found, cuts).withColumnRenamed("node", "rid")
     rooted = cuts.cut(members.join(roots, "rid", "left").withColumn("root", F.coalesce("root", "rid")))
-    mixed = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    followers = rooted.join(mixed, "bucket", "left_semi").join(led.withColumnRenamed("a", "rid"), ["bucket", "rid"], "left_anti")
-    met = followers.join(led.withColumnRenamed("a", "leader"), "bucket").withColumns({"a": F.least("rid", "leader"), "b": F.greatest("rid", "leader")})
-    met = cuts.cut(met.join(tried, ["a", "b"]).select("bucket", "leader", "rid", "root", "close", "d"))
-    x, y = (met.where(kind).select("bucket", "leader", *[F.col(c).alias(f"{c}_{side}") for c in ("rid", "root", "d")]) for kind, side in (("close", "x"), ("not close", "y")))
-    across = x.join(y, ["bucket", "leader"]).where((F.col("root_x") != F.col("root_y")) & (F.col("d_y") <= F.col("d_x") + (1 - similarity) + 1e-6))
-    across = across.select(F.least("rid_x", "rid_y").alias("a"), F.greatest("rid_x", "rid_y").alias("b")).distinct()
-    across = cuts.cut(across.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
-    cuts.drop(met)
-    cuts.drop(rooted)
-    return found if across.isEmpty() else found.unionByName(check(across).where("close").select("a", "b"))
-
-
-def near_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, weighted: bool = False) -> DataFrame:
+    mixed = cuts.cut(rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("k")).where("lo < hi").select("bucket", "k"))
+    if mixed.isEmpty():
+        return found
+    some = cuts.cut(join_unique(rooted, mixed, ["bucket"], "k", n_members).groupBy("rid").agg(F.min("root").alias("root"), F.collect_set("bucket").alias("buckets")))
+    rows = cuts.cut(element_rows(texts.join(some.select("rid"), "rid", "left_semi"), shingle, weighted))
+    pairs = prefix_pairs(rows, some.select("rid", "root"), similarity, cuts)
+    pairs = pairs.join(some.select(F.col("rid").alias("a"), F.col("buckets").alias("in_a")), "a").join(some.select(F.col("rid").alias("b"), F.col("buckets").alias("in_b")), "b")
+    pairs = cuts.cut(pairs.where(F.arrays_overlap("in_a", "in_b")).select("a", "b").join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    cuts.drop(rows)
+    return found if pairs.isEmpty() else found.unionByName(check(pairs).where("close").select("a", "b"))
+
+
+def near_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, bands: int = 25, rows: int = 5, weighted: bool = True) -> DataFrame:
     """One row per row of ``docs``: rid, doc_id, class_id, class_size, n_links, kept.
 
-    Documents are linked when the Jaccard similarity of their sets of word ``shingle``-grams is at least
-    ``similarity``; a class is a connected component and ``class_id`` its least doc_id, whose row is kept.
-    Equal shingle sets are one representative from the start, so a large group of copies is never paired.
-    A pair at 0.8 shares a band with probability 1 - (1 - 0.8^5)^25 = 0.99995, and every candidate is verified
-    on whole texts. ``n_links`` counts the verified links of the representative. Null, empty and wordless
-    texts are classes of their own; texts under ``shingle`` words are one shingle. Null doc_ids sort first.
+    Documents are linked when the Jaccard similarity of their word ``shingle``-grams is at least ``similarity``:
+    of the counts (the sum of the lesser over the sum of the greater) when ``weighted``, else of the sets; for texts
+    that repeat no shingle the two are equal. A class is a connected component and ``class_id`` its least doc_id,
+    whose row is kept (null first; of repeated rows, any one). Equal counts are one representative from the
+    start, so a large group of copies is never paired. A pair at 0.8 shares a band with probability
+    1 - (1 - 0.8^5)^25 = 0.99995, and every candidate is verified on whole texts, however long. ``n_links`` counts the
+    verified links of the representative. Null, empty and wordless texts are classes of their own; texts under
+    ``shingle`` words are one shingle. An empty table gives an empty result; only doc_id and text are read, so
+    further columns, whatever their names, do no harm.
     """
     spark = docs.sparkSession
     cuts = Cuts(spark, "near")
+    # Numbers are drawn once and stored with the text's place in the sketches; texts are read again by them.
     base = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     sketches = cuts.cut(sketch(base, bands * rows, rows, shingle, weighted))
     reps = sketches.where("n > 0").groupBy("s1", "s2").agg(F.min(F.struct("rid", "bands")).alias("r"), F.count("*").alias("copies"))
@@ -232,13 +279,17 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ban
         bloom = build_bloom(wanted.select(F.col("rid").cast("string").alias("key")), n_blocks)
         likely = probe_bloom(base.select("rid", "text", F.col("rid").cast("string").alias("key")), bloom, n_blocks).drop("key")
         texts = cuts.cut(likely.join(wanted, "rid", "left_semi"))
-        linked = cuts.cut(links(texts, members, similarity, shingle, cuts))
+        linked = cuts.cut(links(texts, members, similarity, shingle, cuts, weighted))
         roots = components(linked, cuts)
         degree = linked.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
         reps = reps.join(roots.join(degree, "node").withColumnRenamed("node", "rid"), "rid", "left")
+        done = [texts, members, wanted]
     else:
         reps = reps.withColumns({"root": F.lit(None).cast("long"), "n_links": F.lit(0).cast("long")})
+        done = [members, wanted]
     reps = cuts.cut(reps.select("s1", "s2", "copies", F.coalesce("root", "rid").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
+    for x in done:
+        cuts.drop(x)
     total = sketches.count()
     some = join_unique(sketches.where("n > 0").select("rid", "doc_id", "s1", "s2"), reps, ["s1", "s2"], "copies", total).drop("s1", "s2", "copies")
     none = sketches.where("n = 0").select("rid", "doc_id", F.col("rid").alias("root"), F.lit(0).cast("long").alias("n_links"))
@@ -249,5 +300,20 @@ def near_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, ban
     )
 
 
+def keep_one(docs: DataFrame, **params) -> DataFrame:
+    """The columns of ``docs``: one row of each class. ``docs`` must be a stored table, since its rows are numbered twice."""
+    cuts = Cuts(docs.sparkSession, "gone")
+    gone = cuts.cut(near_classes(docs.select("doc_id", "text"), **params).where("not kept").select(F.col("rid").alias("_near_rid")))
+    names = docs.columns
+    held = docs.select(F.struct(*names).alias("_near_d"), F.monotonically_increasing_id().alias("_near_rid"))
+    # Only rows that may go are moved: the filter is of bounded size and the join behind it exact.
+    n_blocks = max(1, min(1 << 16, gone.count() * 12 // 512 + 1))
+    bloom = build_bloom(gone.select(F.col("_near_rid").cast("string").alias("key")), n_blocks)
+    may_go, stays = split_bloom(held.withColumn("key", F.col("_near_rid").cast("string")), bloom, n_blocks)
+    out = stays.select("_near_d").unionByName(may_go.join(gone, "_near_rid", "left_anti").select("_near_d"))
+    return out.select(*[F.col("_near_d")[c].alias(c) for c in names])
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every row of ``documents``; edge cases as for ``near_classes``."""
     return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("rid")

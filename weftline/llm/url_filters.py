@@ -64,6 +64,16 @@ def probe_bloom(candidates: DataFrame, bloom: DataFrame, n_blocks: int) -> DataF
     return out.drop("block", *[f"w{i}" for i in range(LANES)])
 
 
+def split_bloom(candidates: DataFrame, bloom: DataFrame, n_blocks: int) -> tuple[DataFrame, DataFrame]:
+    """(candidates whose ``key`` may be listed, those whose key is not)."""
+    out = candidates.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks))).join(F.broadcast(bloom), "block", "left")
+    hit = F.lit(True)
+    for i, m in enumerate(_lanes(F.col("key"))):
+        hit = hit & (F.coalesce(F.col(f"w{i}"), F.lit(0)).bitwiseAND(m) != 0)
+    out = out.withColumn("hit", hit).select(*candidates.columns, "hit")
+    return out.where("hit").drop("hit"), out.where(~F.col("hit")).drop("hit")
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column: str = "page_id") -> DataFrame:
     """One row per row of ``pages``: id, url, host, path, rule, verdict.
 
