@@ -11,7 +11,7 @@ WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 def shingles(t):
     w = WORD.findall(t or "")
-    return frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset()
+    return Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
 
 
 def test_stages(spark, sf):
@@ -31,14 +31,16 @@ def test_stages(spark, sf):
 
     seen, want = set(), {}
     for r in sorted(good, key=lambda r: r["doc_id"]):
-        left, touched = [], False
-        for line in r["text"].split("\n"):
-            if WORD.search(line) and line in seen:
-                touched = True
-                continue
-            seen.add(line)
-            left.append(line)
-        if not touched or any(WORD.search(x) for x in left):
+        lines = r["text"].split("\n")
+        with_word = [i for i, x in enumerate(lines) if WORD.search(x)]
+        gone = set()
+        for i, j in zip(with_word, with_word[1:]):
+            pair = (lines[i], lines[j])
+            if pair in seen:
+                gone |= {i, j}
+            seen.add(pair)
+        left = [x for i, x in enumerate(lines) if i not in gone]
+        if not gone or any(WORD.search(x) for x in left):
             want[r["doc_id"]] = "\n".join(left)
     assert {r["doc_id"]: r["text"] for r in lined} == want
 
@@ -52,7 +54,7 @@ def test_stages(spark, sf):
 
     for a in sets:
         for b in sets:
-            if a < b and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            if a < b and sum((sets[a] & sets[b]).values()) >= 0.8 * sum((sets[a] | sets[b]).values()):
                 x, y = sorted((find(a), find(b)))
                 root[y] = x
     assert {r["doc_id"] for r in near} == {find(d) for d in sets}
