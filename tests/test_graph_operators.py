@@ -143,8 +143,10 @@ def test_conditional_roots_wait_for_their_owner(spark):
     assert {x["id"] for x in reach.reachable(g, one("r"), cond).collect()} == {"r", "o", "w", "x"}
     assert {x["id"] for x in reach.reachable(g, one("x"), cond).collect()} == {"x"}
     got = reach.reachable(g, one("r"), cond)
-    assert reach.explain(got, one("r"), "x") == ("path", ["r", "o", "w", "x"])
-    assert reach.explain(got, one("r"), "r") == ("retained", ["r"])
+    told = reach.explain(got, one("r"), spark.createDataFrame([("x",), ("r",), ("nowhere",)], "id string")).orderBy("id", "step").collect()
+    assert [(r["id"], r["state"], r["step"], r["node"]) for r in told] == [
+        ("nowhere", "unreachable", None, None), ("r", "retained", 0, "r"), *[("x", "reachable", k, n) for k, n in enumerate(("r", "o", "w", "x"))]
+    ]
     assert reach.superfluous_ignores(g, one("r", "o", "x"), [("on o", ["o"]), ("on x", ["x"])], cond) == ["on o", "on x"]
     assert reach.superfluous_ignores(g, one("r", "x"), [("on x", ["x"])]) == []
 

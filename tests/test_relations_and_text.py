@@ -3,6 +3,7 @@
 import json
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import routes, text
@@ -158,7 +159,7 @@ def test_sinks(spark, tmp_path):
     sarif = json.loads("".join(lines["sarif"]))
     assert [r["level"] for r in sarif["runs"][0]["results"]] == ["error", "warning"] and sarif["runs"][0]["results"][1]["locations"][0]["physicalLocation"]["region"]["startColumn"] == 1
     assert sinks.edit_rows(f).count() == 0
-    one, two = sinks.revision_digest(e, ["source", "kind"]), sinks.revision_digest(e.repartition(3), ["source", "kind"])
+    one, two = (sinks.revision_digest(x).first()["digest"] for x in (e, e.repartition(3)))
     assert one == two and len(one) == 64
 
 
@@ -214,3 +215,41 @@ def test_streams(spark, tmp_path):
         spark.createDataFrame([("p", sha)], "path string, sha string").write.mode("append").parquet(files)
         traces.incremental_session(spark.readStream.schema("path string, sha string").parquet(files), lambda r, n: made.append(r.count()), str(tmp_path / "cp3")).awaitTermination()
     assert made == [1, 1]
+
+
+def test_predicate_key_paths():
+    from weftline.functions.predicates import key_paths
+
+    assert key_paths("name == 'x' AND (SELF.owner.age > -3.5 OR NOT %K BETWEEN %@)", ["b.c", None]) == ["b.c", "name", "owner.age"]
+    assert key_paths("TRUEPREDICATE") == [] and key_paths("a CONTAINS[cd] \"q\\\"\"") == ["a"] and key_paths("nil != YES") == []
+    for bad in ("", "a", "a == ", "(a == 1", "a === 1", "ANY a == 1", "a[x] == 1", "a..b == 1", "%K == 1", "a == 1e999", "a == 1 b", "a =="):
+        assert key_paths(bad) is None
+    assert key_paths("NOT " * 17 + "a == 1") is None and key_paths("NOT " * 16 + "a == 1") == ["a"]
+    assert key_paths(None) is None and key_paths("a == 1" + " " * 4096) is None
+
+
+def test_inputs(spark):
+    from weftline.sources import inputs
+
+    c = inputs.read_config('{"include": ["Sources"], "retention": {"retain_public": true, "retained_names": ["main"]}, "limit": 3}')
+    assert c.include == ("Sources",) and c.retention.retain_public and c.retention.retained_names == ("main",) and c.limit == 3
+    for bad in ('{"odd": 1}', "[]", '{"include": "x"}', '{"level": "galaxy"}', '{"retention": {"odd": 1}}'):
+        with pytest.raises(ValueError):
+            inputs.read_config(bad)
+    good = {"language": "swift", "kind": "function", "owner": "Api", "name": "get", "pathArg": 0, "defaultMethod": "GET", "pathAnchor": "root"}
+    doc = lambda w, v=1: json.dumps({"format": "http-wrappers", "version": v, "wrappers": [w]})
+    assert inputs.read_wrappers(spark, doc(good)).count() == 1
+    for bad, v in ((good | {"odd": 1}, 1), (good | {"language": "cobol"}, 1), (good | {"pathSuffix": []}, 1), (good | {"pathSuffix": [{"x": 1}]}, 2), ({k: x for k, x in good.items() if k != "defaultMethod"}, 1), (good, 3)):
+        with pytest.raises(ValueError):
+            inputs.read_wrappers(spark, doc(bad, v))
+
+
+def test_container_paths_of_any_depth(spark):
+    from weftline.operators import lookup
+
+    nodes = spark.createDataFrame([("m", "f()", "App"), ("b", "B", "App"), ("a", "A", "App"), ("x", "f()", "App"), ("y", "Y", "App")], "id string, name string, module string")
+    parents = spark.createDataFrame([("m", "b"), ("b", "a"), ("x", "y"), ("y", "x")], "id string, parent string")
+    asked = ["A.B.f", "B.f", "A.f", "App.A.B.f", "App.f", "B.A.f", "Y.f", "Z.Y.f", "App.Y.f"]
+    q = spark.createDataFrame(list(enumerate(asked)), "position int, subject string")
+    got = {r["subject"]: r["candidates"] for r in lookup.resolve(q, nodes, parents).collect()}
+    assert got == {"A.B.f": ["m"], "B.f": ["m"], "A.f": ["m"], "App.A.B.f": ["m"], "App.f": ["m", "x"], "B.A.f": [], "Y.f": ["x"], "Z.Y.f": [], "App.Y.f": ["x"]}

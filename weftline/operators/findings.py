@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.stage import Stage
+
 SEVERITY_RANK = {"info": 0, "warning": 1, "error": 2}
 RULES = (
     "unused-symbol", "unused-import", "unused-parameter", "assign-only-property", "test-only-symbol", "redundant-public",
@@ -42,6 +44,17 @@ def ordered(findings: DataFrame) -> DataFrame:
     return findings.orderBy(severity_rank().desc(), "ruleIdentifier", F.col("location").isNull(), F.col("location").asc_nulls_last(), "message")
 
 
+def positions(findings: DataFrame) -> DataFrame:
+    """``findings`` with ``position``, 1, 2, ... in their order, without gathering them: rows are sorted by range and
+    stored, and a row's number is that in its range plus the sizes of the ranges before (one row per range)."""
+    stage = Stage(findings.sparkSession, "positions")
+    place = F.monotonically_increasing_id()
+    rows = stage.keep(ordered(findings).withColumns({"_range": F.shiftright(place, 33), "_nth": place.bitwiseAND((1 << 33) - 1)}))
+    sizes = rows.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return rows.join(sizes.select("_range", before.alias("_before")), "_range").withColumn("position", F.col("_before") + F.col("_nth") + 1).drop("_range", "_nth", "_before")
+
+
 def suppress(findings: DataFrame, baseline: DataFrame) -> DataFrame:
     """Findings whose fingerprint the baseline (column ``fingerprint``) does not hold."""
     return findings.withColumn("fingerprint", fingerprint()).join(baseline.select("fingerprint").distinct(), "fingerprint", "left_anti").drop("fingerprint")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import base_name, qualified_name
+from ..plans.stage import Stage
 
 MAX_SUBJECT = 256
 
@@ -21,18 +22,13 @@ def name_index(nodes: DataFrame) -> DataFrame:
 def resolve(requests: DataFrame, nodes: DataFrame, parents: DataFrame | None = None) -> DataFrame:
     """position, subject, status (found, ambiguous, notFound), candidates (ids, sorted), for each request.
 
-    An id wins over names. With ``parents`` (id, parent), ``A.b`` without a match of its own is looked for as a
-    ``b`` whose parent is called ``A``. Candidates are counted per request; order and duplicates are kept.
+    An id wins over names. With ``parents`` (id, parent), ``A.B.c`` without a match of its own is looked for as a
+    ``c`` below a ``B`` below an ``A``. Candidates are counted per request; order and duplicates are kept.
     """
     index = name_index(nodes)
     hits = requests.join(index, requests["subject"] == index["key"], "left").select("position", "subject", "id", "tier")
     if parents is not None:
-        base = base_name(F.col("name"))
-        owner = nodes.select(F.col("id").alias("parent"), base.alias("parent_name"))
-        owned = nodes.select("id", base.alias("b")).join(parents.select("id", "parent"), "id").join(owner, "parent")
-        keyed = owned.select(F.concat_ws(".", "parent_name", "b").alias("key"), "id").distinct()
-        last_two = F.substring_index("subject", ".", -2)
-        inside = requests.where(F.col("subject").contains(".")).join(keyed, last_two == F.col("key")).select("position", "subject", "id", F.lit(2).alias("tier"))
+        inside = contained(requests, nodes, parents).select("position", "subject", "id", F.lit(2).alias("tier"))
         hits = hits.unionByName(inside)
     best = F.min("tier").over(Window.partitionBy("position"))
     kept = hits.withColumn("best", best).where(F.col("tier").eqNullSafe(F.col("best")))
@@ -41,6 +37,34 @@ def resolve(requests: DataFrame, nodes: DataFrame, parents: DataFrame | None = N
     return out.select("position", "subject", F.when(n == 0, "notFound").when(n == 1, "found").otherwise("ambiguous").alias("status"), "candidates")
 
 
+def contained(requests: DataFrame, nodes: DataFrame, parents: DataFrame) -> DataFrame:
+    """(position, subject, id): nodes called as the last component of ``subject``, whose chain of parents holds the
+    other components in order, inner ones first; the outermost may be the node's module instead.
+
+    One row per candidate climbs its chain, a round of joins per level, and counts the components still to be
+    found; it leaves with the last of them, at the top, or where it comes back to a node it has passed.
+    """
+    stage = Stage(nodes.sparkSession, "contained")
+    base = base_name(F.col("name"))
+    r = requests.where(F.col("subject").contains(".")).withColumn("parts", F.split("subject", r"\."))
+    last = F.element_at("parts", -1)
+    named = nodes.select("id", F.explode(F.array_distinct(F.array("name", base))).alias("called"), "module")
+    now = r.join(named, last == F.col("called")).select("position", "subject", F.slice("parts", F.lit(1), F.size("parts") - 1).alias("parts"), "id", "module")
+    now = stage.keep(now.distinct().select("*", F.size("parts").alias("left"), F.col("id").alias("at"), F.array("id").alias("seen")))
+    above = parents.where("parent is not null").select(F.col("id").alias("at"), "parent")
+    owner = nodes.select(F.col("id").alias("parent"), "name", base.alias("base"))
+    done = None
+    while True:
+        finished = now.where((F.col("left") == 0) | ((F.col("left") == 1) & (F.col("module") == F.get("parts", F.lit(0)))))
+        done = finished if done is None else done.unionByName(finished)
+        up = now.where("left > 0").join(above, "at").where(~F.array_contains("seen", F.col("parent"))).join(owner, "parent", "left")
+        wanted = F.get("parts", F.col("left") - 1)
+        hit = F.coalesce((F.col("name") == wanted) | (F.col("base") == wanted), F.lit(False))
+        now = stage.keep(up.select("position", "subject", "parts", "id", "module", (F.col("left") - hit.cast("int")).alias("left"), F.col("parent").alias("at"), F.concat("seen", F.array("parent")).alias("seen")))
+        if now.isEmpty():
+            return done.select("position", "subject", "id").distinct()
+
+
 def by_extended_type(resolved: DataFrame, parents: DataFrame) -> DataFrame:
     """Ambiguous requests whose candidates all belong to one type (through their semantic parent) are found."""
     amb = resolved.where("status = 'ambiguous'").select("position", F.explode("candidates").alias("id"))

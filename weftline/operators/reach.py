@@ -273,17 +273,29 @@ def superfluous_ignores(graph: Graph, roots: DataFrame, units: list[tuple[str, l
     return out
 
 
-def explain(reached: DataFrame, roots: DataFrame, node: str, max_steps: int = 10_000) -> tuple[str, list[str]]:
-    """(retained, path or unreachable; the path from a root) by following predecessors."""
-    if roots.where(F.col("id") == node).limit(1).count():
-        return "retained", [node]
-    path, at = [], node
-    for _ in range(max_steps):
-        row = reached.where(F.col("id") == at).select("predecessor").first()
-        if row is None:
-            return "unreachable", []
-        path.append(at)
-        if row["predecessor"] is None:
-            return "path", path[::-1]
-        at = row["predecessor"]
-    return "path", path[::-1]
+def explain(reached: DataFrame, roots: DataFrame, requests: DataFrame) -> DataFrame:
+    """id, state (retained, reachable, unreachable), step, node: for each requested id the path from its root, in order.
+
+    All requests climb the predecessors together, EIGHT steps in one plan, as often as the deepest of them needs; the
+    breadth-first round of a node is the length of its path.
+    """
+    stage = Stage(reached.sparkSession, "explain")
+    up = reached.select(F.col("id").alias("node"), "predecessor")
+    asked = requests.select("id").distinct()
+    kept = roots.select("id").distinct().withColumn("kept", F.lit(True))
+    met = stage.keep(asked.join(reached.select("id", "round"), "id", "left").join(kept, "id", "left"))
+    state = F.when(F.col("kept"), "retained").when(F.col("round").isNotNull(), "reachable").otherwise("unreachable")
+    now = met.where("round is not null").select("id", F.lit(0).alias("back"), F.col("id").alias("node"))
+    out = stage.add("path", now)
+    while True:
+        steps = None
+        for _ in range(8):
+            now = now.join(up, "node").where("predecessor is not null").select("id", (F.col("back") + 1).alias("back"), F.col("predecessor").alias("node"))
+            steps = now if steps is None else steps.unionByName(now)
+        out = stage.add("path", steps)
+        now = stage.latest("path", out.schema).join(out.groupBy("id").agg(F.max("back").alias("back")), ["id", "back"]).where(F.col("back") % 8 == 0)
+        if now.isEmpty():
+            break
+    length = out.groupBy("id").agg(F.max("back").alias("n"))
+    path = out.join(length, "id").select("id", (F.col("n") - F.col("back")).alias("step"), "node")
+    return met.select("id", state.alias("state")).join(path, "id", "left")

@@ -20,6 +20,57 @@ def resolve_names(boundaries: DataFrame, declarations: DataFrame) -> DataFrame:
     return j.withColumn("status", status).withColumn("target", F.when(F.col("status") == "resolved", F.col("target"))).drop("n")
 
 
+def classify_boundaries(boundaries: DataFrame, calls: DataFrame, system: DataFrame, proofs: DataFrame, declarations: DataFrame, indexed: DataFrame) -> DataFrame:
+    """boundary, status, source, target, candidates: every boundary through its gates, the first that fails decides.
+
+    ``boundaries``: boundary, kind, name, origin, freshness, reason, site, needs (of source evidence); ``calls``: site, source,
+    target, resolved (compiler references at a place); ``system``: kind, target (what may be called for a kind);
+    ``proofs``: boundary, site, target (name-building operations); ``declarations``: name, id; ``indexed``: source,
+    target pairs the index has already.
+
+    Stale or unknown files come first (a resource has none), then a resource's own reason. A call in code must stand at
+    an indexed place (else unindexed), reach a system API of its kind (else shadowed), have one owner (else
+    unindexed), and so must each operation that builds its name. What is left is looked up by name: a token alone
+    is lookupOnly, an unknown name dynamic, then none, several or one declaration.
+    """
+    resource = F.col("origin").isin("resource", "bridge")
+    at = calls.join(system.withColumn("ok", F.lit(True)), "target", "left")
+    met = boundaries.select("boundary", F.col("kind").alias("k"), "site").join(at, "site")
+    gate = met.groupBy("boundary").agg(
+        F.count("*").alias("n_calls"),
+        F.count_if(F.coalesce(F.col("ok") & (F.col("kind") == F.col("k")) & ~F.col("resolved"), F.lit(False))).alias("n_ok"),
+        F.count_distinct(F.when(F.col("ok") & (F.col("kind") == F.col("k")) & ~F.col("resolved"), F.col("source"))).alias("n_sources"),
+        F.min(F.when(F.col("ok") & (F.col("kind") == F.col("k")) & ~F.col("resolved"), F.col("source"))).alias("source"),
+    )
+    shown = proofs.join(calls.select("site", F.col("target").alias("t"), F.col("resolved").alias("r")), "site", "left").groupBy("boundary", "site", "target").agg(
+        F.count("t").alias("seen"), F.coalesce(F.bool_or((F.col("t") == F.col("target")) & ~F.col("r")), F.lit(False)).alias("proven")
+    )
+    # The worst of a boundary's proofs: one without any call is unindexed, one with other calls shadowed.
+    shown = shown.groupBy("boundary").agg(F.coalesce(F.min(F.when(~F.col("proven"), F.when(F.col("seen") == 0, "unindexed").otherwise("shadowed"))), F.lit("")).alias("proof"))
+    found = declarations.groupBy("name").agg(F.count_distinct("id").alias("n"), F.min("id").alias("one"), F.array_join(F.slice(F.sort_array(F.collect_set("id")), 1, 5), ",").alias("candidates"))
+    j = boundaries.join(gate, "boundary", "left").join(shown, "boundary", "left").join(found, "name", "left")
+    known = indexed.select("source", F.col("target").alias("one")).distinct().withColumn("already", F.lit(True))
+    j = j.join(known, ["source", "one"], "left")
+    n = F.coalesce("n", F.lit(0))
+    status = (
+        F.when(~resource & (F.col("freshness") == "stale"), "stale")
+        .when(~resource & (F.coalesce("freshness", F.lit("unknown")) != "fresh"), "unindexed")
+        .when(resource & F.col("reason").isNotNull(), "unresolved")
+        .when(~resource & F.col("n_calls").isNull(), "unindexed")
+        .when(~resource & (F.col("n_ok") == 0), "shadowed")
+        .when(~resource & (F.col("n_sources") != 1), "unindexed")
+        .when(~resource & (F.coalesce("proof", F.lit("")) != ""), F.col("proof"))
+        .when(F.col("name").isNull(), "dynamic")
+        .when(F.col("kind") == "selectorLookup", "lookupOnly")
+        .when(n == 0, "unresolved")
+        .when(n > 1, "ambiguous")
+        .when(F.col("already"), "alreadyIndexed")
+        .otherwise("resolved")
+    )
+    target = F.when(F.col("status").isin("resolved", "alreadyIndexed"), F.col("one"))
+    return j.withColumn("status", status).select("boundary", "status", F.when(~resource, F.col("source")).alias("source"), target.alias("target"), F.when(F.col("status") == "ambiguous", F.col("candidates")).alias("candidates"))
+
+
 def ancestor_distances(parents: DataFrame) -> DataFrame:
     """(type, ancestor, distance) with the type itself at 0."""
     seed = parents.select("type").unionByName(parents.select(F.col("parent").alias("type"))).distinct().select("type", F.col("type").alias("ancestor"), F.lit(0).alias("distance"))

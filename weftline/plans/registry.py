@@ -259,10 +259,10 @@ def _(spark, sf):
     return findings.rebase_fingerprints(b, ["/src"])
 
 
-@query("g066_report_scope", f"""WITH {FINDINGS}, r AS (SELECT 'c' || c_custkey AS path, (c_custkey % 7) * 40 AS a, (c_custkey % 7) * 40 + 60 AS b, c_custkey % 3 = 0 AS whole FROM customer WHERE c_custkey < 150)
+@query("g066_report_scope", f"""WITH {FINDINGS}, r AS (SELECT 'c' || c_custkey AS path, (c_custkey % 7) * 40 AS a, (c_custkey % 7) * 40 + 60 AS b, c_custkey % 3 = 0 AS whole FROM customer WHERE c_mktsegment IN ('BUILDING', 'MACHINERY'))
 SELECT message FROM f WHERE path IS NULL OR EXISTS (SELECT 1 FROM r WHERE r.path = f.path AND (whole OR line BETWEEN a AND b))""")
 def _(spark, sf):
-    c = load(spark, sf, "customer").where("c_custkey < 150")
+    c = load(spark, sf, "customer").where("c_mktsegment in ('BUILDING', 'MACHINERY')")
     path = F.concat(F.lit("c"), F.col("c_custkey")).alias("path")
     first = (F.col("c_custkey") % 7 * 40).cast("int")
     ranges = c.where("c_custkey % 3 <> 0").select(path, first.alias("first"), (first + 60).alias("last"))
@@ -276,11 +276,9 @@ def _(spark, sf):
     return findings.summarize_files(_order_findings(spark, sf), 50)
 
 
-@query("g112_finding_order", f"""WITH {FINDINGS} SELECT message, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, rule, path IS NULL, path, line, message)::INTEGER AS position FROM f ORDER BY position LIMIT 100""")
+@query("g112_finding_order", f"""WITH {FINDINGS} SELECT message, row_number() OVER (ORDER BY CASE severity WHEN 'error' THEN 0 WHEN 'warning' THEN 1 ELSE 2 END, rule, path IS NULL, path, line, message)::BIGINT AS position FROM f""")
 def _(spark, sf):
-    first = findings.ordered(_order_findings(spark, sf)).limit(100)
-    w = Window.orderBy(findings.severity_rank().desc(), "ruleIdentifier", F.col("location").isNull(), F.col("location").asc_nulls_last(), "message")
-    return first.select("message", F.row_number().over(w).alias("position"))
+    return findings.positions(_order_findings(spark, sf)).select("message", "position")
 
 
 @query("g097_site_evidence", f"""WITH {TRADE}, s AS (SELECT DISTINCT source, target, kind, year(year) AS y FROM trade), r AS (SELECT *, row_number() OVER (PARTITION BY source, target, kind ORDER BY y) AS k FROM s)
@@ -485,12 +483,12 @@ def _(spark, sf):
     return ingest.asof_enclosing(refs, defs, ["user_id"], ["ts"], "def_id").select("event_id", "enclosing")
 
 
-@query("g029_nearest_line", """WITH l AS (SELECT o_orderkey AS k, (o_orderkey * 7 % 1000)::INTEGER AS line FROM orders WHERE o_orderkey < 3000),
+@query("g029_nearest_line", """WITH l AS (SELECT o_orderkey AS k, (o_orderkey * 7 % 1000)::INTEGER AS line FROM orders),
 d AS (SELECT (s_suppkey * 37 % 1000)::INTEGER AS pos, min(s_suppkey::VARCHAR) AS v FROM supplier GROUP BY 1)
 SELECT k, arg_min(d.pos || ':' || v, abs(l.line - d.pos) * 10000 + d.pos) AS found FROM l, d GROUP BY k""")
 def _(spark, sf):
     o = load(spark, sf, "orders")
-    left = o.where("o_orderkey < 3000").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("path"), (F.col("o_orderkey") * 7 % 1000).cast("int").alias("line"))
+    left = o.select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("path"), (F.col("o_orderkey") * 7 % 1000).cast("int").alias("line"))
     at = (F.col("s_suppkey") * 37 % 1000).cast("int")
     marks = load(spark, sf, "supplier").select(at.alias("at"), F.col("s_suppkey").cast("string").alias("s")).groupBy("at").agg(F.min("s").alias("s"))
     paths = o.select(F.col("o_orderpriority").alias("path")).distinct()
@@ -509,10 +507,10 @@ def _(spark, sf):
     return ingest.reference_positions(refs, b).select("rid", "position")
 
 
-@query("g022_upsert_symbols", """WITH s AS (SELECT 'p' || l_partkey AS usr, l_orderkey * 10000000 + l_linenumber * 1000000 + l_suppkey * 10 AS ordinal, l_returnflag = 'A' AS def, l_linestatus AS st, l_shipdate::DATE::VARCHAR AS name FROM lineitem WHERE l_quantity >= 40)
+@query("g022_upsert_symbols", """WITH s AS (SELECT 'p' || l_partkey AS usr, l_orderkey * 10000000 + l_linenumber * 1000000 + l_suppkey * 10 AS ordinal, l_returnflag = 'A' AS def, l_linestatus AS st, l_shipdate::DATE::VARCHAR AS name FROM lineitem)
 SELECT usr, count(*)::BIGINT AS n, bool_or(def) AS any_definition, string_agg(DISTINCT st, ',' ORDER BY st) AS attributes, min(ordinal)::BIGINT AS ordinal FROM s GROUP BY usr""")
 def _(spark, sf):
-    li = load(spark, sf, "lineitem").where("l_quantity >= 40")
+    li = load(spark, sf, "lineitem")
     ordinal = F.expr("l_orderkey * 10000000 + l_linenumber * 1000000 + l_suppkey * 10")
     rows = li.select(F.concat(F.lit("p"), "l_partkey").alias("usr"), ordinal.alias("ordinal"), (F.col("l_returnflag") == "A").alias("is_definition"), F.array("l_linestatus").alias("attributes"), F.lit(None).cast("string").alias("parentUSR"), (F.col("l_returnflag") == "A").alias("compilerUnitTest"), F.lit("x").alias("name"))
     n = rows.groupBy("usr").agg(F.count("*").alias("n"))
@@ -666,6 +664,7 @@ def _(spark, sf):
 
 # ---- text
 
+_PATH = "CASE WHEN regexp_extract(url, '://[^/?#]*([^?#]*)', 1) = '' THEN '/' ELSE regexp_extract(url, '://[^/?#]*([^?#]*)', 1) END"
 _URL = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1)"
 
 
@@ -675,35 +674,36 @@ def _(spark, sf):
     return load(spark, sf, "pages").select("page_id", text.url_authority(u).alias("authority"), text.url_path(u).alias("path"), text.query_stripped(u).alias("stripped"))
 
 
-@query("g206_mask_secrets", "SELECT page_id, '/' || CASE WHEN page_id % 2 = 0 THEN '{}' ELSE 'short' || page_id END || '/{id}/v1' AS template FROM pages")
+@query("g206_mask_secrets", f"SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '/{{}}' ELSE '' END || {_PATH} || '/{{id}}/v1' AS template FROM pages")
 def _(spark, sf):
-    t = F.concat(F.lit("/"), F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("abcdefghijklmnop"), F.col("page_id"))).otherwise(F.concat(F.lit("short"), F.col("page_id"))), F.lit("/{id}/v1"))
+    t = F.concat(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("/abcdefghijklmnop"), F.col("page_id"))).otherwise(""), text.url_path(F.col("url")), F.lit("/{id}/v1"))
     return load(spark, sf, "pages").select("page_id", text.mask_secrets(t, F.lit("api.example.com")).alias("template"))
 
 
 @query("g204_route_templates", """SELECT page_id, CASE page_id % 5 WHEN 0 THEN NULL WHEN 1 THEN 'not-rooted' WHEN 2 THEN 'stray-brace' WHEN 3 THEN 'malformed-percent' ELSE 'catch-all-not-last' END AS problem FROM pages""")
 def _(spark, sf):
     k = F.col("page_id")
-    t = F.when(k % 5 == 0, F.concat(F.lit("/a/{}/"), k)).when(k % 5 == 1, F.lit("a/b")).when(k % 5 == 2, F.lit("/a/{b}")).when(k % 5 == 3, F.lit("/a%2")).otherwise(F.lit("/{**}/x"))
+    path = text.url_path(F.col("url"))
+    t = F.when(k % 5 == 0, path).when(k % 5 == 1, F.substring(path, 2, 99)).when(k % 5 == 2, F.concat(path, F.lit("{b}"))).when(k % 5 == 3, F.concat(path, F.lit("%2"))).otherwise(F.concat(F.lit("/{**}"), path))
     return load(spark, sf, "pages").select("page_id", routes.route_template_problem(t).alias("problem"))
 
 
-@query("g205_normalize_routes", "SELECT page_id, '/a-b/%20/' || page_id || '/%C3%A9%2F' AS template FROM pages")
+@query("g205_normalize_routes", f"SELECT page_id, '/a-b/%20' || {_PATH} || '%C3%A9%2F' AS template FROM pages")
 def _(spark, sf):
-    t = F.concat(F.lit("/a%2Db/ /"), F.col("page_id"), F.lit("/é%2f"))
+    t = F.concat(F.lit("/a%2Db/ "), text.url_path(F.col("url")), F.lit("é%2f"))
     return load(spark, sf, "pages").select("page_id", routes.route_template_normalize(t).alias("template"))
 
 
-@query("g202_sql_relations", "SELECT p_partkey, unnest(['orders', 't' || p_partkey]) AS name, 0 AS unresolved FROM part WHERE p_partkey < 500")
+@query("g202_sql_relations", "SELECT p_partkey, unnest(['orders', replace(p_name, ' ', '_')]) AS name, 0 AS unresolved FROM part")
 def _(spark, sf):
-    p = load(spark, sf, "part").where("p_partkey < 500")
-    q = p.select("p_partkey", F.concat(F.lit("WITH c AS (SELECT * FROM orders) SELECT extract(year FROM d) FROM c JOIN t"), F.col("p_partkey"), F.lit(" x ON x.a IS NOT DISTINCT FROM c.b")).alias("sql"))
+    p = load(spark, sf, "part")
+    q = p.select("p_partkey", F.concat(F.lit("WITH c AS (SELECT * FROM orders) SELECT extract(year FROM d) FROM c JOIN "), F.translate("p_name", " ", "_"), F.lit(" x ON x.a IS NOT DISTINCT FROM c.b")).alias("sql"))
     return relations_of(q).select("p_partkey", "name", "unresolved")
 
 
-@query("g214_printable", "SELECT p_partkey, replace(p_name, ' ', '\\u{9}') AS shown FROM part")
+@query("g214_printable", "SELECT doc_id, replace(replace(text, '\\', '\\\\'), chr(10), '\\u{A}') AS shown FROM documents")
 def _(spark, sf):
-    return load(spark, sf, "part").select("p_partkey", text.printable(F.translate("p_name", " ", "\t")).alias("shown"))
+    return load(spark, sf, "documents").select("doc_id", text.printable(F.col("text")).alias("shown"))
 
 
 @query("g184_key_paths", "SELECT p_partkey, p_partkey % 3 <> 2 AS valid FROM part")
@@ -748,13 +748,24 @@ def _(spark, sf):
     return reach.reachable(g, g.nodes.where("k % 40 = 0").select("id")).select("id", "predecessor", "round")
 
 
-@query("g156_dispatch_impact")
+@query("g156_dispatch_impact", f"""WITH RECURSIVE {SEQUENCE}, over AS (SELECT source, target FROM seq JOIN parts ON id = target WHERE p_size <= 8), calls AS (SELECT source, target FROM seq JOIN parts ON id = target WHERE p_size > 8),
+above(id, contract) AS (SELECT source, target FROM over UNION SELECT a.id, o.target FROM above a JOIN over o ON o.source = a.contract),
+hop AS (SELECT target AS via, source AS id, 0 AS rank, 'call' AS kinds, NULL AS contract FROM calls UNION ALL SELECT target, source, 1, 'overrides', NULL FROM over
+  UNION ALL SELECT a.id, c.source, 2, 'call,overrides', a.contract FROM above a JOIN calls c ON c.target = a.contract),
+hops AS (SELECT * FROM hop WHERE via <> id), h(id, d) AS (SELECT id, 0 FROM parts WHERE k % 97 = 3 UNION SELECT s.id, d + 1 FROM h JOIN hops s ON s.via = h.id WHERE d < 4), dist AS (SELECT id, min(d) AS d FROM h GROUP BY id),
+c AS (SELECT t.id, t.d, s.via, s.rank, s.kinds, s.contract, row_number() OVER (PARTITION BY t.id ORDER BY s.via, s.rank, s.kinds, s.contract NULLS FIRST) AS r FROM dist t JOIN hops s ON s.id = t.id JOIN dist u ON u.id = s.via AND u.d = t.d - 1)
+SELECT id, d::INTEGER AS depth, via, CASE rank WHEN 0 THEN 'dependent' WHEN 1 THEN 'dispatchContract' ELSE 'dispatchCaller' END AS relation, kinds, contract FROM c WHERE r = 1""")
 def _(spark, sf):
     g = dispatch_graph(spark, sf)
     return impact.impact(g, g.nodes.where("k % 97 = 3").select("id"), 4)[0]
 
 
-@query("g162_traversal_hops")
+_DISPATCH = f"""{SEQUENCE}, over AS (SELECT source, target FROM seq JOIN parts ON id = target WHERE p_size <= 8), calls AS (SELECT source, target FROM seq JOIN parts ON id = target WHERE p_size > 8)"""
+
+
+@query("g162_traversal_hops", f"""WITH {_DISPATCH}, h AS (SELECT target AS f, source AS t, 0 AS tier, 'call' AS kind FROM calls UNION ALL SELECT target, source, 0, 'overrides' FROM over
+UNION ALL SELECT o.source, c.source, 2, 'dispatch' FROM over o JOIN calls c ON c.target = o.target WHERE c.source <> o.source)
+SELECT f AS "from", t AS "to", min(tier)::INTEGER AS tier, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM h WHERE f <> t GROUP BY ALL""")
 def _(spark, sf):
     return multiroot.traversal_hops(dispatch_graph(spark, sf), dependents=True)
 
@@ -771,7 +782,11 @@ def _(spark, sf):
     return dot_lines(trade_graph(spark, sf)).where("section = 2").select("line")
 
 
-@query("g241_mermaid")
+@query("g241_mermaid", f"""WITH {TRADE}, d AS (SELECT id, count(*) AS n FROM (SELECT DISTINCT source AS id, target AS o, 0 AS w FROM edges WHERE source <> target UNION ALL SELECT DISTINCT target, source, 1 FROM edges WHERE source <> target) GROUP BY id),
+keep AS (SELECT nodes.id, kind FROM nodes LEFT JOIN d USING (id) ORDER BY coalesce(n, 0) DESC, nodes.id LIMIT 20), k AS (SELECT *, 'n' || (row_number() OVER (ORDER BY id) - 1) AS n FROM keep),
+l AS (SELECT '    ' || a.n || CASE e.kind WHEN 'conformance' THEN ' -.-> ' ELSE ' --> ' END || b.n AS line, min({{'s': source, 't': target}}) AS p FROM edges e JOIN k a ON a.id = source JOIN k b ON b.id = target GROUP BY 1)
+SELECT 0 AS section, '' AS k0, '' AS k1, '' AS k2, 'flowchart LR' AS line UNION ALL SELECT 1, '', '', '', '%% truncated: 20 of ' || count(*) || ' nodes, by connectivity' FROM nodes
+UNION ALL SELECT 2, id, '', '', '    ' || n || CASE kind WHEN 'protocol' THEN '([' ELSE '[' END || '"' || id || '"' || CASE kind WHEN 'protocol' THEN '])' ELSE ']' END FROM k UNION ALL SELECT 3, p.s, p.t, '', line FROM l""")
 def _(spark, sf):
     from ..sources.sinks import mermaid_lines
 
@@ -819,7 +834,9 @@ def _(spark, sf):
     return w.select(F.date_format("start", "yyyy-MM-dd HH:mm").alias("start"), "event_type", "n")
 
 
-@query("g265_live_registrations")
+@query("g265_live_registrations", """WITH e AS (SELECT user_id, event_id AS tick, CASE event_type WHEN 'signup' THEN 'register' WHEN 'error' THEN 'remove' WHEN 'purchase' THEN 'send' END AS kind FROM events),
+p AS (SELECT user_id, tick, (SELECT max_by(r.kind, r.tick) FROM e r WHERE r.user_id = e.user_id AND r.tick < e.tick AND r.kind IN ('register', 'remove')) AS latest FROM e WHERE kind = 'send')
+SELECT user_id::VARCHAR AS channel, 'o' || user_id AS observer, tick AS post FROM p WHERE latest = 'register'""")
 def _(spark, sf):
     from ..streaming.traces import live_registrations
 
@@ -894,3 +911,6 @@ def _(spark, sf):
 
     p = load(spark, sf, "part").select(F.concat(F.lit("p"), "p_partkey").alias("path"), F.col("p_brand").alias("module"), "p_partkey")
     return module_coverage(p.where("p_partkey % 2 = 0"), p.where("p_partkey % 3 = 0"))
+
+
+from . import coverage  # noqa: E402, F401  (registers its queries)

@@ -217,12 +217,55 @@ def edit_rows(findings: DataFrame) -> DataFrame:
     return f.select("location.path", "location.line", action.alias("action"), "subject").distinct()
 
 
-def revision_digest(rows: DataFrame, keys: list[str]) -> str:
-    """A digest of a table in key order: rows are hashed in parallel, hashes folded in order as they stream."""
-    import hashlib
-
-    out = hashlib.sha256()
-    h = rows.select(*keys, F.sha2(F.to_json(F.struct(*sorted(rows.columns))), 256).alias("_h")).orderBy(*keys)
-    for r in h.select("_h").toLocalIterator():
-        out.update(r["_h"].encode())
-    return out.hexdigest()
+def revision_digest(rows: DataFrame) -> DataFrame:
+    """One row, ``digest``: of a table's content, whatever the order of its rows; no column, and nothing else, is sorted.
+
+    Rows are hashed as JSON with sorted keys, gathered by the first three hex digits of the hash, each of these 4096
+    groups folded in order of its hashes, and the groups in order. A row that occurs twice counts twice.
+    """
+    h = rows.select(F.sha2(F.to_json(F.struct(*sorted(rows.columns)), {"ignoreNullFields": "false"}), 256).alias("h"))
+    per = h.groupBy("h").agg(F.count("*").alias("n")).groupBy(F.substring("h", 1, 3).alias("g"))
+    folded = per.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("h", "n"))), lambda x: F.concat(x["h"], F.lit("*"), x["n"])), ""), 256).alias("d"))
+    return folded.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("g", "d"))), lambda x: x["d"]), ""), 256).alias("digest"))
+
+
+LEVELS = {"github-actions": {"error": "error", "warning": "warning", "info": "notice"}, "sarif": {"error": "error", "warning": "warning", "info": "note"}}
+
+
+def _replaced(value: Column, pairs: tuple[tuple[str, str], ...]) -> Column:
+    for a, b in pairs:
+        value = F.replace(value, F.lit(a), F.lit(b))
+    return value
+
+
+def report_lines(findings: DataFrame, form: str) -> DataFrame:
+    """The findings' lines of a report (text, xcode, github-actions, checkstyle, json, sarif) as a table that writes in
+    parallel, with the sort keys of the form; ``report`` frames them for a terminal."""
+    at, rule, message = F.col("location"), F.col("ruleIdentifier"), F.col("message")
+    place = (F.coalesce(at["path"], F.lit("~")), F.lpad(F.coalesce(at["line"], F.lit(0)).cast("string"), 9, "0"), rule)
+    if form in ("text", "xcode"):
+        where = F.when(at.isNotNull(), F.concat(printable(at["path"]), F.lit(":"), at["line"], F.lit(":"), at["column"], F.lit(": "))).otherwise("")
+        line = F.concat(where, "severity", F.lit(": "), printable(message), F.lit(" ("), printable(rule), F.lit(")"))
+    elif form == "github-actions":
+        plain = (("%", "%25"), ("\r", "%0D"), ("\n", "%0A"))
+        prop = (*plain, (":", "%3A"), (",", "%2C"))
+        where = F.when(at.isNotNull(), F.concat(F.lit("file="), _replaced(at["path"], prop), F.lit(",line="), at["line"], F.lit(",col="), at["column"], F.lit(","))).otherwise("")
+        line = F.concat(F.lit("::"), choose(F.col("severity"), LEVELS[form], "notice"), F.lit(" "), where, F.lit(f"title={TOOL} "), _replaced(rule, prop), F.lit("::"), _replaced(message, plain))
+    elif form == "checkstyle":
+        xml = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("'", "&apos;"))
+        line = F.format_string('    <error line="%d" column="%d" severity="%s" message="%s" source="' + TOOL + '.%s"/>', F.coalesce(at["line"], F.lit(0)), F.coalesce(at["column"], F.lit(0)), "severity", _replaced(message, xml), _replaced(rule, xml))
+    elif form == "json":
+        line = F.to_json(F.struct("details", "location", "message", "ruleIdentifier", "severity", "subject"))
+    elif form == "sarif":
+        region = F.struct(F.greatest(F.lit(1), at["column"]).alias("startColumn"), F.greatest(F.lit(1), at["line"]).alias("startLine"))
+        one = F.struct(F.struct(F.struct(at["path"].alias("uri")).alias("artifactLocation"), region.alias("region")).alias("physicalLocation"))
+        places = F.when(at.isNotNull(), F.array(one)).otherwise(F.array().cast("array<struct<physicalLocation:struct<artifactLocation:struct<uri:string>,region:struct<startColumn:int,startLine:int>>>>"))
+        line = F.to_json(F.struct(choose(F.col("severity"), LEVELS[form], "note").alias("level"), places.alias("locations"), F.struct(message.alias("text")).alias("message"), rule.alias("ruleId")))
+    else:
+        raise ValueError(f"unknown report form: {form}")
+    return _lines(findings, 1, line, *place)
+
+
+def fact_export(facts: DataFrame, kind: str) -> DataFrame:
+    """Facts of one kind (bridges, schema, routes, language-traversal) as JSON lines with sorted keys, each under its kind."""
+    return facts.select(F.to_json(F.struct(F.lit(kind).alias("kind"), F.struct(*sorted(facts.columns)).alias("fact"))).alias("line"))
