@@ -117,9 +117,10 @@ def plan_mix(
     return {"sources": sources, "schedule": ranked.select("slot", "sid", (F.col("base") + F.col("r")).alias("rank"))}
 
 
-def _take(rows: DataFrame, sources: DataFrame, order: list[Column], size: Column) -> DataFrame:
+def _take(rows: DataFrame, sources: DataFrame, order: list[Column], size: Column, any_size: Column | None = None) -> DataFrame:
     """``rows`` (source, _mix_h, _mix_b and whatever else) with ``size``, ``source_size``, ``target`` and ``takes``: the
-    words that the mix takes of the document in each epoch. ``size`` is evaluated once per row, behind the split.
+    words that the mix takes of the document in each epoch. ``size`` is evaluated once per row, behind the split; for
+    documents taken whole or not at all, ``any_size`` may stand for it (above 0 where there is a word).
 
     A document before the span in which a pass ends is taken whole, one behind it is not, both told from the row
     and its source's entry alone; only the rows of that one span in 2^16 are sorted. Nothing else moves.
@@ -130,7 +131,7 @@ def _take(rows: DataFrame, sources: DataFrame, order: list[Column], size: Column
     rows = rows.join(_small(entry, n), F.col("source").eqNullSafe(F.col("_mix_s"))).drop("_mix_s")
     at_edge = F.exists("passes", lambda p: p["edge"] == F.col("_mix_b"))
     all_of = lambda p: F.when(p["edge"].isNull(), p["words"] > 0).otherwise(F.col("_mix_b") < p["edge"])
-    plain = rows.where(~F.coalesce(at_edge, F.lit(False))).withColumn("size", size).withColumn("takes", F.transform("passes", lambda p: F.when(all_of(p), F.col("size")).otherwise(0).cast("long")))
+    plain = rows.where(~F.coalesce(at_edge, F.lit(False))).withColumn("size", size if any_size is None else any_size).withColumn("takes", F.transform("passes", lambda p: F.when(all_of(p), F.col("size")).otherwise(0).cast("long")))
     ahead = Window.partitionBy("source", "_mix_b").orderBy("_mix_h", *order).rowsBetween(Window.unboundedPreceding, -1)
     edge = rows.where(at_edge).withColumn("size", size).withColumn("_mix_w", F.coalesce(F.sum("size").over(ahead), F.lit(0)))
     some = lambda p: F.when(
@@ -226,7 +227,7 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
     place = [c.alias(k) for k, c in shuffled_place([col("doc_id"), text]).items()]
     rows = held.select("_mix_d", col("source").alias("source"), *place)
     plan = plan_mix(rows.withColumn("size", size).drop("_mix_d"), **params)
-    out = _take(rows, plan["sources"], [F.xxhash64(F.to_json("_mix_d"))], size).select("_mix_d", "size", F.explode("takes").alias("words")).where("words > 0")
+    out = _take(rows, plan["sources"], [F.xxhash64(F.to_json("_mix_d"))], size, text.rlike(r"[^\x20\x09-\x0D]").cast("long")).select("_mix_d", "size", F.explode("takes").alias("words")).where("words > 0")
     cut_text = F.array_join(F.slice(F.regexp_extract_all(col("text"), F.lit(WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), " ")
     whole = F.col("words") >= F.col("size")
     changed = {"text": F.when(whole, col("text")).otherwise(cut_text)}
