@@ -15,9 +15,10 @@ DEFAULT_RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Listed canonical URLs, which decide where no rule fits: spam, gambling and tracking hosts, all paths.
+#: Listed canonical URLs, which decide where no rule fits: spam, gambling and tracking hosts as they occur, all paths.
 DEFAULT_LISTED = tuple(
-    f"{name}.example.{tld}/"
+    f"{prefix}{name}.example.{tld}/"
+    for prefix in ("", "blog.", "m.")
     for name in ("adult-x", "ads-track", "casino-win", "cheap-pills", "free-bets", "spam-farm")
     for tld in ("com", "net", "org")
 )
@@ -38,11 +39,13 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def canonical(url: Column) -> Column:
-    """``host/path`` of a listed URL: no scheme, port, query, fragment or leading ``www.``; an empty path is ``/``."""
-    rest = F.regexp_replace(F.regexp_replace(url, r"(?s)^.*?://", ""), r"(?s)[?#].*", "")
-    host = F.regexp_replace(F.lower(F.regexp_extract(rest, r"(?s)^([^/]*)", 1)), r"^www\.|:\d+$", "")
+    """``host/path``: no scheme, user, port, query, fragment, leading ``www.`` or dot at the host's end; A-Z of the host
+    are lower-cased, an empty path is ``/``. Null stays null; without a host, null."""
+    rest = F.regexp_replace(F.regexp_replace(url, r"(?s)^[^/?#]*://", ""), r"(?s)[?#].*", "")
+    host = F.translate(F.regexp_extract(rest, r"(?s)^([^/]*)", 1), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    host = F.regexp_replace(F.regexp_replace(F.regexp_replace(host, r"(?s)^.*@", ""), r":\d*$", ""), r"^www\.|\.$", "")
     path = F.regexp_extract(rest, r"(?s)^[^/]*(.*)$", 1)
-    return F.concat(host, F.when(path == "", F.lit("/")).otherwise(path))
+    return F.when(host != "", F.concat(host, F.when(path == "", F.lit("/")).otherwise(path)))
 
 
 def _lanes(key: Column) -> list[Column]:
@@ -74,65 +77,67 @@ def split_bloom(candidates: DataFrame, bloom: DataFrame, n_blocks: int) -> tuple
     return out.where("hit").drop("hit"), out.where(~F.col("hit")).drop("hit")
 
 
+#: Hosts with rules up to this many are broadcast (their number is counted first); more are hash joined.
+SMALL_RULES = 10_000
+
+
+def matched_rules(base: DataFrame, rules: DataFrame) -> DataFrame:
+    """(rid, rule, verdict): of the rules that fit a row of ``base`` (rid, host, path), the one of the longest host + path
+    (on equal lengths the longer host).
+
+    Each host is tried at its suffixes of whole labels, an equi-join with the rules of that host; of these, those whose
+    path the url's path starts with are left.
+    """
+    by_host = rules.groupBy(F.col("host").alias("s")).agg(F.collect_set(F.struct("path", "verdict")).alias("rs"))
+    by_host = F.broadcast(by_host) if by_host.count() <= SMALL_RULES else by_host
+    labels = F.split("host", r"\.")
+    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    tried = base.where("host <> ''").select("rid", "path", F.explode(suffixes).alias("s")).join(by_host, "s")
+    fit = tried.select("rid", "s", F.explode(F.filter("rs", lambda r: F.startswith(F.col("path"), r["path"]))).alias("r"))
+    key = F.concat("s", "r.path")
+    best = fit.groupBy("rid").agg(F.max(F.struct(F.length(key), F.length("s"), key.alias("rule"), F.col("r.verdict").alias("verdict"))).alias("b"))
+    return best.select("rid", "b.rule", F.col("b.verdict").alias("rule_verdict"))
+
+
+def listed_rows(base: DataFrame, listed: DataFrame, cuts: Cuts) -> DataFrame:
+    """rid of the rows of ``base`` (rid, host, _u) whose canonical url is listed, or whose host is listed as a whole.
+
+    An entry without a path, ``host/``, stands for all of that host; any other for that url alone. So each row
+    has two keys at most, whatever the list. Keys that may be listed by the filter go to the exact join; those
+    that most rows share are broadcast.
+    """
+    entries = cuts.cut(listed.select(canonical(F.col("url")).alias("key")).where("key is not null").distinct())
+    n_blocks = max(1, min(MAX_BLOCKS, -(-entries.count() * 16 // 512)))
+    bloom = build_bloom(entries, n_blocks)
+    key = canonical(F.col("_u"))
+    keys = base.where("host <> ''").select("rid", F.explode(F.array_distinct(F.array(key, F.concat(F.substring_index(key, "/", 1), F.lit("/"))))).alias("key"))
+    possible = cuts.cut(probe_bloom(keys.where("key is not null"), bloom, n_blocks))
+    exact = entries.join(possible.groupBy("key").agg(F.count("*").alias("n")), "key")
+    return join_unique(possible, exact, ["key"], "n", possible.count()).select("rid").distinct()
+
+
 def filter_urls(pages: DataFrame, rules: DataFrame, listed: DataFrame, id_column: str = "page_id") -> DataFrame:
     """One row per row of ``pages``: id, url, host, path, rule, verdict.
 
-    ``rules``: host, path, verdict. ``listed``: url. The rule with the longest host + path wins (on equal
-    lengths the longer host, then the smaller text); without one, a listed URL blocks and any other is allowed.
-    Each url is tried at every host suffix and at every length that a listed path has, through the filter
-    first. Keys that most urls pass with (a rule for a whole domain) are broadcast, the others are hash joined.
-    Null urls have empty host and path; repeated rows are judged one by one; other columns are not read.
+    ``rules``: host, path, verdict. ``listed``: url, of whole hosts (``host/``) or single urls. The longest rule that
+    fits decides (see ``matched_rules``); without one, a url whose canonical form is listed is blocked (see
+    ``listed_rows``) and any other allowed. Rules see the host as it stands, port and user included; the list
+    sees canonical forms. Null urls and those without ``://`` have empty host and path and are allowed; urls of any
+    length are read whole; repeated rows are judged one by one; an empty table gives an empty result; other columns are
+    not read, whatever their names.
     """
-    spark = pages.sparkSession
-    cuts = Cuts(spark, "urls")
-    base = pages.select(F.col(id_column), F.col("url").alias("_u"))
+    cuts = Cuts(pages.sparkSession, "urls")
+    base = pages.select(F.col(id_column).alias("_id"), F.col("url").alias("_u"))
     host, path = split_url(F.col("_u"))
     base = cuts.cut(base.withColumns({"host": host, "path": path}).withColumn("rid", F.monotonically_increasing_id()))
-
-    entries = (
-        rules.select(F.concat("host", "path").alias("key"), F.lit(1).alias("rank"), F.length("host").alias("hlen"), F.col("verdict"))
-        .unionByName(
-            listed.where(F.col("url").isNotNull())
-            .select(canonical(F.col("url")).alias("key"), F.lit(0).alias("rank"))
-            .withColumns({"hlen": F.length(F.substring_index("key", "/", 1)), "verdict": F.lit("block")})
-        )
-        .groupBy("key", "rank")
-        .agg(F.min("verdict").alias("verdict"), F.max("hlen").alias("hlen"))
-    )
-    entries = cuts.cut(entries)
-    n_entries, lengths = entries.agg(F.count("*"), F.array_distinct(F.flatten(F.array(F.collect_set(F.length("key") - F.col("hlen")))))).first()
-    n_blocks = max(1, min(MAX_BLOCKS, -(-n_entries * 16 // 512)))
-    bloom = build_bloom(entries, n_blocks)
-
-    labels = F.split("host", r"\.")
-    suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
-    prefixes = F.array_distinct(
-        F.transform(F.array(*map(F.lit, sorted(lengths) or [0])), lambda n: F.when(F.length("path") >= n, F.substring(F.col("path"), F.lit(1), n)))
-    )
-    # The list takes the whole host for an empty path, as canonical() does.
-    prefixes = F.array_compact(F.when(F.col("path") == "", F.array(F.lit(""), F.lit("/"))).otherwise(prefixes))
-    tried = base.where(F.col("host") != "").select("rid", "host", "path", F.explode(suffixes).alias("s"), F.lit(0).alias("z"), prefixes.alias("ps"))
-    tried = tried.select("rid", (F.col("path") == "").alias("bare"), F.explode("ps").alias("p"), "s").select("rid", "bare", F.concat("s", "p").alias("key"))
-    possible = cuts.cut(probe_bloom(tried, bloom, n_blocks))
-    total = possible.count()
-    counted = possible.groupBy("key").agg(F.count("*").alias("n"))
-    best = F.struct("rank", F.length("key").alias("len"), "hlen", F.col("key").alias("key"), "verdict")
-    exact = entries.join(counted, "key").groupBy("key", "n").agg(F.collect_list(best).alias("hits"))
-    hits = join_unique(possible, exact, ["key"], "n", total).select("rid", "bare", F.explode("hits").alias("hit"))
-    # An empty path does not start with "/": such a row can only be listed, never fit a rule.
-    hits = hits.where(~(F.col("bare") & (F.col("hit.rank") == 1) & F.col("hit.key").endswith("/")))
-    won = hits.groupBy("rid").agg(F.max("hit").alias("hit"))
-    return base.join(won, "rid", "left").select(
-        id_column,
-        F.col("_u").alias("url"),
-        "host",
-        "path",
-        F.when(F.col("hit.rank") == 1, F.col("hit.key")).alias("rule"),
-        F.coalesce(F.col("hit.verdict"), F.lit("allow")).alias("verdict"),
-    )
+    hit = listed_rows(base, listed, cuts).withColumn("listed", F.lit(True))
+    out = base.join(matched_rules(base, rules), "rid", "left").join(hit, "rid", "left")
+    verdict = F.coalesce("rule_verdict", F.when(F.col("listed"), "block"), F.lit("allow"))
+    return out.select(F.col("_id").alias(id_column), F.col("_u").alias("url"), "host", "path", "rule", verdict.alias("verdict"))
 
 
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on every row of ``pages``; edge cases as for ``filter_urls``."""
     text = dict.fromkeys(("host", "path", "verdict", "url"), "string")
     hosts, paths, verdicts = map(list, zip(*DEFAULT_RULES, strict=True))
     rules = literal_rows(spark, {"host": hosts, "path": paths, "verdict": verdicts}, text)
@@ -142,6 +147,7 @@ def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _RULES = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in DEFAULT_RULES)
 _LISTED = ", ".join(f"('{u[:-1]}')" for u in DEFAULT_LISTED)
+#: Every default entry is a whole host, so the list is compared with the host without user, port, www. and last dot.
 ORACLE = rf"""
 WITH r(h, p, v) AS (VALUES {_RULES}), listed(h) AS (VALUES {_LISTED}),
 u AS (
@@ -154,7 +160,7 @@ s AS (
   FROM u),
 m AS (
   SELECT rid, max(struct_pack(len := length(h) + length(p), hl := length(h), rule := h || p, v := v)) AS x
-  FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid)
-SELECT page_id, host, path, x.rule AS rule,
-       coalesce(x.v, CASE WHEN EXISTS (SELECT 1 FROM listed WHERE s.host = listed.h OR ends_with(s.host, '.' || listed.h)) THEN 'block' ELSE 'allow' END) AS verdict
-FROM s LEFT JOIN m USING (rid)"""
+  FROM s JOIN r ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY rid),
+c AS (SELECT rid, regexp_replace(regexp_replace(regexp_replace(host, '^.*@', ''), ':[0-9]*$', ''), '^www[.]|[.]$', '', 'g') AS name FROM s)
+SELECT page_id, host, path, x.rule AS rule, coalesce(x.v, CASE WHEN name IN (SELECT h FROM listed) THEN 'block' ELSE 'allow' END) AS verdict
+FROM s JOIN c USING (rid) LEFT JOIN m USING (rid)"""
