@@ -111,7 +111,7 @@ def test_exact_dedup(docs, empty):
 
 
 def test_url_filters(spark):
-    urls = [None, "", "nourl", "http://A.Example.COM/en/x?q#f", "https://www.example.com/en/1", "http://x.net/es/1", "http://net/fr/", "http://com", "ftp://spam-farm.example.org?x", "http://notexample.com/en/", "http://q.org/en/", "http://b.net/es", "http://adult-x.example.net"]
+    urls = [None, "", "nourl", "http://A.Example.COM/en/x?q#f", "https://www.example.com/en/1", "http://x.net/es/1", "http://net/fr/", "http://com", "ftp://spam-farm.example.org?x", "http://notexample.com/en/", "http://q.org/en/", "http://b.net/es", "http://adult-x.example.net", "http://spam-farm.example.org:8080/x", "http://user:pw@spam-farm.example.org/", "https://www.spam-farm.example.org./y?z", "http://sub.spam-farm.example.org/", "http://spam-farm.example.org.evil/", "http://" + "a." * 3000 + "com/" + "x" * 9000]
     rows = [(i, u, "h", "x", "y") for i, u in enumerate(urls)] + [(3, urls[3], None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host string, rule string")
     rules = spark.createDataFrame(list(url_filters.DEFAULT_RULES), "host string, path string, verdict string")
@@ -124,7 +124,8 @@ def test_url_filters(spark):
         host = host.translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))
         fits = [(len(h + p), h + p, v) for h, p, v in url_filters.DEFAULT_RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits, default=None)
-        bad = any(host == x[:-1] or host.endswith("." + x[:-1]) for x in url_filters.DEFAULT_LISTED)
+        name = re.sub(r"^www\.|\.$", "", re.sub(r":\d*$", "", host.rsplit("@", 1)[-1]))
+        bad = any(name == x[:-1] for x in url_filters.DEFAULT_LISTED)
         assert (got[i]["host"], got[i]["path"]) == (host, path)
         assert got[i]["rule"] == (best[1] if best else None)
         assert got[i]["verdict"] == (best[2] if best else "block" if bad else "allow"), u
@@ -493,3 +494,140 @@ def test_prior_estimate():
     for prior in (0.3, 0.8):
         u = np.concatenate([rng.normal(2, 1, int(4000 * prior)), neg[: int(4000 * (1 - prior))]])
         assert abs(quality_classifier.estimate_prior(p, u) - prior) < 0.08
+
+
+def test_listed_urls_match_exactly(spark):
+    urls = ["http://a.org/x", "https://www.A.org:443/x?q", "http://a.org/xyz", "http://sub.a.org/x", "http://a.org/x/", "http://a.org", "http://b.org", "http://b.org/any", "http://u@b.org:1/", "http://notb.org/", None]
+    pages = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string")
+    none = spark.createDataFrame([], "host string, path string, verdict string")
+    listed = spark.createDataFrame([("a.org/x",), ("https://b.org",), ("",), (None,)], "url string")
+    got = {r["page_id"]: r["verdict"] for r in url_filters.filter_urls(pages, none, listed).collect()}
+    assert [u for i, u in enumerate(urls) if got[i] == "block"] == ["http://a.org/x", "https://www.A.org:443/x?q", "http://b.org", "http://b.org/any", "http://u@b.org:1/"]
+    assert url_filters.filter_urls(pages.limit(0), none, listed).count() == 0
+
+
+def test_template_bucket_is_not_compared_pair_by_pair(spark):
+    # One bucket: 60 pages of one template, over a third of each its own; two near copies and a late pair among them.
+    template, own = prose(1, 130).split(), [prose(10 + k, 70).split() for k in range(60)]
+    texts = [" ".join(template + own[k]) for k in range(60)]
+    texts += [" ".join(template + own[7][:-3] + ["changed"] * 3), " ".join(template + own[59] + ["more"])]
+    t = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    members = t.select(F.lit(1).cast("long").alias("bucket"), "rid")
+    cuts = Cuts(spark, "test")
+    compared = []
+    cut = Cuts.cut
+
+    class Counting(Cuts):
+        def cut(self, df):
+            out = cut(self, df)
+            if out.columns == ["a", "b", "close"]:
+                compared.append(out.count())
+            return out
+
+    for weighted in (False, True):
+        compared.clear()
+        found = near_dedup.links(t, members, 0.8, 5, Counting(spark, "test"), weighted)
+        assert {(r["a"], r["b"]) for r in found.collect()} == {(7, 60), (59, 61)}
+        n = len(texts)
+        assert sum(compared) <= 2 * n + 4 < n * (n - 1) // 2
+    assert components(found, cuts).count() == 4
+
+
+@pytest.mark.parametrize("weighted", [False, True])
+def test_prefix_pairs_lose_no_link(spark, weighted):
+    rng = random.Random(11)
+    base = [prose(k, 60).split() for k in range(3)]
+    texts = []
+    for _ in range(60):
+        w = list(rng.choice(base))
+        for _ in range(rng.randint(0, 8)):
+            at = rng.randrange(len(w))
+            w[at : at + rng.randint(0, 2)] = rng.choices(base[0], k=rng.randint(0, 2))
+        texts.append(" ".join(w * rng.choice((1, 1, 2))))
+    t = spark.createDataFrame(list(enumerate(texts)), "rid long, text string")
+    rows = near_dedup.element_rows(t, 3, weighted)
+    roots = t.select("rid", F.col("rid").alias("root"))
+    got = {(r["a"], r["b"]) for r in near_dedup.prefix_pairs(rows, roots, 0.7, Cuts(spark, "test")).collect()}
+    counts = [Counter(tuple(w[i : i + 3]) for w in [x.split()] for i in range(len(w) - 2)) for x in texts]
+    if not weighted:
+        counts = [Counter(dict.fromkeys(c, 1)) for c in counts]
+    like = {(i, j) for j in range(len(texts)) for i in range(j) if sum((counts[i] & counts[j]).values()) >= 0.7 * sum((counts[i] | counts[j]).values())}
+    assert like and like <= got and len(got) < len(texts) * (len(texts) - 1) // 2
+
+
+def test_results_do_not_depend_on_the_layout(spark, tmp_path):
+    rows = [(i % 90 if i % 13 else None, prose(i % 40, 1 + i * 7 % 90) if i % 11 else None, ("a", "b", None)[i % 3]) for i in range(240)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id int, text string, source string")
+    df.repartition(2).write.parquet(str(tmp_path / "one"))
+    df.orderBy(F.desc("text")).repartition(9).write.parquet(str(tmp_path / "two"))
+    one, two = (spark.read.parquet(str(tmp_path / x)) for x in ("one", "two"))
+    for f in (lambda d: mixing.mix_counts(d, block_tokens=8), lambda d: mixing.mix_documents(d, block_tokens=8), packing.pack_documents, lambda d: packing.pack_documents(d.withColumn("doc_id", F.concat(F.lit("d"), "doc_id")), shard_pieces=50)):
+        a, b = (Counter(map(tuple, f(d).collect())) for d in (one, two))
+        assert a == b and a
+    drawn = mixing.draw_order(one, block_tokens=8)
+    assert drawn.groupBy("slot").agg(F.sum("words").alias("w")).where("w > 8").isEmpty()
+    taken = {r[0]: r[1] for r in mixing.mix_counts(one, block_tokens=8).groupBy("source").agg(F.sum("taken")).collect()}
+    assert {r[0]: r[1] for r in drawn.groupBy("source").agg(F.sum("words")).collect()} == {k: v for k, v in taken.items() if v}
+
+
+def test_clashing_columns_pass_through(spark):
+    names = ["_rid", "_gone", "_ls", "_left", "_d", "_t", "_mix_d", "_mix_h", "_mix_b", "_near_rid", "_near_d", "key", "block", "hit", "size", "target", "takes", "b", "e", "c"]
+    rows = [(i, f"one {i % 4}\ntwo {i % 4}\nthree {i}", "s", *[f"{n}{i}" for n in names]) for i in range(12)]
+    df = Cuts(spark, "test").cut(spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"`{n}` string" for n in names)))
+    for f in (line_dedup.dedup_lines, mixing.mix_documents, near_dedup.keep_one):
+        out = f(df)
+        assert out.columns == df.columns
+        for r in out.collect():
+            assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
+
+
+def test_adaptive_opening_beats_single_sizes():
+    # Long and short pieces: a size for the one wastes or splits the other.
+    lengths = np.array([60] * 20 + [30] * 20 + [7] * 30)
+    cost = lambda c: 3 + c + c * c / 200
+    at, _, used = packing.best_fit(lengths, (8, 16, 32, 64), None, cost)
+    assert sum(used) == lengths.sum() and len(at) == len(lengths)
+    least = lambda filled: sum(cost(min(c for c in (8, 16, 32, 64) if c >= f)) for f in filled)
+    assert least(used) <= min(least(packing.best_fit(lengths, (8, 16, 32, 64), c, cost)[2]) for c in (8, 16, 32, 64))
+
+
+def test_quality_risk_is_the_non_negative_one():
+    # The fitted model lowers the risk as the formula gives it, evaluated here row by row.
+    rng = np.random.default_rng(4)
+    d = quality_classifier.DENSE + quality_classifier.HASHED
+    good, bad = rng.normal(0.4, 1, (400, d)).astype(np.float32), rng.normal(-0.4, 1, (400, d)).astype(np.float32)
+    p, u, prior = good[:150], np.vstack([good[150:], bad]), 0.38
+
+    def risk(model):
+        f = lambda x: [float(z) for z in model.logits(x)]
+        loss = lambda z: math.log1p(math.exp(-z)) if z > -30 else -z
+        mean = lambda v: sum(v) / len(v)
+        return prior * mean([loss(z) for z in f(p)]) + max(0.0, mean([loss(-z) for z in f(u)]) - prior * mean([loss(-z) for z in f(p)]))
+
+    start, end = (quality_classifier.fit_pu(p, u, prior, epochs=k) for k in (1, 30))
+    assert risk(end) < 0.6 * risk(start)
+    right = np.concatenate([end.scores(good[150:]) >= 0.5, end.scores(bad) < 0.5])
+    assert right.mean() > 0.95
+
+
+def test_quality_features_by_hand():
+    texts = ["Buy Buy now!! 50% $off$\n# # x", "", None, "ärger über alles alles alles"]
+    got = quality_classifier.features(pa.array(texts))
+    for row, t in zip(got, texts, strict=True):
+        w, raw = ws(t), (t or "").encode()
+        n = max(len(w), 1)
+        assert math.isclose(row[0], math.log1p(len(w)), rel_tol=1e-5)
+        assert math.isclose(row[1], sum(len(x.encode()) for x in w) / n / 10, rel_tol=1e-5)
+        assert math.isclose(row[3], len(set(w)) / n, rel_tol=1e-5) and math.isclose(row[5], sum(a == b for a, b in zip(w, w[1:])) / n, rel_tol=1e-5, abs_tol=1e-7)
+        assert math.isclose(row[6], sum(c in b"#*$%&<>" for c in raw) / max(len(raw), 1), rel_tol=1e-5, abs_tol=1e-7)
+        assert math.isclose(row[19], sum(len(x.encode()) == 1 for x in w) / n, rel_tol=1e-5, abs_tol=1e-7)
+        assert math.isclose(float((row[quality_classifier.DENSE :] ** 2).sum()), len(w) / n, rel_tol=1e-4)
+
+
+def test_fragments_do_not_hide_a_passage(spark):
+    # Six documents hold 49 words of a passage each, two later ones all 60.
+    words = prose(5, 60).split()
+    rows = [(i, prose(100 + i, 40) + " " + " ".join(words[a : a + 49]) + " " + prose(200 + i, 40)) for i, a in enumerate((0, 2, 4, 6, 8, 11))]
+    rows += [(10 + i, prose(300 + i, 30) + " " + " ".join(words) + " " + prose(400 + i, 30)) for i in range(2)]
+    got = substring_dedup.find_passages(spark.createDataFrame(rows + [(None, None), (0, "")], "doc_id long, text string")).collect()
+    assert any((r["doc_id"], r["source_id"]) == (11, 10) and r["start"] <= 30 and r["start"] + r["n_words"] >= 90 for r in got)

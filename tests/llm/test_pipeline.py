@@ -3,6 +3,8 @@
 import re
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from weftline.llm.common import Cuts
 
@@ -72,3 +74,29 @@ def test_stages(spark, sf):
         bins[r["bin_id"]] += r["n_tokens"]
         assert bins[r["bin_id"]] <= r["bin_size"]
     assert sum(bins.values()) == sum(taken.values())
+
+
+def test_edge_rows_pass_every_stage(spark, sf, tmp_path):
+    # Null and empty texts, nulls elsewhere, repeated rows, one very long text, columns of any name; and an empty table.
+    long = " ".join(f"w{i * i % 7919}" for i in range(60_000))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    odd = [(None, "some words here", None, None, None), (900, None, "en", "src0", None), (901, "", "en", None, 0), (902, long, "en", "src0", len(long)), (903, " \n ", None, "src0", 3)]
+    more = spark.createDataFrame(odd + odd[:1], "doc_id long, text string, lang string, source string, n_chars long")
+    both = docs.unionByName(more).withColumns({"_rid": F.lit("x"), "_mix_h": F.lit(1)})
+    cuts = Cuts(spark, "pipeline-edges")
+    for start in (both, both.limit(0)):
+        table = cuts.cut(start)
+        rows = table.count()
+        for name, stage in corpus_pipeline.STAGES:
+            columns = table.columns
+            table = cuts.cut(stage(spark, table, sf))
+            assert name == "best-fit packing" or table.columns == columns
+            assert rows or not table.count(), name
+
+
+def test_stages_keep_null_and_empty_texts(spark):
+    rows = [(1, None), (2, ""), (3, "alpha beta gamma"), (4, "alpha beta gamma"), (None, None)]
+    docs = Cuts(spark, "t").cut(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long"))
+    ids = lambda stage: sorted((r["doc_id"] is not None, r["doc_id"] or 0) for r in stage(spark, docs, "").collect())
+    assert ids(corpus_pipeline.lines) == [(False, 0), (True, 1), (True, 2), (True, 3), (True, 4)]
+    assert ids(corpus_pipeline.near) == [(False, 0), (True, 1), (True, 2), (True, 3)]
