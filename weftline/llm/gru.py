@@ -54,19 +54,6 @@ class Gru:
             at += w.size
         return out
 
-    def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """x: gate inputs of the tokens. Gates: z keeps, r resets, n is the candidate. Returns (new, z, r, n)."""
-        k = self.hidden
-        rec = h @ self.weights["h"]
-        gates = x[:, : 2 * k] + rec[:, : 2 * k]
-        gates *= np.float32(0.5)
-        np.tanh(gates, out=gates)
-        gates += 1
-        gates *= np.float32(0.5)
-        z, r = gates[:, :k], gates[:, k:]
-        n = np.tanh(x[:, 2 * k :] + r * rec[:, 2 * k :])
-        return n + z * (h - n), z, r, n
-
     def log_probs(self, h: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log probability of each target: that of its class plus that within the class."""
         w, cls = self.weights, np.searchsorted(self.bounds, target, "right") - 1
@@ -133,25 +120,54 @@ def score_documents(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int
     begins = np.zeros(target.shape, bool)
     begins[0] = True
     begins[1:] = doc[1:] != doc[:-1]
-    h = np.zeros((target.shape[1], model.hidden), np.float32)
+    fresh, w_in = begins.any(1), np.ascontiguousarray(model.weights["h"].T)
+    carried = np.zeros((model.hidden, target.shape[1]), np.float32)
     for lo in range(0, len(target), window):
         hi = min(lo + window, len(target))
         live = int((length > lo).sum())
-        states = np.empty((hi - lo, live, model.hidden), np.float32)
-        for t in range(lo, hi):
-            m = int(np.searchsorted(-length, -t, "left"))  # lanes longer than t
-            g = h[:m]
-            g[begins[t, :m]] = 0
-            new = model.step(table[source[t, :m]], g)[0]
-            h[:m] = new
-            states[t - lo, :m] = new
+        # Lanes that end inside the window run on over padding, which is not counted.
+        x = _side_by_side(table[source[lo:hi, :live].ravel()], hi - lo)
+        states = np.empty((hi - lo, model.hidden, live), np.float32)
+        for t in range(hi - lo):
+            h = states[t - 1] if t else carried[:, :live]
+            if fresh[lo + t]:
+                h = np.where(begins[lo + t, :live], np.float32(0), h)
+            advance(x[t], w_in @ h, h, states[t])
+        carried[:, :live] = states[-1]
         wanted = target[lo:hi, :live].ravel()
         valid = wanted >= 0
-        lp = model.log_probs(states.reshape(-1, model.hidden)[valid], wanted[valid])
+        lp = model.log_probs(_lane_by_lane(states)[valid], wanted[valid])
         total += np.bincount(doc[lo:hi, :live].ravel()[valid], weights=lp, minlength=n_docs)
     return total
 
 
+def _side_by_side(rows: np.ndarray, steps: int) -> np.ndarray:
+    """(steps, width, lanes) from rows of ``width`` values, step after step, lane after lane."""
+    return np.ascontiguousarray(rows.reshape(steps, -1, rows.shape[1]).transpose(0, 2, 1))
+
+
+def _lane_by_lane(x: np.ndarray) -> np.ndarray:
+    """The inverse of ``_side_by_side``."""
+    return np.ascontiguousarray(x.transpose(0, 2, 1)).reshape(-1, x.shape[1])
+
+
+def advance(x: np.ndarray, rec: np.ndarray, h: np.ndarray, out: np.ndarray) -> None:
+    """One step of the unit, values of lanes side by side: ``x``, the inputs of the gates, turns into z (keeps), r
+    (resets) and n (the candidate) in place; ``out`` is n + z (h - n)."""
+    k = len(h)
+    zr, n = x[: 2 * k], x[2 * k :]
+    zr += rec[: 2 * k]
+    zr *= np.float32(0.5)
+    np.tanh(zr, out=zr)
+    zr += 1
+    zr *= np.float32(0.5)
+    n += zr[k:] * rec[2 * k :]
+    np.tanh(n, out=n)
+    np.subtract(h, n, out=out)
+    out *= zr[:k]
+    out += n
+
+
 def train(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int = 64, window: int = 24, rate: float = 0.1, clip: float = 5.0) -> tuple[Gru, float]:
     """One pass of Adagrad over the documents by back-propagation truncated to a window; the state is carried
     over the window's edge. Returns the model and the mean negative log likelihood per token.
@@ -166,7 +182,8 @@ def train(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int = 64, win
     begins = np.zeros(target.shape, bool)
     begins[0] = True
     begins[1:] = doc[1:] != doc[:-1]
-    carried = np.zeros((target.shape[1], k), np.float32)
+    fresh = begins.any(1)
+    carried = np.zeros((k, target.shape[1]), np.float32)
     n_classes, small_ids = len(model.bounds) - 1, len(w["ob"]) < 1 << 16
     class_of = np.repeat(np.arange(n_classes, dtype=np.int16 if n_classes < 1 << 15 else np.int32), np.diff(model.bounds))
     grad_o, grad_ob = np.zeros_like(w["o"]), np.zeros_like(w["ob"])
@@ -192,32 +209,24 @@ def train(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int = 64, win
         hi = min(lo + window, len(target))
         live = int((length > lo).sum())
         steps = hi - lo
-        h = np.zeros((steps + 1, live, k), np.float32)
-        h[0] = carried[:live]
+        # A unit's values of all lanes lie side by side, so that gates are whole blocks.
+        h, ends_in = np.empty((steps, k, live), np.float32), np.empty((steps, k, live), np.float32)
         ids_in = source[lo:hi, :live].ravel()
-        x = w["x"][ids_in].reshape(steps, live, 3 * k)
-        x += w["b"]
-        rec_n = np.empty((steps, live, k), np.float32)
+        x = _side_by_side(w["x"][ids_in] + w["b"], steps)
+        rec = np.empty((steps, 3 * k, live), np.float32)
+        w_in = np.ascontiguousarray(w["h"].T)
         for t in range(steps):
-            h[t, begins[lo + t, :live]] = 0
-            rec = h[t] @ w["h"]
-            zr, n = x[t, :, : 2 * k], x[t, :, 2 * k :]
-            zr += rec[:, : 2 * k]
-            zr *= np.float32(0.5)
-            np.tanh(zr, out=zr)
-            zr += 1
-            zr *= np.float32(0.5)
-            rec_n[t] = rec[:, 2 * k :]
-            n += zr[:, k:] * rec_n[t]
-            np.tanh(n, out=n)
-            np.subtract(h[t], n, out=h[t + 1])
-            h[t + 1] *= zr[:, :k]
-            h[t + 1] += n
-        carried[:live] = h[-1]
+            # A document begins with no state; the one before is still judged by its own last state.
+            h[t] = ends_in[t - 1] if t else carried[:, :live]
+            if fresh[lo + t]:
+                h[t][:, begins[lo + t, :live]] = 0
+            np.matmul(w_in, h[t], out=rec[t])
+            advance(x[t], rec[t], h[t], ends_in[t])
+        carried[:, :live] = ends_in[-1]
         wanted = target[lo:hi, :live].ravel()
         rows = np.flatnonzero(wanted >= 0)
         rows = rows[np.argsort(class_of[wanted[rows]], kind="stable")]
-        y, hs = wanted[rows], h[1:].reshape(-1, k)[rows]
+        y, hs = wanted[rows], _lane_by_lane(ends_in)[rows]
         cls = class_of[y]
         # Of a full window, so that the last, few documents of a long lane do not weigh more than others.
         scale = np.float32(1 / (target.shape[1] * window))
@@ -257,29 +266,31 @@ def train(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int = 64, win
         seen += len(y)
         d_out = np.zeros((steps * live, k), np.float32)
         d_out[rows] = d_h
-        d_out = d_out.reshape(steps, live, k)
-        d_x = np.empty((steps, live, 3 * k), np.float32)
-        d_rec_n = np.empty((steps, live, k), np.float32)
-        w_zr, w_n = w["h"][:, : 2 * k].T.copy(), w["h"][:, 2 * k :].T.copy()
-        d_state = np.zeros((live, k), np.float32)
+        d_out = _side_by_side(d_out, steps)
+        d_x = np.empty((steps, 3 * k, live), np.float32)
+        d_state = np.zeros((k, live), np.float32)
         for t in range(steps - 1, -1, -1):
             d = d_state
             d += d_out[t]
-            z, r, n = x[t, :, :k], x[t, :, k : 2 * k], x[t, :, 2 * k :]
-            to = d_x[t]
+            (z, r, n), (d_z, d_r, d_n), d_rec = x[t].reshape(3, k, live), d_x[t].reshape(3, k, live), rec[t]
             keep = d * z
-            d_n = to[:, 2 * k :]
             np.subtract(d, keep, out=d_n)
             d_n *= 1 - n * n
-            np.multiply(keep, (h[t] - n) * (1 - z), out=to[:, :k])
-            np.multiply(d_n, r, out=d_rec_n[t])
-            np.multiply(d_rec_n[t], rec_n[t] * (1 - r), out=to[:, k : 2 * k])
+            np.subtract(h[t], n, out=d_z)
+            d_z *= 1 - z
+            d_z *= keep
+            # What reached the candidate through the reset gate; ``rec`` turns into its gradient in place.
+            through = d_n * r
+            np.multiply(through, d_rec[2 * k :], out=d_r)
+            d_r *= 1 - r
+            d_rec[: 2 * k] = d_x[t, : 2 * k]
+            d_rec[2 * k :] = through
             d_state = keep
-            d_state += to[:, : 2 * k] @ w_zr
-            d_state += d_rec_n[t] @ w_n
-            d_state[begins[lo + t, :live]] = 0
-        flat, before = d_x.reshape(-1, 3 * k), h[:-1].reshape(-1, k)
-        g_h = np.concatenate([before.T @ flat[:, : 2 * k], before.T @ d_rec_n.reshape(-1, k)], 1)
+            d_state += w["h"] @ d_rec
+            if fresh[lo + t]:
+                d_state[:, begins[lo + t, :live]] = 0
+        flat = _lane_by_lane(d_x)
+        g_h = _lane_by_lane(h).T @ _lane_by_lane(rec)
         order = np.argsort(ids_in.astype(np.uint16) if small_ids else ids_in, kind="stable")
         ranked = ids_in[order]
         cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
