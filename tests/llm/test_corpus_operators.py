@@ -631,3 +631,55 @@ def test_fragments_do_not_hide_a_passage(spark):
     rows += [(10 + i, prose(300 + i, 30) + " " + " ".join(words) + " " + prose(400 + i, 30)) for i in range(2)]
     got = substring_dedup.find_passages(spark.createDataFrame(rows + [(None, None), (0, "")], "doc_id long, text string")).collect()
     assert any((r["doc_id"], r["source_id"]) == (11, 10) and r["start"] <= 30 and r["start"] + r["n_words"] >= 90 for r in got)
+
+
+def test_gru_gradients_are_those_of_the_loss():
+    # Adagrad's first step moves each weight against its gradient: its sign is that of the loss's change, by differences.
+    rng = np.random.default_rng(2)
+    m = gru.Gru.create(np.array([9.0, 7, 6, 5, 4, 3, 3, 2]), hidden=4, n_classes=4)
+    m.weights = {n: (w + rng.normal(0, 0.3, w.shape)).astype(np.float32) for n, w in m.weights.items()}
+    ids = np.array([2, 3, 4, 2, 0, 5, 6, 7, 2, 3, 0, 4, 4, 0], np.int32)
+    first = np.array([0, 5, 11, 14])
+    moved, loss = gru.train(m, ids, first, n_lanes=2, window=32, rate=1e-3)
+
+    def total(flat):
+        return -gru.score_documents(m.unpack(flat), ids, first).sum() / len(ids)
+
+    assert math.isclose(loss, total(m.pack()), rel_tol=1e-5)
+    flat, step = m.pack().astype(np.float64), moved.pack().astype(np.float64) - m.pack()
+    checked = 0
+    for k in range(len(flat)):
+        up, down = flat.copy(), flat.copy()
+        up[k] += 2e-2
+        down[k] -= 2e-2
+        slope = (total(up.astype(np.float32)) - total(down.astype(np.float32))) / 4e-2
+        if abs(slope) > 5e-3:
+            assert step[k] * slope < 0, k
+            checked += 1
+    assert checked > 40
+
+
+def test_gru_scores_by_hand():
+    # A forward pass written out word by word.
+    rng = np.random.default_rng(6)
+    m = gru.Gru.create(np.array([5.0, 4, 3, 2, 2, 1]), hidden=3, n_classes=4)
+    m.weights = {n: (w + rng.normal(0, 0.4, w.shape)).astype(np.float32) for n, w in m.weights.items()}
+    w, docs = {n: x.astype(float) for n, x in m.weights.items()}, [[2, 3, 5, 0], [0], [4, 4, 1, 2, 0]]
+    sig = lambda v: 1 / (1 + np.exp(-v))
+    want = []
+    for doc in docs:
+        h, before, score = np.zeros(3), gru.END, 0.0
+        for token in doc:
+            x, rec = w["x"][before] + w["b"], h @ w["h"]
+            z, r = sig(x[:3] + rec[:3]), sig(x[3:6] + rec[3:6])
+            n = np.tanh(x[6:] + r * rec[6:])
+            h = z * h + (1 - z) * n
+            c = int(np.searchsorted(m.bounds, token, "right") - 1)
+            classes = np.exp(w["co"] @ h + w["cb"])
+            a, b = m.bounds[c], m.bounds[c + 1]
+            inside = np.exp(w["o"][a:b] @ h + w["ob"][a:b])
+            score += math.log(classes[c] / classes.sum()) + (math.log(inside[token - a] / inside.sum()) if b - a > 1 else 0)
+            before = token
+        want.append(score)
+    got = gru.score_documents(m, np.concatenate(docs).astype(np.int32), np.cumsum([0, *map(len, docs)]), n_lanes=2, window=2)
+    assert np.allclose(got, want, rtol=1e-4)
