@@ -93,7 +93,8 @@ def lanes(lengths: np.ndarray, n: int) -> list[list[int]]:
 def lay_out(ids: np.ndarray, first: np.ndarray, n_lanes: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(targets, inputs, document, lane lengths): lanes as columns; a document starts after an END input.
 
-    ``ids``: all documents' tokens, each document ended by END; ``first``: n + 1 starts. Unused cells hold -1.
+    ``ids``: all documents' tokens, each document ended by END; ``first``: n + 1 starts. Unused cells hold -1
+    as targets and END as inputs.
     """
     n = np.diff(first)
     rows = lanes(n, n_lanes)
@@ -104,7 +105,7 @@ def lay_out(ids: np.ndarray, first: np.ndarray, n_lanes: int) -> tuple[np.ndarra
         target[: length[k], k] = np.concatenate([ids[first[d] : first[d + 1]] for d in r])
         doc[: length[k], k] = np.repeat(r, n[r])
     source = np.full_like(target, END)
-    source[1:] = target[:-1]
+    source[1:] = np.maximum(target[:-1], END)
     return target, source, doc, length
 
 
