@@ -124,20 +124,39 @@ def bind_declarations(facts: DataFrame, symbols: DataFrame) -> DataFrame:
     return exact.where("exact is not null").select(*facts.columns, F.col("exact").alias("usr")).unionByName(near.select(*facts.columns, "usr"))
 
 
+#: Lines that are sorted together: a file, or whatever the keys name, may hold most of all rows.
+BAND = 64
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: str, value: str) -> DataFrame:
-    """Left rows with the right row of least distance in the same keys; on ties the lower one. Two carried-over
-    values (from below and from above) in one sorted pass each, so a hot key forms no pairs."""
+    """Left rows with the right row of least distance in the same keys; on ties the lower one.
+
+    The values carried from below and from above are found within bands of BAND lines, and what a band begins or
+    ends without comes from one row per band: a hot key forms no pairs and no single sort.
+    """
+    mark = "struct<at:int,v:string>"
     marks = right.groupBy(*keys, other).agg(F.min(value).alias(value))
-    one = left.select(*left.columns, F.lit(1).alias("_side"), F.lit(None).cast("struct<at:int,v:string>").alias("_v"))
-    two = marks.select(*keys, F.col(other).alias(at), F.lit(0).alias("_side"), F.struct(F.col(other).cast("int").alias("at"), F.col(value).cast("string").alias("v")).alias("_v"))
-    both = one.unionByName(two, allowMissingColumns=True)
-    order = Window.partitionBy(*keys).orderBy(at, "_side")
+    marks = marks.select(*keys, F.col(other).alias(at), F.struct(F.col(other).cast("int").alias("at"), F.col(value).cast("string").alias("v")).alias("_v"))
+    band = F.floor(F.col(at) / BAND).alias("_band")
+    one = left.select(*left.columns, band, F.lit(1).alias("_side"), F.lit(None).cast(mark).alias("_v"))
+    both = one.unionByName(marks.select(*keys, at, band, F.lit(0).alias("_side"), "_v"), allowMissingColumns=True)
+    order = Window.partitionBy(*keys, "_band").orderBy(at, "_side")
     below = F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     above = F.first("_v", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
     got = both.withColumns({"_b": below, "_a": above}).where("_side = 1")
+    ends = both.groupBy(*keys, "_band").agg(F.max("_v").alias("_hi"), F.min("_v").alias("_lo"))
+    across = Window.partitionBy(*keys).orderBy("_band")
+    ends = ends.select(
+        *keys,
+        "_band",
+        F.last("_hi", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
+        F.first("_lo", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
+    )
+    got = got.join(ends, [*keys, "_band"]).withColumns({"_b": F.coalesce("_b", "_before"), "_a": F.coalesce("_a", "_after")})
     d_below, d_above = F.col(at) - F.col("_b.at"), F.col("_a.at") - F.col(at)
     pick = F.when(F.col("_b").isNull(), F.col("_a.v")).when(F.col("_a").isNull() | (d_below <= d_above), F.col("_b.v")).otherwise(F.col("_a.v"))
-    return got.withColumn(value, pick).drop("_side", "_v", "_b", "_a")
+    names = left.columns if value in left.columns else [*left.columns, value]
+    return got.withColumn(value, pick).select(*names)
 
 
 def bind_parameter_usage(parameters: DataFrame, usage: DataFrame) -> DataFrame:
@@ -148,21 +167,25 @@ def bind_parameter_usage(parameters: DataFrame, usage: DataFrame) -> DataFrame:
 
 def reference_positions(references: DataFrame, bodies: DataFrame) -> DataFrame:
     """references (rid, path, line, column) with position: body inside any range, signature outside all,
-    unknown in a file without ranges. Ranges of a file are merged into disjoint ones first; then one carried
-    value (the last range begun) decides, so nested and many ranges cost one sorted pass.
+    unknown in a file without ranges.
+
+    The furthest end of the ranges begun so far decides, so nested and many ranges cost one sorted pass. It is
+    carried within bands of BAND lines, and between them by one row per band.
     """
-    start, end = F.struct("line", "column"), F.col("end")
-    b = bodies.select("path", F.struct(F.col("l1").alias("line"), F.col("c1").alias("column")).alias("start"), F.struct(F.col("l2").alias("line"), F.col("c2").alias("column")).alias("end"))
-    reach = F.max("end").over(Window.partitionBy("path").orderBy("start", "end").rowsBetween(Window.unboundedPreceding, 0))
-    b = b.withColumn("reach", reach)
-    refs = references.withColumns({"_at": start, "_side": F.lit(1)})
-    marks = b.select("path", F.col("start").alias("_at"), F.lit(0).alias("_side"), F.col("reach").alias("_r"))
+    point = lambda a, b: F.struct(F.col(a).alias("line"), F.col(b).alias("column"))
+    band = lambda c: F.floor(F.col(c) / BAND).alias("_band")
+    marks = bodies.select("path", band("l1"), point("l1", "c1").alias("_at"), F.lit(0).alias("_side"), point("l2", "c2").alias("_r"))
+    refs = references.select("*", band("line"), point("line", "column").alias("_at"), F.lit(1).alias("_side"))
     both = refs.unionByName(marks, allowMissingColumns=True)
-    last = F.last("_r", ignorenulls=True).over(Window.partitionBy("path").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
-    any_ = F.max(F.col("_side") == 0).over(Window.partitionBy("path"))
-    out = both.withColumns({"_l": last, "_any": any_}).where("_side = 1")
-    del end
-    return out.withColumn("position", F.when(~F.col("_any"), "unknown").when(F.col("_l") >= F.col("_at"), "body").otherwise("signature")).drop("_at", "_side", "_r", "_l", "_any")
+    so_far = F.max("_r").over(Window.partitionBy("path", "_band").orderBy("_at", "_side").rowsBetween(Window.unboundedPreceding, 0))
+    got = both.withColumn("_l", so_far).where("_side = 1")
+    ends = both.groupBy("path", "_band").agg(F.max("_r").alias("_r"))
+    every = Window.partitionBy("path")
+    ends = ends.select("path", "_band", F.max("_r").over(every.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)).alias("_before"), F.max("_r").over(every).isNotNull().alias("_any"))
+    reach = F.greatest("_l", "_before")
+    out = got.drop("_r").join(ends, ["path", "_band"])
+    position = F.when(~F.col("_any"), "unknown").when(F.coalesce(reach >= F.col("_at"), F.lit(False)), "body").otherwise("signature")
+    return out.withColumn("position", position).select(*references.columns, "position")
 
 
 def annotate_interface_builder(symbols: DataFrame, names: DataFrame) -> DataFrame:

@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 
 
 class Stage:
-    """A folder of tables in the shared checkpoint folder; ``add`` appends to a named table."""
+    """A folder of tables in the shared checkpoint folder (one local process may do without the setting, as tests do);
+    ``add`` appends to a named table."""
 
     def __init__(self, spark: SparkSession, label: str):
         folder = spark.conf.get("spark.checkpoint.dir", None)
         if not folder:
+            if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             folder = f"file://{os.path.join(tempfile.gettempdir(), 'weftline-stages')}"
             spark.conf.set("spark.checkpoint.dir", folder)
         self.spark, self.base, self._n = spark, f"{folder}/{label}-{uuid.uuid4().hex}", 0
