@@ -800,14 +800,16 @@ def _(spark, sf):
     return edit_rows(_order_findings(spark, sf))
 
 
-@query("g223_value_flow")
+@query("g223_value_flow", """WITH v AS (SELECT n_name AS component, '/' || n_name || '/' || n_regionkey AS x FROM nation)
+SELECT component, function, register, replace(value, '%', x) AS value, true AS known FROM v, (VALUES ('main', 0, 'string:%'), ('main', 1, 'function:id'), ('main', 2, 'string:%'), ('main', 3, 'string:%%'), ('main', -1, 'string:%%'), ('id', 0, 'string:%'), ('id', -1, 'string:%')) r(function, register, value)""")
 def _(spark, sf):
     import json
 
     from ..functions.value_flow import solve_programs
 
-    body = {"functions": [{"id": "main", "blocks": [{"id": 0, "instructions": [[0, "const", "string", "/v1/"], [1, "symbol", "id"], [2, "call", 1, [0]], [3, "concat", [2, 0]]], "end": ["return", 3]}]}, {"id": "id", "parameters": 1, "blocks": [{"id": 0, "instructions": [[0, "param", 0]], "end": ["return", 0]}]}]}
-    programs = load(spark, sf, "nation").select(F.col("n_name").alias("component"), F.lit(json.dumps(body)).alias("program"), F.array(F.lit("main")).alias("roots"))
+    body = {"functions": [{"id": "main", "blocks": [{"id": 0, "instructions": [[0, "const", "string", "@"], [1, "symbol", "id"], [2, "call", 1, [0]], [3, "concat", [2, 0]]], "end": ["return", 3]}]}, {"id": "id", "parameters": 1, "blocks": [{"id": 0, "instructions": [[0, "param", 0]], "end": ["return", 0]}]}]}
+    text_ = F.concat(F.lit("/"), "n_name", F.lit("/"), "n_regionkey")
+    programs = load(spark, sf, "nation").select(F.col("n_name").alias("component"), F.replace(F.lit(json.dumps(body)), F.lit("@"), text_).alias("program"), F.array(F.lit("main")).alias("roots"))
     return solve_programs(programs)
 
 
