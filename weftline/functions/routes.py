@@ -154,3 +154,66 @@ def route_compose(parts: pd.Series) -> pd.DataFrame:
 def route_base_join(join: pd.Series, base: pd.Series, path: pd.Series) -> pd.DataFrame:
     rows = [base_join(j, b, p) for j, b, p in zip(join, base, path, strict=True)]
     return pd.DataFrame(rows, columns=["template", "anchor", "limitation"])
+
+
+# ---- declared targets and wrappers, as native expressions
+
+MAX_SUFFIX = 64
+
+
+def _encoded(text, keep_slash: bool):  # noqa: ANN001, ANN202
+    """Percent-encoded but for unreserved characters and, if kept, slashes; ``{}`` stands for a value and stays."""
+    out = F.url_encode(text)
+    for a, b in (("+", "%20"), ("*", "%2A"), ("%7E", "~"), ("%7B%7D", "{}"), *((("%2F", "/"),) if keep_slash else ())):
+        out = F.replace(out, F.lit(a), F.lit(b))
+    return out
+
+
+def target_route(join, base, path):  # noqa: ANN001, ANN201
+    """(template, anchor) of a target's or router's ``path`` under ``base`` (an absolute url, or null where unknown).
+
+    ``join``: moya (an empty path is the base itself), appending-path-component (one slash between, ``?`` and ``#`` of the
+    path are text), appending-component (slashes of the path too), relative-to (RFC 3986) or concatenation. The path
+    behind a known host is rooted; without one it is anchored at the base.
+    """
+    scheme = r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*"
+    known = F.coalesce(base.rlike(scheme), F.lit(False))
+    rest = F.regexp_replace(F.regexp_replace(base, scheme, ""), r"(?s)[?#].*", "")
+    under = F.when(known, rest).otherwise("")
+    one_slash = lambda tail: F.concat(F.regexp_replace(under, "/$", ""), F.lit("/"), tail)
+    component = one_slash(_encoded(F.regexp_replace(path, "^/", ""), True))
+    strip = lambda x: F.regexp_replace(x, r"(?s)[?#].*", "")
+    whole = F.concat(F.coalesce(base, F.lit("")), path)
+    joined = (
+        F.when((join == "moya") & (path == ""), F.when(under == "", "/").otherwise(under))
+        .when(join.isin("moya", "appending-path-component"), component)
+        .when(join == "appending-component", one_slash(_encoded(path, False)))
+        .when((join == "relative-to") & path.startswith("/"), strip(path))
+        .when(join == "relative-to", F.concat(F.when(under == "", "/").otherwise(F.regexp_replace(under, r"[^/]*$", "")), strip(path)))
+        .when(known, F.concat(F.when(F.regexp_replace(strip(whole), scheme, "").startswith("/"), "").otherwise("/"), F.regexp_replace(strip(whole), scheme, "")))
+        .otherwise(F.when(path.startswith("/"), strip(path)))
+    )
+    anchor = F.when(known | ((join == "relative-to") & path.startswith("/")), "root").otherwise("base")
+    return F.struct(joined.alias("template"), anchor.alias("anchor"))
+
+
+def append_suffix(template, segments):  # noqa: ANN001, ANN201
+    """(template, channel_prefix): declared suffix ``segments`` (array of text, null for a value) behind a wrapper's path.
+
+    An unknown suffix (null), over 64 segments, and a segment that is empty, ``.``, ``..`` or holds control characters
+    leave only the path that is sure, as a prefix.
+    """
+    bad = F.exists(segments, lambda s: s.isNotNull() & (s.isin("", ".", "..") | s.rlike(r"[\x00-\x1F\x7F-\x9F]")))
+    unsure = segments.isNull() | (F.size(segments) > MAX_SUFFIX) | F.coalesce(bad, F.lit(False))
+    tail = F.array_join(F.transform(segments, lambda s: F.when(s.isNull(), F.lit("{}")).otherwise(_encoded(s, False))), "/")
+    full = F.when(F.size(segments) == 0, template).otherwise(F.concat(template, F.when(template.endswith("/"), "").otherwise("/"), tail))
+    return F.struct(F.when(~unsure, full).alias("template"), F.when(unsure, template).alias("channel_prefix"))
+
+
+def bound_argument(labels, label, index):  # noqa: ANN001, ANN201
+    """Where a declared argument stands in a call: at its label, else at its index if that has no label or the same one;
+    null if nowhere."""
+    at = F.array_position(F.transform(labels, lambda x: F.coalesce(x, F.lit("\0"))), F.coalesce(label, F.lit("\1"))).cast("int") - 1
+    there = F.get(labels, index)
+    fits = (index < F.size(labels)) & (there.isNull() | there.eqNullSafe(label))
+    return F.when(at >= 0, at).when(F.coalesce(fits, F.lit(False)), index)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.predicates import predicate_key_paths
-from ..functions.routes import route_compose
+from ..functions.routes import append_suffix, bound_argument, route_compose, target_route
 from ..functions.sql_relations import looks_like_sql
 from ..operators import cycles, documents, findings, graph, impact, ingest, lookup, multiroot, reach, runtime
 from ..operators.graph import Graph
@@ -538,6 +538,31 @@ def _(spark, sf):
     return load(spark, sf, "part").select("p_partkey", route_compose(parts)["template"].alias("template"))
 
 
+_HOST = "regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*', 0)"
+_PATH = "regexp_extract(url, '://[^/?#]*([^?#]*)', 1)"
+
+
+@query("g209_target_routes", f"""WITH u AS (SELECT page_id, page_id % 6 AS k, {_HOST} AS host, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS path FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN '/v1' WHEN 1 THEN '/v1' || path || '%3Fq' WHEN 2 THEN '/v1/' || replace(path, '/', '%2F') WHEN 3 THEN path WHEN 4 THEN '/v1/x' || path ELSE path END AS template, CASE k WHEN 5 THEN 'base' ELSE 'root' END AS anchor FROM u""")
+def _(spark, sf):
+    k, host, path = F.col("page_id") % 6, F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.\-]*://[^/?#]*", 0), text.url_path(F.col("url"))
+    join = F.get(F.array(*map(F.lit, ("moya", "appending-path-component", "appending-component", "relative-to", "relative-to", "concatenation"))), k)
+    base = F.when(k < 2, F.concat(host, F.lit("/v1"))).when(k == 2, F.concat(host, F.lit("/v1/"))).when(k == 3, F.concat(host, F.lit("/a/b"))).when(k == 4, F.concat(host, F.lit("/v1/last?old")))
+    member = F.when(k == 0, "").when(k == 1, F.concat(path, F.lit("?q"))).when(k == 3, F.concat(path, F.lit("?q"))).when(k == 4, F.concat(F.lit("x"), path, F.lit("#f"))).otherwise(path)
+    return load(spark, sf, "pages").select("page_id", target_route(join, base, member).alias("r")).select("page_id", "r.template", "r.anchor")
+
+
+@query("g210_wrapper_suffixes", f"""WITH u AS (SELECT page_id, page_id % 5 AS k, CASE WHEN {_PATH} = '' THEN '/' ELSE {_PATH} END AS path FROM pages)
+SELECT page_id, CASE k WHEN 0 THEN path WHEN 1 THEN path || CASE WHEN path LIKE '%/' THEN '' ELSE '/' END || 'a%20b/{{}}/%C3%A9' END AS template, CASE WHEN k > 1 THEN path END AS channel_prefix,
+       CASE k WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN NULL WHEN 3 THEN 1 ELSE NULL END AS argument FROM u""")
+def _(spark, sf):
+    k, none = F.col("page_id") % 5, F.lit(None).cast("string")
+    segments = F.when(k == 0, F.array().cast("array<string>")).when(k == 1, F.array(F.lit("a b"), none, F.lit("é"))).when(k == 2, F.array(F.lit(".."))).when(k == 3, F.array_repeat(F.lit("x"), 65))
+    labels = F.array(none, F.lit("path"), F.lit("body"))
+    label, index = F.when(k == 0, "path").when(k == 3, "path"), F.when(k == 1, 0).when(k == 2, 2).when(k == 3, 2).when(k == 4, 7).cast("int")
+    return load(spark, sf, "pages").select("page_id", append_suffix(text.url_path(F.col("url")), segments).alias("r"), bound_argument(labels, label, index).alias("argument")).select("page_id", "r.template", "r.channel_prefix", "argument")
+
+
 # ---- sinks
 
 _EDGE_JSON = """'{"kind":"' || kind || '","source":"' || source || '","target":"' || target || '","weight":' || weight || '}'"""
