@@ -21,5 +21,6 @@ ORACLES: dict[str, str] = {
     "op3_line_dedup": line_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
     "op5_exact_dedup": exact_dedup.ORACLE,
+    "op7_mixing": mixing.ORACLE,
     "op8_url_filters": url_filters.ORACLE,
 }

@@ -55,10 +55,11 @@ def water_fill(sizes: DataFrame, weights: tuple[int, ...], share: float, cap: fl
 
 
 def shuffled_place(columns: list[Column], seed: str = "mix") -> dict[str, Column]:
-    """Where a document stands in its source's shuffled order: by ``h``, a hash of its content, so that the order is
-    the same in every run and for every layout of the files; ``b`` is one of BUCKETS equal spans of that order."""
-    h = F.xxhash64(F.lit(seed), *columns)
-    return {"_mix_h": h, "_mix_b": (F.shiftright(h, 48) + F.lit(1 << 15)).cast("int")}
+    """Where a document stands in its source's shuffled order: by ``h``, the MD5 of its content, so that the order is
+    the same in every run, for every layout of the files and in every engine; ``b``, its first four digits, is one of
+    2^16 equal spans of that order."""
+    h = F.md5(F.concat_ws("|", F.lit(seed), *[F.coalesce(c.cast("string"), F.lit("")) for c in columns]))
+    return {"_mix_h": h, "_mix_b": F.conv(F.substring(h, 1, 4), 16, 10).cast("int")}
 
 
 def plan_mix(
@@ -239,3 +240,25 @@ def mix_documents(docs: DataFrame, **params) -> DataFrame:
 def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The words that the mix takes of every row of ``documents``; edge cases as for ``mix_counts``."""
     return mix_counts(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+
+
+ORACLE = r"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+                  md5('mix|' || coalesce(doc_id::VARCHAR, '') || '|' || coalesce(text, '')) AS h FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source IS NULL, source) AS sid FROM d GROUP BY source),
+w AS (SELECT *, CASE (sid - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END::DOUBLE AS weight, source_size * 2.0::DOUBLE AS lim FROM s),
+l AS (SELECT *, lim / weight AS level, 1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(lim) OVER o, 0) AS remaining, sum(weight) OVER () - coalesce(sum(weight) OVER o, 0) AS rest
+      FROM w WINDOW o AS (ORDER BY lim / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+f AS (SELECT *, remaining / rest AS fill FROM l),
+a AS (SELECT arg_min(fill, level) FILTER (WHERE fill <= level) AS all_fill FROM f),
+t AS (SELECT f.*, CASE WHEN all_fill IS NULL THEN lim ELSE least(lim, weight * all_fill) END AS target FROM f, a),
+sp AS (SELECT *, sum(target) OVER (ORDER BY sid) / greatest(sum(target) OVER (), 1e-9) AS hi, max(sid) OVER () AS final FROM t),
+x AS (SELECT unnest(range(1, (SELECT ceil(sum(target) / 64)::BIGINT FROM t) + 1)) AS i),
+y AS (SELECT i, ((i::HUGEINT * 11400714819323198485) % 18446744073709551616 // 2048)::DOUBLE / 9007199254740992 AS x FROM x),
+z AS (SELECT i, min(sid) AS sid FROM y JOIN sp ON hi > x OR sid = final GROUP BY i),
+k AS (SELECT sid, count(*) AS slots FROM z GROUP BY sid),
+c AS (SELECT source, source_size, target, least(coalesce(slots, 0) * 64, source_size * 2) AS words FROM sp LEFT JOIN k USING (sid)),
+p AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ahead FROM d)
+SELECT doc_id, p.source, size, source_size, target,
+       (greatest(0, least(size, least(words, source_size) - ahead)) + greatest(0, least(size, words - source_size - ahead)))::BIGINT AS taken
+FROM p JOIN c ON p.source IS NOT DISTINCT FROM c.source"""
