@@ -23,4 +23,5 @@ ORACLES: dict[str, str] = {
     "op5_exact_dedup": exact_dedup.ORACLE,
     "op7_mixing": mixing.ORACLE,
     "op8_url_filters": url_filters.ORACLE,
+    "op9_near_dedup": near_dedup.ORACLE,
 }

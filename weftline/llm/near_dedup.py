@@ -315,5 +315,19 @@ def keep_one(docs: DataFrame, **params) -> DataFrame:
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The near-duplicate class of every row of ``documents``; edge cases as for ``near_classes``."""
-    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("rid")
+    """The near-duplicate class of every row of ``documents``; edge cases as for ``near_classes``. How many links were
+    verified on the way to a class depends on the way, so it is left out here."""
+    return near_classes(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("rid", "n_links")
+
+
+ORACLE = r"""
+WITH RECURSIVE d AS (SELECT row_number() OVER (ORDER BY doc_id) AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+sh AS (SELECT rid, unnest(list_transform(range(1, greatest(len(ws) - 4, 1) + 1), lambda i: array_to_string(ws[i:i + 4], ' '))) AS g FROM d WHERE len(ws) > 0),
+c AS (SELECT rid, g, count(*) AS n FROM sh GROUP BY ALL),
+t AS (SELECT rid, sum(n) AS t FROM c GROUP BY 1),
+m AS (SELECT a.rid AS x, b.rid AS y, sum(least(a.n, b.n)) AS m FROM c a JOIN c b ON a.g = b.g AND a.rid < b.rid GROUP BY ALL),
+l AS (SELECT x, y FROM m JOIN t a ON a.rid = x JOIN t b ON b.rid = y WHERE m >= 0.8 * (a.t + b.t - m) - 1e-9),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(x, y) AS (SELECT rid, rid FROM d UNION SELECT r.x, e.y FROM r JOIN e ON e.x = r.y),
+k AS (SELECT x AS rid, min(y) AS root, count(*) AS class_size FROM r GROUP BY x)
+SELECT d.doc_id, f.doc_id AS class_id, class_size::BIGINT AS class_size, d.rid = root AS kept FROM d JOIN k USING (rid) JOIN d f ON f.rid = root"""
