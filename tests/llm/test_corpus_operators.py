@@ -579,6 +579,8 @@ def test_clashing_columns_pass_through(spark):
         assert out.columns == df.columns
         for r in out.collect():
             assert all(r[n] == f"{n}{r['doc_id']}" for n in names)
+    odd = df.withColumns({"_w": F.lit("w"), "_l": F.lit("l"), "_w_": F.lit("w")})
+    assert {(r["_w"], r["_l"], r["_w_"]) for r in quality_rules.apply_rules(odd).collect()} == {("w", "l", "w")}
 
 
 def test_adaptive_opening_beats_single_sizes():

@@ -44,7 +44,9 @@ def exact_groups(docs: DataFrame, block_chars: int = 4096, hot_min: int = 1000)
 
     A text is cut into blocks of ``block_chars`` code points; blocks, then pairs of names, are named until
     one (level, name) is left per document, equal exactly for equal texts. Null text counts as empty. Of
-    equal texts the row with the largest doc_id stays (null is smallest); of equal rows with that id, one.
+    equal texts the row with the largest doc_id stays (null is smallest); of equal rows with that id, one. Texts of any
+    length are named whole, block by block; an empty table gives an empty result; only doc_id and text are read, so
+    further columns, whatever their names, do no harm.
     """
     spark = docs.sparkSession
     cuts = Cuts(spark, "exact")
@@ -85,6 +87,7 @@ def exact_groups(docs: DataFrame, block_chars: int = 4096, hot_min: int = 1000)
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The group of equal texts of every row of ``documents``; edge cases as for ``exact_groups``."""
     return exact_groups(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 

@@ -78,24 +78,26 @@ def _repeat_words(ws: Column) -> Column:
 
 def measure(docs: DataFrame) -> DataFrame:
     """Adds the metrics of every row: one narrow projection, no shuffle."""
+    # Names of the words' and lines' arrays that no column of the input has.
+    w, li = (next(n for n in (f"{stem}{'_' * k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns) for stem in ("_w", "_l"))
     text = F.coalesce(F.col("text"), F.lit(""))
     ws = F.filter(F.split(text, SPACE), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     share = lambda xs, keep: F.size(F.filter(xs, keep)) / F.greatest(F.size(xs), F.lit(1))
-    per_word = lambda n: n / F.greatest(F.size("_w"), F.lit(1))
+    per_word = lambda n: n / F.greatest(F.size(w), F.lit(1))
     per_char = lambda n: n / F.greatest(F.col("word_chars"), F.lit(1))
     cols = {
-        "n_words": F.size("_w").cast("long"),
+        "n_words": F.size(w).cast("long"),
         "word_chars": F.length(F.regexp_replace(text, SPACE, "")).cast("long"),
         "n_symbols": _count(text, SYMBOL),
-        "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"),
-        "n_repeat_words": _repeat_words(F.col("_w")),
+        "n_dup_lines": (F.size(li) - F.size(F.array_distinct(li))).cast("long"),
+        "n_repeat_words": _repeat_words(F.col(w)),
         "bang_word_ratio": per_word(F.length(text) - F.length(F.replace(text, F.lit("!!"), F.lit("!")))),
-        "stop_word_count": F.size(F.array_intersect("_w", F.array(*map(F.lit, STOP_FORMS)))).cast("double"),
-        "ellipsis_line_ratio": share(F.col("_l"), lambda x: x.rlike(r"(\.\.\.|…)\s*$")),
-        "bullet_line_ratio": share(F.col("_l"), lambda x: x.rlike(r"^\s*[-*•‣]")),
+        "stop_word_count": F.size(F.array_intersect(w, F.array(*map(F.lit, STOP_FORMS)))).cast("double"),
+        "ellipsis_line_ratio": share(F.col(li), lambda x: x.rlike(r"(\.\.\.|…)\s*$")),
+        "bullet_line_ratio": share(F.col(li), lambda x: x.rlike(r"^\s*[-*•‣]")),
     }
-    wide = docs.withColumns({"_w": ws, "_l": lines}).withColumns(cols)
+    wide = docs.withColumns({w: ws, li: lines}).withColumns(cols)
     letters = lambda kind: F.length(text) - F.length(F.regexp_replace(text, kind, ""))
     return wide.withColumns(
         {
@@ -103,9 +105,9 @@ def measure(docs: DataFrame) -> DataFrame:
             "symbol_word_ratio": per_word(F.col("n_symbols")),
             "upper_char_ratio": per_char(letters(r"\p{Lu}+")),
             "alpha_char_ratio": per_char(letters(r"\p{L}+")),
-            "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.size("_l"), F.lit(1)),
+            "dup_line_ratio": F.col("n_dup_lines") / F.greatest(F.size(li), F.lit(1)),
         }
-    ).drop("_w", "_l")
+    ).drop(w, li)
 
 
 def compile_rules(rules: tuple[Rule, ...]) -> Column:
@@ -124,8 +126,9 @@ def compile_rules(rules: tuple[Rule, ...]) -> Column:
 def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, min_words: int = 50, max_repeat_percent: int = 50) -> DataFrame:
     """All rows and columns of ``docs`` plus the metrics, ``base_failed``, ``failed_rules`` and ``kept``.
 
-    Null text counts as empty (no words: base_failed). Rows are judged one by one, so repeated rows give
-    repeated results, an empty table an empty one; columns of ``docs`` that clash with a metric are replaced.
+    Null text counts as empty (no words: base_failed). Texts of any length are measured whole. Rows are judged one by
+    one, so repeated rows give repeated results, an empty table an empty one; columns of ``docs`` that clash with
+    a metric are replaced, all others kept, whatever their names.
     """
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat_percent * F.col("n_words"))
     return (
@@ -137,6 +140,7 @@ def apply_rules(docs: DataFrame, rules: tuple[Rule, ...] = DEFAULT_RULES, min_wo
 
 
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base measures and verdict of every row of ``documents``; edge cases as for ``apply_rules``."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return apply_rules(docs).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
