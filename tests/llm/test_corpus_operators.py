@@ -685,3 +685,22 @@ def test_gru_scores_by_hand():
         want.append(score)
     got = gru.score_documents(m, np.concatenate(docs).astype(np.int32), np.cumsum([0, *map(len, docs)]), n_lanes=2, window=2)
     assert np.allclose(got, want, rtol=1e-4)
+
+
+def test_overlaps_by_hand():
+    rng = np.random.default_rng(9)
+    for _ in range(40):
+        n = int(rng.integers(1, 30))
+        row = np.sort(rng.integers(0, 4, n))
+        left = rng.integers(0, 25, n)
+        right = left + rng.integers(0, 9, n)
+        f = rng.integers(0, 3, n)
+        want = []
+        for i in np.unique(row).tolist():
+            on = [len({int(f[k]) for k in range(n) if row[k] == i and left[k] <= x <= right[k]}) >= 2 for x in range(40)]
+            want += [(i, x, next(y for y in range(x, 40) if not on[y]) - 1) for x in range(40) if on[x] and (x == 0 or not on[x - 1])]
+        assert list(zip(*(v.tolist() for v in substring_dedup.overlaps(row, left, right, f, 2, 3)), strict=True)) == want
+    # Two windows meet in the copy; in the source they do in the first row and not in the second.
+    row, f = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
+    both = [np.array([0, 2, 0, 2]), np.array([20, 25, 20, 25]), f, np.array([5, 7, 5, 90]), np.array([30, 30, 30, 120])]
+    assert [x.tolist() for x in substring_dedup.regions_of(both, row, 2, 2, 10)] == [[0], [2], [20]]
