@@ -704,3 +704,42 @@ def test_overlaps_by_hand():
     row, f = np.array([0, 0, 1, 1]), np.array([0, 1, 0, 1])
     both = [np.array([0, 2, 0, 2]), np.array([20, 25, 20, 25]), f, np.array([5, 7, 5, 90]), np.array([30, 30, 30, 120])]
     assert [x.tolist() for x in substring_dedup.regions_of(both, row, 2, 2, 10)] == [[0], [2], [20]]
+
+
+def test_every_edited_pair_is_found(spark):
+    # Fragments of 49 words lead the windows of passages that later documents hold whole and with one word changed.
+    rng, rows = random.Random(4), []
+    for k in range(12):
+        words = prose(11000 + k, 64).split()
+        for a in (0, 3, 6, 9, 12, 15):
+            rows.append(prose(12000 + len(rows), 40) + " " + " ".join(words[a : a + 49]) + " " + prose(13000 + len(rows), 40))
+        for new in (None, [], ["changed"], ["two", "more"]):
+            at = rng.randrange(20, 44)
+            edited = words if new is None else words[:at] + new + words[at + 1 :]
+            rows.append(prose(14000 + len(rows), 30) + " " + " ".join(edited) + " " + prose(15000 + len(rows), 30))
+    rows += rows[-2:] * 2  # copies
+    t = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(1)
+    found = {(r["doc_id"], r["source_id"]) for r in substring_dedup.find_passages(t).collect()}
+    sources = defaultdict(set)
+    for d, s in found:
+        sources[d] |= {d, s}
+        sources[s].add(s)
+    shingled = [tokens.shingles(*tokens.word_hashes(pa.array([r])))[0] for r in rows]
+    pairs = [(j, i) for j in range(len(rows)) for i in range(j) if substring_dedup.match_passages(shingled[i], shingled[j], [(0, len(shingled[j]) - 1)], 46, 0.8)]
+    assert len(pairs) > 36
+    # A copy of a whole text is linked as the first of its text is.
+    first = [rows.index(r) for r in rows]
+    assert all((d, first[d]) in found for d in range(len(rows)) if first[d] < d)
+    pairs = {(first[j], first[i]) for j, i in pairs if first[j] != first[i]}
+    assert [p for p in pairs if p not in found and not sources[p[0]] & sources[p[1]]] == []
+
+
+def test_a_short_passage_does_not_end_a_longer_one():
+    # Runs of 18, 18 and 39 shingles: the first two are near-equal but short, all three fall short of 0.8, the last two pass.
+    fresh = iter(range(1000, 2000))
+    runs = [list(range(18)), list(range(18, 36)), list(range(36, 75))]
+    other = lambda n: [next(fresh) for _ in range(n)]
+    copy = runs[0] + other(4) + runs[1] + other(5) + runs[2]
+    source = runs[0] + other(5) + runs[1] + other(5) + runs[2]
+    got = substring_dedup.match_passages(np.array(source, np.uint64), np.array(copy, np.uint64), [(0, len(copy) - 1)], 46, 0.8)
+    assert got == [(22, 83, 23, 84)]
