@@ -178,16 +178,17 @@ def train(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int = 64, win
     """
     target, source, doc, length = lay_out(ids, first, n_lanes)
     k, w = model.hidden, {n: x.copy() for n, x in model.weights.items()}
-    out = Gru(model.bounds, k, w)
+    # In-class outputs with their bias as one more column, for states with a 1.
+    w["oo"] = np.concatenate([w.pop("o"), w.pop("ob")[:, None]], axis=1)
     square = {n: np.full_like(x, 1e-2) for n, x in w.items()}
     begins = np.zeros(target.shape, bool)
     begins[0] = True
     begins[1:] = doc[1:] != doc[:-1]
     fresh = begins.any(1)
     carried = np.zeros((k, target.shape[1]), np.float32)
-    n_classes, small_ids = len(model.bounds) - 1, len(w["ob"]) < 1 << 16
+    n_classes, small_ids = len(model.bounds) - 1, len(w["oo"]) < 1 << 16
     class_of = np.repeat(np.arange(n_classes, dtype=np.int16 if n_classes < 1 << 15 else np.int32), np.diff(model.bounds))
-    grad_o, grad_ob = np.zeros_like(w["o"]), np.zeros_like(w["ob"])
+    grad_oo, ones = np.zeros_like(w["oo"]), np.ones(len(w["oo"]), np.float32)
     loss, seen = 0.0, 0
 
     def update(name: str, grad: np.ndarray, rows=None) -> None:
@@ -227,7 +228,9 @@ def train(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int = 64, win
         wanted = target[lo:hi, :live].ravel()
         rows = np.flatnonzero(wanted >= 0)
         rows = rows[np.argsort(class_of[wanted[rows]], kind="stable")]
-        y, hs = wanted[rows], _lane_by_lane(ends_in)[rows]
+        y, hs_1 = wanted[rows], np.ones((len(rows), k + 1), np.float32)
+        hs_1[:, :k] = _lane_by_lane(ends_in)[rows]
+        hs = hs_1[:, :k]
         cls = class_of[y]
         # Of a full window, so that the last, few documents of a long lane do not weigh more than others.
         scale = np.float32(1 / (target.shape[1] * window))
@@ -243,27 +246,27 @@ def train(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int = 64, win
         g_co, g_cb = p.T @ hs, p.sum(0)
         ends = np.searchsorted(cls, np.arange(n_classes + 1))
         touched: list[list[int]] = []
+        right = np.ones(len(y), np.float32)
         for c in range(n_classes):
             a, b, i, j = model.bounds[c], model.bounds[c + 1], ends[c], ends[c + 1]
             if b - a == 1 or i == j:
                 continue
-            mine = hs[i:j]
-            q = mine @ w["o"][a:b].T
-            q += w["ob"][a:b]
+            mine = hs_1[i:j]
+            q = mine @ w["oo"][a:b].T
             np.exp(np.minimum(q, 80, out=q), out=q)
-            q /= q.sum(1, keepdims=True)
+            q *= (scale / (q @ ones[: b - a]))[:, None]
             pick = at[: j - i]
             hit = y[i:j] - a
-            loss -= float(np.log(np.maximum(q[pick, hit], 1e-30)).sum())
-            q[pick, hit] -= 1
-            q *= scale
-            d_h[i:j] += q @ w["o"][a:b]
-            np.matmul(q.T, mine, out=grad_o[a:b])
-            np.sum(q, axis=0, out=grad_ob[a:b])
+            right[i:j] = q[pick, hit]
+            q[pick, hit] -= scale
+            right[i:j] /= scale
+            d_h[i:j] += q @ w["oo"][a:b, :k]
+            np.matmul(q.T, mine, out=grad_oo[a:b])
             if touched and touched[-1][1] == a:
                 touched[-1][1] = b
             else:
                 touched.append([a, b])
+        loss -= float(np.log(np.maximum(right, 1e-30)).sum())
         seen += len(y)
         d_out = np.zeros((steps * live, k), np.float32)
         d_out[rows] = d_h
@@ -296,13 +299,12 @@ def train(model: Gru, ids: np.ndarray, first: np.ndarray, n_lanes: int = 64, win
         ranked = ids_in[order]
         cut = np.flatnonzero(np.concatenate([[True], ranked[1:] != ranked[:-1]]))
         update("b", flat.sum(0))
-        sums = np.cumsum(flat[order], axis=0)[np.append(cut[1:], len(ranked)) - 1]
-        sums[1:] -= sums[:-1].copy()
-        update("x", sums, ranked[cut])
+        update("x", np.add.reduceat(flat[order], cut, axis=0), ranked[cut])
         update("h", g_h)
         update("co", g_co)
         update("cb", g_cb)
         for a, b in touched:
-            update("o", grad_o[a:b], slice(a, b))
-            update("ob", grad_ob[a:b], slice(a, b))
-    return out, loss / max(1, seen)
+            update("oo", grad_oo[a:b], slice(a, b))
+    outputs = w.pop("oo")
+    w["o"], w["ob"] = np.ascontiguousarray(outputs[:, :k]), outputs[:, k].copy()
+    return Gru(model.bounds, k, w), loss / max(1, seen)
