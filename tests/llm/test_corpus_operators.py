@@ -743,3 +743,49 @@ def test_a_short_passage_does_not_end_a_longer_one():
     source = runs[0] + other(5) + runs[1] + other(5) + runs[2]
     got = substring_dedup.match_passages(np.array(source, np.uint64), np.array(copy, np.uint64), [(0, len(copy) - 1)], 46, 0.8)
     assert got == [(22, 83, 23, 84)]
+
+
+def test_substring_rows_follow_the_documents(spark, tmp_path):
+    # Families of edited texts have links by the square; the query gives one row a document, by classes, and counts the links.
+    rows = []
+    for k in range(3):
+        words = prose(21000 + k, 120).split()
+        for j in range(12):
+            rows.append(" ".join(words[: 9 * j] + [f"new{j}"] + words[9 * j + 1 :]))
+    rows += [prose(22000, 200), "", None, rows[0]]
+    table = list(enumerate(rows)) + [(None, rows[12])]
+    spark.createDataFrame(table, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    links, of = defaultdict(set), {d: k for k, (d, _) in enumerate(table)}
+    for r in substring_dedup.find_passages(docs).collect():
+        a, b = of[r["doc_id"]], of[r["source_id"]]
+        links[a].add(b)
+        links[b].add(a)
+    got = substring_dedup.op2_substring_dedup(spark, str(tmp_path)).collect()
+    assert sorted(of[r["doc_id"]] for r in got) == [*range(36), 39, 40] == sorted(links)
+    for r in got:
+        k = of[r["doc_id"]]
+        assert r["n_links"] == len(links[k]) and r["class_id"] == (12 if k == 40 else 0 if k == 39 else k // 12 * 12)
+        held = {x for p in r["repeats"] for x in range(p["start"], p["start"] + p["n_words"])}
+        assert r["repeated_words"] == len(held) and (len(held) > 100) == (k % 12 > 0 or k > 36)
+
+
+def test_matching_many_copies_is_matching_each():
+    rng = np.random.default_rng(8)
+    seat = np.full(4000, -1, np.int32)
+    for round_ in range(30):
+        source = rng.permutation(3000)[:300].astype(np.int64)
+        if round_ % 3 == 0:
+            source[100:160] = source[20:80]  # shingles that the source holds twice
+        parts = []
+        for _ in range(20):
+            a, n = rng.integers(0, 200), rng.integers(0, 100)
+            part = source[a : a + n].copy()
+            for at in rng.integers(0, max(1, n), rng.integers(0, 5)).tolist():
+                part[at : at + rng.integers(1, 6)] = rng.integers(3000, 4000)
+            parts.append(np.concatenate([rng.integers(3000, 4000, rng.integers(0, 30)), part, source[rng.integers(0, 250) :][:50]]))
+        first = np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+        got = substring_dedup.match_many(source, np.concatenate(parts), first, 46, 0.8, seat)
+        want = {(k, *p) for k, c in enumerate(parts) for p in substring_dedup.match_passages(source, c, [(0, len(c) - 1)], 46, 0.8)}
+        assert want and {tuple(r) for r in got.tolist()} == want and len(got) == len(want)
+        assert (seat == -1).all()
