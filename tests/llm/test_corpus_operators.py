@@ -789,3 +789,27 @@ def test_matching_many_copies_is_matching_each():
         want = {(k, *p) for k, c in enumerate(parts) for p in substring_dedup.match_passages(source, c, [(0, len(c) - 1)], 46, 0.8)}
         assert want and {tuple(r) for r in got.tolist()} == want and len(got) == len(want)
         assert (seat == -1).all()
+
+
+def test_pairs_of_lists_count_once(spark):
+    rng, lists = random.Random(3), []
+    for _ in range(120):
+        group = rng.randrange(5) * 100
+        rids = sorted(rng.sample(range(group, group + 40), rng.choice((2, 2, 3, 9))))
+        copies = rng.sample(range(group + 40, group + 60), rng.randrange(3)) if (exact := rng.randrange(2)) else []
+        lists.append((rids[0], sorted([-1 - c for c in copies]) + rids, exact))
+    lists.append((7, [-1 - 90, 7], 1))  # a text and its copy alone
+    code: dict[tuple[int, int], int] = {}
+    for head, rids, exact in lists:
+        own = [r for r in rids if r >= 0]
+        for p in itertools.combinations(own, 2):
+            code[p] = max(code.get(p, 0), 1 + exact + (exact and p[0] == head))
+        for c in rids[: len(rids) - len(own)]:
+            code[head, -1 - c] = 3
+    want = {p for p, c in code.items() if c != 2}
+    table = spark.createDataFrame(lists, "head long, rids array<long>, exact int")
+    # Large heads pass their lists on one by one; a grid of cells holds each pair once too.
+    for most, dense in ((512, 4096), (512, 3), (4, 4096)):
+        rows = substring_dedup.pairs_in(table, 3, most, dense).collect()
+        assert {(r["leader"], r["rid"]) for r in rows} == want and len(rows) == len(want)
+        assert len({r["cell"] for r in rows}) > (60 if most == 4 else 20)
