@@ -7,6 +7,7 @@ from collections import Counter
 import duckdb
 
 import __spark_entry__ as entry
+from weftline.operators import ingest
 
 LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
@@ -35,3 +36,13 @@ def test_explain_goes_as_far_as_its_sql(spark, tmp_path):
     spark.range(12).selectExpr("id AS s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     rows = against_sql(spark, tmp_path, "g172_explain")
     assert ("p12", "reachable", 12, "p12") in rows and ("p15", "unreachable", None, None) in rows
+
+
+def test_nearest_keeps_rows_without_a_line_and_runs_no_frame_to_the_end(spark):
+    left = spark.createDataFrame([(k, "a", k % 300) for k in range(900)] + [(900, "a", None), (901, "b", 5)], "k int, path string, line int")
+    right = spark.createDataFrame([("a", 130, "x"), ("a", 140, "y"), ("a", 7, "z")], "path string, at int, v string")
+    df = ingest.nearest(left, right, ["path"], "line", "at", "v")
+    by_place = {130: "x", 140: "y", 7: "z"}
+    want = {k: by_place[min(by_place, key=lambda at: (abs(k % 300 - at), at))] for k in range(900)}
+    assert {r["k"]: r["v"] for r in df.collect()} == want | {900: None, 901: None}
+    assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()

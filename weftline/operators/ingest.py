@@ -131,32 +131,30 @@ BAND = 64
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, other: str, value: str) -> DataFrame:
     """Left rows with the right row of least distance in the same keys; on ties the lower one.
 
-    The values carried from below and from above are found within bands of BAND lines, and what a band begins or
-    ends without comes from one row per band: a hot key forms no pairs and no single sort.
+    Each distinct place of the left is settled once, and the rows look theirs up. The values carried from below and
+    from above are found within bands of BAND lines, and what a band begins or ends without comes from one row per
+    band: a hot key forms no pairs and no single sort. Both ways are running frames, the upper one over the falling
+    order: Spark goes through a frame that ends at the last row anew for every row.
     """
     mark = "struct<at:int,v:string>"
     marks = right.groupBy(*keys, other).agg(F.min(value).alias(value))
     marks = marks.select(*keys, F.col(other).alias(at), F.struct(F.col(other).cast("int").alias("at"), F.col(value).cast("string").alias("v")).alias("_v"))
     band = F.floor(F.col(at) / BAND).alias("_band")
-    one = left.select(*left.columns, band, F.lit(1).alias("_side"), F.lit(None).cast(mark).alias("_v"))
-    both = one.unionByName(marks.select(*keys, at, band, F.lit(0).alias("_side"), "_v"), allowMissingColumns=True)
-    order = Window.partitionBy(*keys, "_band").orderBy(at, "_side")
-    below = F.last("_v", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    above = F.first("_v", ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing))
-    got = both.withColumns({"_b": below, "_a": above}).where("_side = 1")
+    one = left.select(*keys, at).distinct().select(*keys, at, band, F.lit(1).alias("_side"), F.lit(None).cast(mark).alias("_v"))
+    both = one.unionByName(marks.select(*keys, at, band, F.lit(0).alias("_side"), "_v"))
+    place = Window.partitionBy(*keys, "_band")
+    so_far = lambda *order: F.last("_v", ignorenulls=True).over(place.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0))
+    got = both.withColumns({"_b": so_far(at, "_side"), "_a": so_far(F.desc(at), F.desc("_side"))}).where("_side = 1")
     ends = both.groupBy(*keys, "_band").agg(F.max("_v").alias("_hi"), F.min("_v").alias("_lo"))
-    across = Window.partitionBy(*keys).orderBy("_band")
-    ends = ends.select(
-        *keys,
-        "_band",
-        F.last("_hi", ignorenulls=True).over(across.rowsBetween(Window.unboundedPreceding, -1)).alias("_before"),
-        F.first("_lo", ignorenulls=True).over(across.rowsBetween(1, Window.unboundedFollowing)).alias("_after"),
-    )
+    across = lambda c, order: F.last(c, ignorenulls=True).over(Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    ends = ends.select(*keys, "_band", across("_hi", "_band").alias("_before"), across("_lo", F.desc("_band")).alias("_after"))
     got = got.join(ends, [*keys, "_band"]).withColumns({"_b": F.coalesce("_b", "_before"), "_a": F.coalesce("_a", "_after")})
     d_below, d_above = F.col(at) - F.col("_b.at"), F.col("_a.at") - F.col(at)
     pick = F.when(F.col("_b").isNull(), F.col("_a.v")).when(F.col("_a").isNull() | (d_below <= d_above), F.col("_b.v")).otherwise(F.col("_a.v"))
+    found = got.select(*keys, at, pick.alias(value))
     names = left.columns if value in left.columns else [*left.columns, value]
-    return got.withColumn(value, pick).select(*names)
+    rows = left.drop(value) if value not in (*keys, at) else left
+    return rows.join(found, [*keys, at], "left").select(*names)
 
 
 def bind_parameter_usage(parameters: DataFrame, usage: DataFrame) -> DataFrame:
