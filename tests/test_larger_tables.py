@@ -7,7 +7,7 @@ from collections import Counter
 import duckdb
 
 import __spark_entry__ as entry
-from weftline.operators import ingest
+from weftline.operators import impact, ingest
 
 LINE = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double"
 PART = "p_partkey long, p_name string, p_brand string, p_type string, p_size int"
@@ -46,3 +46,20 @@ def test_nearest_keeps_rows_without_a_line_and_runs_no_frame_to_the_end(spark):
     want = {k: by_place[min(by_place, key=lambda at: (abs(k % 300 - at), at))] for k in range(900)}
     assert {r["k"]: r["v"] for r in df.collect()} == want | {900: None, 901: None}
     assert "unboundedfollowing" not in df._jdf.queryExecution().toString().lower()
+
+
+def test_lifecycle_pairs_are_split_and_not_shuffled(spark, monkeypatch):
+    monkeypatch.setattr(impact, "TASK_PAIRS", 50, raising=False)
+    tests = [f"t{i}" for i in range(40)]
+    hooks = [f"h{i}" for i in range(10)]
+    name = {**{t: "testA()" for t in tests}, **{h: "setUp()" for h in hooks}}
+    nodes = spark.createDataFrame([(i, n) for i, n in name.items()], "id string, name string")
+    # h0 stands in a class and in the one above it; member rows repeat.
+    member = [("C", t) for t in tests[:30]] + [("D", t) for t in tests[30:]] + [("B", h) for h in hooks] + [("C", "h0")]
+    rows = [(s, t, "member", 1) for s, t in member + member] + [("C", "B", "inheritance", 1)]
+    edges = spark.createDataFrame(rows, "source string, target string, kind string, weight long")
+    df = impact.lifecycle_edges(nodes, edges, nodes.where("name = 'testA()'"))
+    got = [(r["source"], r["target"]) for r in df.collect()]
+    assert sorted(got) == sorted((t, h) for t in tests[:30] for h in hooks)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [cls" in plan and not plan.lstrip().startswith("Aggregate")

@@ -121,8 +121,33 @@ def lifecycle_edges(nodes: DataFrame, edges: DataFrame, tests: DataFrame) -> Dat
     step = lambda new, known, k: new.join(up, "cls").select("test", F.col("next").alias("cls")).distinct()
     closure = semi_naive(seed, step, ["test", "cls"], label="lifecycle")[0]
     hooks = nodes.where("name rlike '^(setUp|tearDown|setUpWithError|tearDownWithError)\\\\('").select(F.col("id").alias("target"))
-    held = member.join(hooks, "target", "left_semi").select(F.col("source").alias("cls"), "target")
-    return closure.join(held, "cls").select(F.col("test").alias("source"), "target", F.lit("automaticRuntime").alias("relation")).distinct()
+    stage = Stage(nodes.sparkSession, "hooks")
+    held = stage.keep(member.join(hooks, "target", "left_semi").select(F.col("source").alias("cls"), "target").distinct())
+    # (test, cls) and (cls, target) are distinct: a pair can repeat only for a target that several classes hold.
+    several = held.groupBy("target").agg(F.count("*").alias("n")).where("n > 1").select("target")
+    once = _pairs_of(stage, closure, held.join(several, "target", "left_anti"))
+    again = _pairs_of(stage, closure, held.join(several, "target", "left_semi")).distinct()
+    return once.unionByName(again).select(F.col("test").alias("source"), "target", F.lit("automaticRuntime").alias("relation"))
+
+
+#: Pairs that one task forms, about.
+TASK_PAIRS = 2_000_000
+
+
+def _pairs_of(stage: Stage, tests: DataFrame, held: DataFrame) -> DataFrame:
+    """(test, target) of (test, cls) and (cls, target). A class with t tests and h targets has t * h pairs: its tests
+    are split into parts of about TASK_PAIRS pairs, the targets repeated for each part. Pairs are never shuffled."""
+    held = stage.keep(held)
+    n = tests.groupBy("cls").agg(F.count("*").alias("t")).join(held.groupBy("cls").agg(F.count("*").alias("h")), "cls")
+    parts = stage.keep(n.select("cls", F.ceil(F.col("t") * F.col("h") / TASK_PAIRS).cast("int").alias("parts"), (F.col("t") * F.col("h")).alias("n")))
+    total = parts.agg(F.sum("n")).first()[0] or 0
+    # Of those there are at most (tests + targets) / root of TASK_PAIRS.
+    hot = F.broadcast(parts.where("parts > 1").select("cls", "parts"))
+    many = F.coalesce("parts", F.lit(1))
+    a = tests.join(hot, "cls", "left").select("test", "cls", F.pmod(F.xxhash64("test"), many).cast("int").alias("part"))
+    b = held.join(hot, "cls", "left").select("target", "cls", F.explode(F.sequence(F.lit(0), many - 1)).alias("part"))
+    k = int(total // TASK_PAIRS) + 1
+    return a.repartition(k, "cls", "part").join(b.repartition(k, "cls", "part").hint("merge"), ["cls", "part"]).select("test", "target")
 
 
 def affected_tests(graph: Graph, changed: DataFrame, tests: DataFrame, supplemental: DataFrame | None = None) -> DataFrame:
