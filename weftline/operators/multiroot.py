@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..plans.stage import Stage, semi_naive
+from ..plans.stage import Stage, large, semi_naive
 from ..sources.schemas import USAGE_KINDS
 from .graph import Graph, semantic_parent
 
@@ -107,7 +107,7 @@ def traversal_hops(graph: Graph, dependents: bool, closed_world: bool = False, r
     direct = usage.select(F.col(a).alias("from"), F.col(b).alias("to"), F.lit(0).alias("tier"), "kind")
     over = graph.edges.where("kind = 'overrides'").select(F.col("source").alias("implementation"), F.col("target").alias("contract"))
     proven = unique_implementations(graph, closed_world).withColumn("bound", F.lit(1))
-    over = over.join(proven, ["implementation", "contract"], "left")
+    over = large(over.join(large(proven), ["implementation", "contract"], "left"))
     calls = usage.where("kind <> 'overrides'").select(F.col("source").alias("caller"), F.col("target").alias("contract"))
     via = over.join(calls, "contract").where("caller <> implementation")
     ends = ("implementation", "caller") if dependents else ("caller", "implementation")
@@ -121,7 +121,7 @@ def traversal_hops(graph: Graph, dependents: bool, closed_world: bool = False, r
 
 def root_sets(hops: DataFrame, roots: DataFrame, tier: int, local: bool | None = None) -> DataFrame:
     """(vertex, root) pairs over hops of at most ``tier``: a closure of pairs, delta by delta."""
-    e = hops.where(F.col("tier") <= tier).select("from", "to")
+    e = large(Stage(hops.sparkSession, "hops").keep(hops.where(F.col("tier") <= tier).select("from", "to")))
     if local if local is not None else _is_small(e, roots):
         return _one_task(e, roots, _local_sets, "vertex string, root int")
     seed = roots.select(F.col("id").alias("vertex"), F.col("position").alias("root"))
@@ -134,18 +134,19 @@ def nearest_two(hops: DataFrame, roots: DataFrame, horizon: int, local: bool | N
 
     A vertex passes on only its two labels: a third root is at least as far for all that come after it.
     """
+    stage = Stage(hops.sparkSession, "labels")
+    hops = large(stage.keep(hops.select("from", "to")))
     if local if local is not None else _is_small(hops, roots):
         return _one_task(hops, roots, _local_labels(horizon), "vertex string, root int, distance int")
-    stage = Stage(hops.sparkSession, "labels")
     e = hops.select(F.col("from").alias("vertex"), "to")
-    labels = stage.add("l", roots.select(F.col("id").alias("vertex"), F.col("position").alias("root"), F.lit(0).alias("distance")))
+    labels = large(stage.add("l", roots.select(F.col("id").alias("vertex"), F.col("position").alias("root"), F.lit(0).alias("distance"))))
     for d in range(1, horizon + 1):
         front = labels.where(F.col("distance") == d - 1)
         offered = front.join(e, "vertex").select(F.col("to").alias("vertex"), "root").distinct().join(labels.select("vertex", "root"), ["vertex", "root"], "left_anti")
         held = labels.groupBy("vertex").agg(F.count("*").alias("have"))
         rank = F.row_number().over(Window.partitionBy("vertex").orderBy("root"))
         new = offered.join(held, "vertex", "left").withColumn("k", rank).where(F.col("k") + F.coalesce("have", F.lit(0)) <= 2)
-        labels = stage.add("l", new.select("vertex", "root", F.lit(d).alias("distance")))
+        labels = large(stage.add("l", new.select("vertex", "root", F.lit(d).alias("distance"))))
         if labels.where(F.col("distance") == d).isEmpty():
             break
     return labels
@@ -159,11 +160,11 @@ def traverse(hops: DataFrame, roots: DataFrame, max_depth: int, local: bool | No
     positions that reach it, evidence the weakest tier needed for all of them.
     """
     stage = Stage(hops.sparkSession, "multi")
-    hops = stage.keep(hops)
+    hops = large(stage.keep(hops))
     local = _is_small(hops, roots) if local is None else local
     tiers = {r["tier"] for r in hops.select("tier").distinct().collect()}  # at most three
-    own = roots.select(F.col("id").alias("vertex"), F.col("position").alias("own"))
-    sets = stage.keep(root_sets(hops, roots, 2, local).join(own, "vertex", "left").where("own is null or root <> own"))
+    own = large(roots.select(F.col("id").alias("vertex"), F.col("position").alias("own")))
+    sets = large(stage.keep(root_sets(hops, roots, 2, local).join(own, "vertex", "left").where("own is null or root <> own")))
     sizes = sets.groupBy("vertex").agg(F.array_join(F.transform(F.sort_array(F.collect_set("root")), lambda r: r.cast("string")), ",").alias("roots"), F.count_distinct("root").alias("n"))
     for tier in (0, 1):
         if max(tiers, default=0) <= tier:
@@ -172,7 +173,7 @@ def traverse(hops: DataFrame, roots: DataFrame, max_depth: int, local: bool | No
         part = root_sets(hops, roots, tier, local).join(own, "vertex", "left").where("own is null or root <> own")
         sizes = sizes.join(part.groupBy("vertex").agg(F.count_distinct("root").alias(f"n{tier}")), "vertex", "left")
     evidence = F.when(F.col("n0") == F.col("n"), "direct").when(F.col("n1") == F.col("n"), "bound").otherwise("candidate")
-    labels = stage.keep(nearest_two(hops, roots, max_depth + 1, local))
+    labels = large(stage.keep(nearest_two(hops, roots, max_depth + 1, local)))
     near = labels.join(own, "vertex", "left").where("own is null or root <> own").groupBy("vertex", "own").agg(F.min("distance").alias("depth"))
     within = near.where(F.col("depth") <= max_depth)
     # The predecessor's distance leaves out the root that is the vertex itself.
@@ -180,7 +181,7 @@ def traverse(hops: DataFrame, roots: DataFrame, max_depth: int, local: bool | No
     other = labels.select(F.col("vertex").alias("via"), "root", "distance")
     close = into.join(other, "via").where("own is null or root <> own").groupBy("vertex", "via", "depth").agg(F.min("distance").alias("d"))
     best = close.where("d = depth - 1").groupBy("vertex").agg(F.min("via").alias("via"))
-    rows = sizes.join(within.select("vertex", "depth"), "vertex").join(best, "vertex")
+    rows = sizes.join(within.select("vertex", "depth"), "vertex").join(large(best), "vertex")
     rows = rows.select(F.col("vertex").alias("id"), "depth", "via", "roots", evidence.alias("evidence"))
     cut = not sizes.select("vertex").join(rows.select(F.col("id").alias("vertex")), "vertex", "left_anti").isEmpty()
     return rows, cut
