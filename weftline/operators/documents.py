@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..plans.stage import large
 from . import cycles, exposure, findings, layers, lookup, reach
 from .graph import Graph, semantic_parent
 
@@ -129,15 +130,17 @@ def describe_symbols(requests: DataFrame, graph: Graph, reached: DataFrame, root
     """Batch query document: position, subject, status, id, state, used_by, depends_on, members, declared_in (counts
     and parent); facts are joined for found requests only."""
     parents = semantic_parent(graph.nodes, graph.edges)
-    r = lookup.resolve(requests, graph.nodes, parents)
-    r = r.withColumn("id", F.when(F.col("status") == "found", F.element_at("candidates", 1)))
+    r = lookup.resolve_counts(requests, graph.nodes, parents)
+    r = large(r.withColumn("id", F.when(F.col("status") == "found", F.col("first"))))
     usage = graph.edges.where("kind <> 'member' and source <> target")
-    wanted = r.where("id is not null").select("id").distinct()
+    wanted = large(r.where("id is not null").select("id").distinct())
     used_by = usage.select(F.col("target").alias("id"), "source").join(wanted, "id", "left_semi").groupBy("id").agg(F.count_distinct("source").alias("used_by"))
     uses = usage.select(F.col("source").alias("id"), "target").join(wanted, "id", "left_semi").groupBy("id").agg(F.count_distinct("target").alias("depends_on"))
     members = graph.edges.where("kind = 'member'").groupBy(F.col("source").alias("id")).agg(F.count("*").alias("members"))
     state = reached.select("id", F.lit("reachable").alias("_r")).join(roots.select("id", F.lit("retained").alias("_k")).distinct(), "id", "left")
-    out = r.join(used_by, "id", "left").join(uses, "id", "left").join(members, "id", "left").join(parents.withColumnRenamed("parent", "declared_in"), "id", "left").join(state, "id", "left")
+    out = r
+    for facts in (used_by, uses, members, parents.withColumnRenamed("parent", "declared_in"), state):
+        out = out.join(large(facts), "id", "left")
     zero = lambda c: F.when(F.col("id").isNotNull(), F.coalesce(c, F.lit(0)).cast("long")).alias(c)
     kept = F.when(F.col("id").isNotNull(), F.coalesce("_k", "_r", F.lit("unreachable"))).alias("state")
     return out.select("position", "subject", "status", "id", kept, zero("used_by"), zero("depends_on"), zero("members"), "declared_in")
